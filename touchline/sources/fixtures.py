@@ -67,7 +67,8 @@ def _values_sql(rows, cols) -> str:
 def duckdb_prelude() -> str:
     """CTEs shared by every oracle query: pitch events + fixture dims."""
     return f"""with pitch as ({projection_sql('duckdb')}),
-dim_match as (select distinct match_id, home_team_id, away_team_id from pitch),
+dim_match as (select distinct match_id, home_team_id, away_team_id, match_id % 4 as competition_id,
+                     100 + match_id % 3 as season_id from pitch),
 dim_team as (select distinct team_id, 'Team ' || cast(team_id as varchar) as team_name from
              (select home_team_id as team_id from pitch union select away_team_id from pitch)),
 dim_player as (select distinct player_id, 'Player ' || cast(player_id as varchar) as player_name
@@ -94,7 +95,9 @@ def pitch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pitch_dims(spark: SparkSession, pitch: DataFrame) -> dict[str, DataFrame]:
     """Fixture dimensions; match/team/player dims are derived from the events."""
-    dim_match = pitch.select("match_id", "home_team_id", "away_team_id").distinct()
+    dim_match = pitch.select("match_id", "home_team_id", "away_team_id",
+                             (F.col("match_id") % 4).alias("competition_id"),
+                             (F.lit(100) + F.col("match_id") % 3).alias("season_id")).distinct()
     teams = (pitch.select(F.col("home_team_id").alias("team_id"))
              .union(pitch.select(F.col("away_team_id").alias("team_id"))).distinct())
     dim_team = teams.select("team_id", F.concat(F.lit("Team "), F.col("team_id").cast("string")).alias("team_name"))
