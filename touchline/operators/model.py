@@ -459,3 +459,47 @@ def dim_player(players: DataFrame | None, lineups: DataFrame | None) -> DataFram
 
 def iter_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [c for c in names if c in df.columns]
+
+
+# ---------------------------------------------------------------------------
+# Lineup and 360 facts
+# ---------------------------------------------------------------------------
+
+FACT_LINEUP_COLUMNS = ("match_id", "team_id", "player_id", "position_id", "jersey_number", "starter", "from", "to")
+
+
+def fact_lineups_players(lineups: DataFrame) -> DataFrame:
+    """The eight lineup columns; JSON-looking text blanked."""
+    sel = []
+    for c in FACT_LINEUP_COLUMNS:
+        if c not in lineups.columns:
+            sel.append(F.lit(None).cast("string").alias(c))
+        elif c.endswith("_id"):
+            sel.append(bigint_col(lineups, c).alias(c))
+        elif isinstance(lineups.schema[c].dataType, T.StringType):
+            sel.append(nested_to_null(F.col(c)).alias(c))
+        else:
+            sel.append(F.col(c).alias(c))
+    return lineups.select(*sel)
+
+
+def fact_three_sixty(visible_area: DataFrame | None, three_sixty: DataFrame | None) -> DataFrame:
+    """(match, event_uuid, point count, has_visible_area = count > 0);
+    source is visible_area, else three_sixty."""
+    src = visible_area if visible_area is not None else three_sixty
+    cnt = (bigint_col(src, "visible_area_point_count") if "visible_area_point_count" in src.columns
+           else F.lit(None).cast("bigint"))
+    return src.select(bigint_col(src, "match_id").alias("match_id"), F.col("event_uuid").cast("string"),
+                      cnt.alias("visible_area_point_count"),
+                      F.coalesce(cnt > 0, F.lit(False)).cast("int").alias("has_visible_area"))
+
+
+def fact_three_sixty_freeze_frames(freeze_frames: DataFrame) -> DataFrame:
+    """Freeze-frame rows with typed coordinates and zone id."""
+    x, y = double_col(freeze_frames, "location_x"), double_col(freeze_frames, "location_y")
+    return freeze_frames.select(
+        bigint_col(freeze_frames, "match_id").alias("match_id"), F.col("event_uuid").cast("string"),
+        bigint_col(freeze_frames, "player_id").alias("player_id"),
+        *[F.col(c).alias(c) if c in freeze_frames.columns else F.lit(None).cast("boolean").alias(c)
+          for c in ("teammate", "actor", "keeper")],
+        x.alias("location_x"), y.alias("location_y"), zone_id(x, y).alias("zone_id"))
