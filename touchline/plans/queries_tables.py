@@ -1,3 +1,247 @@
-"""Driver queries (filled in below)."""
+"""Driver queries for table-agnostic operators (quality, validation, sampling,
+JSON flattening, lineups) over the driver tables."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from touchline.operators import lineups, model, quality, reports, sample, views
+from touchline.plans.catalog import oracle, pitch_dims, pitch_events, register, round_doubles
+from touchline.sources.fixtures import read_source
+from touchline.sources.flatten import flatten_json_column
+
+
+def _t(spark, sf, name):
+    return read_source(spark, sf, name)
+
+
+@register("fk_violations", """
+select 'lineitem.l_orderkey' as "check", count(*) as violations from lineitem l
+  where l.l_orderkey is not null and not exists (select 1 from orders o where o.o_orderkey = l.l_orderkey)
+union all select 'lineitem.l_partkey', count(*) from lineitem l
+  where l.l_partkey is not null and not exists (select 1 from part p where p.p_partkey = l.l_partkey)
+union all select 'lineitem.l_suppkey', count(*) from lineitem l
+  where l.l_suppkey is not null and not exists (select 1 from supplier s where s.s_suppkey = l.l_suppkey)""")
+def q_fk(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    return quality.fk_violations(li, [("l_orderkey", _t(spark, sf, "orders"), "o_orderkey"),
+                                      ("l_partkey", _t(spark, sf, "part"), "p_partkey"),
+                                      ("l_suppkey", _t(spark, sf, "supplier"), "s_suppkey")], "lineitem")
+
+
+@register("orders_fk_violations", """
+select 'orders.o_custkey' as "check", count(*) as violations from orders o
+where o.o_custkey is not null and not exists (select 1 from customer c where c.c_custkey = o.o_custkey)""")
+def q_fk_orders(spark, sf):
+    return quality.fk_violations(_t(spark, sf, "orders"), [("o_custkey", _t(spark, sf, "customer"), "c_custkey")],
+                                 "orders")
+
+
+@register("key_null_rates", """
+select 'lineitem' as "table", c as "column", cast(n as bigint) as null_rows, cast(t as bigint) as checked_rows,
+  printf('%.2f%%', n * 100.0 / t) as null_rate from (
+  select 'l_orderkey' as c, count(*) filter (where l_orderkey is null) as n, count(*) as t from lineitem
+  union all select 'l_partkey', count(*) filter (where l_partkey is null), count(*) from lineitem
+  union all select 'l_returnflag', count(*) filter (where l_returnflag is null or trim(l_returnflag) = ''),
+                   count(*) from lineitem)
+union all select 'lineitem', 'l_missing', null, null, 'column missing'""")
+def q_null_rates(spark, sf):
+    return quality.key_null_rates(_t(spark, sf, "lineitem"), "lineitem",
+                                  ["l_orderkey", "l_partkey", "l_returnflag", "l_missing"])
+
+
+@register("duplicate_line_keys", """
+select count(*) as duplicate_keys, cast(coalesce(sum(n - 1), 0) as bigint) as duplicate_rows from (
+  select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1)""")
+def q_dup_lines(spark, sf):
+    return model.duplicate_extra_rows(_t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("duplicate_dim_keys", """
+select 'customer' as dim, count(*) as duplicate_keys from (select c_custkey from customer group by 1 having count(*) > 1)
+union all select 'nation', count(*) from (select n_nationkey from nation group by 1 having count(*) > 1)
+union all select 'part', count(*) from (select p_partkey from part group by 1 having count(*) > 1)
+union all select 'lineitem_orders', count(*) from (select l_orderkey from lineitem group by 1 having count(*) > 1)""")
+def q_dup_dims(spark, sf):
+    return quality.duplicate_dim_keys({"customer": (_t(spark, sf, "customer"), "c_custkey"),
+                                       "nation": (_t(spark, sf, "nation"), "n_nationkey"),
+                                       "part": (_t(spark, sf, "part"), "p_partkey"),
+                                       "lineitem_orders": (_t(spark, sf, "lineitem"), "l_orderkey")})
+
+
+@register("row_counts", """
+select 'orders' as "table", count(*) as "rows" from orders union all select 'lineitem', count(*) from lineitem
+union all select 'customer', count(*) from customer""")
+def q_row_counts(spark, sf):
+    return quality.row_counts({n: _t(spark, sf, n) for n in ("orders", "lineitem", "customer")})
+
+
+@register("latest_orders_per_customer", """
+select o_custkey, o_orderkey, o_orderdate from orders
+qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) <= 3""")
+def q_latest_orders(spark, sf):
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return reports.latest_per_group(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 3)
+
+
+@register("sample_lineitems_latest_orders", """
+with latest as (select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 50)
+select l_orderkey, l_linenumber, round(l_quantity, 6) as l_quantity from lineitem
+where l_orderkey in (select o_orderkey from latest)""")
+def q_sample_semi(spark, sf):
+    o = _t(spark, sf, "orders")
+    latest = o.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(50) \
+              .select(F.col("o_orderkey").alias("match_id"))
+    li = _t(spark, sf, "lineitem").withColumn("match_id", F.col("l_orderkey"))
+    out = sample.restrict_to_matches(li, latest)
+    return round_doubles(out.select("l_orderkey", "l_linenumber", "l_quantity"))
+
+
+@register("sample_id_union", """
+with latest as (select o_orderkey, o_custkey from orders order by o_orderdate desc, o_orderkey desc limit 50),
+li as (select * from lineitem where l_orderkey in (select o_orderkey from latest))
+select distinct id from (select l_suppkey as id from li union select l_partkey from li) where id is not null""")
+def q_sample_ids(spark, sf):
+    o = _t(spark, sf, "orders")
+    latest = o.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(50) \
+              .select(F.col("o_orderkey").alias("match_id"))
+    li = sample.restrict_to_matches(_t(spark, sf, "lineitem").withColumn("match_id", F.col("l_orderkey")), latest)
+    return sample.id_set([(li, ("l_suppkey", "l_partkey"))], "id")
+
+
+@register("flatten_props", """
+select event_id, cast(json_extract_string(props, '$.k') as bigint) as props_k from events""")
+def q_flatten(spark, sf):
+    ev = _t(spark, sf, "events").select("event_id", "props")
+    return flatten_json_column(ev, "props", "k bigint", keep=["event_id"])
+
+
+# -------------------------- lineups over the pitch projection ---------------
+
+_XI_SQL = """,
+firsts as (select match_id, team_id, player_id, period, minute, second, event_index, event_id from pitch
+           where player_id is not null
+           qualify row_number() over (partition by match_id, team_id, player_id
+                                      order by period, minute, second, event_index, event_id) = 1),
+xi as (select match_id, team_id, player_id, row_number() over (partition by match_id, team_id
+                        order by period, minute, second, event_index, event_id) as sort_order from firsts
+       qualify sort_order <= 11)
+"""
+
+
+@register("starting_xi_events", oracle(_XI_SQL + """
+select match_id, team_id, player_id, 'Player ' || cast(sort_order as varchar) as player_name,
+  cast(sort_order as int) as sort_order from xi"""))
+def q_xi(spark, sf):
+    xi = lineups.xi_from_events(pitch_events(spark, sf))
+    return xi.select("match_id", "team_id", "player_id", "player_name", F.col("sort_order").cast("int"))
+
+
+@register("xi_warnings", oracle(_XI_SQL + """
+select match_id, team_id, count(*) as players, count(distinct 'Player ' || cast(sort_order as varchar))
+  as distinct_names, count(*) <> 11 as size_warning, false as duplicate_names
+from xi group by match_id, team_id"""))
+def q_xi_warn(spark, sf):
+    return lineups.xi_warnings(lineups.xi_from_events(pitch_events(spark, sf)))
+
+
+@register("starting_positions", oracle(_XI_SQL + """
+select x.match_id, x.team_id, x.player_id, cast(60.0 as double) as x,
+  cast(case when x.team_id = m.home_team_id then 34.0 else 66.0 end as double) as y, true as approximate,
+  '?' as jersey_text
+from xi x left join dim_match m on x.match_id = m.match_id"""))
+def q_positions(spark, sf):
+    ev = pitch_events(spark, sf)
+    xi = lineups.xi_from_events(ev)
+    pos = lineups.starting_positions(xi, pitch_dims(spark, ev)["dim_match"])
+    return round_doubles(pos.select("match_id", "team_id", "player_id", "x", "y", "approximate", "jersey_text"))
+
+
+# -------------------------- validation over the pitch fact_shots -------------
+
+@register("shot_fk_checks", oracle("""
+, fs as (select * from pitch where type_name = 'Shot')
+select 'fact_shots.match_id' as "check", count(*) as violations from fs
+  where match_id is not null and match_id not in (select match_id from dim_match)
+union all select 'fact_shots.team_id', count(*) from fs
+  where team_id is not null and team_id not in (select team_id from dim_team)
+union all select 'fact_shots.player_id', count(*) from fs
+  where player_id is not null and player_id not in (select player_id from dim_player)"""))
+def q_shot_fk(spark, sf):
+    ev = pitch_events(spark, sf)
+    d = pitch_dims(spark, ev)
+    fs = model.fact_shots(ev, F.struct("match_id", "event_index"))
+    return quality.fk_violations(fs, [("match_id", d["dim_match"], "match_id"), ("team_id", d["dim_team"], "team_id"),
+                                      ("player_id", d["dim_player"], "player_id")], "fact_shots")
+
+
+@register("shot_null_ids", oracle("""
+, fs as (select * from pitch where type_name = 'Shot')
+select count(*) as "rows", "column", null_ids from (
+  select 'shot_outcome_id' as "column", count(*) filter (where shot_outcome_id is null) as null_ids from fs
+  union all select 'body_part_id', count(*) filter (where body_part_id is null) from fs
+  union all select 'shot_type_id', count(*) filter (where shot_type_id is null) from fs), fs
+group by "column", null_ids"""))
+def q_shot_nulls(spark, sf):
+    ev = pitch_events(spark, sf)
+    return quality.null_id_counts(model.fact_shots(ev, F.struct("match_id", "event_index")))
+
+
+@register("goal_consistency", oracle("""
+, fs as (select * from pitch where type_name = 'Shot')
+select cast(count(*) filter (where lower(trim(coalesce(o.shot_outcome_name, ''))) = 'goal') as bigint)
+         as goals_by_name,
+       count(*) filter (where fs.shot_outcome_id in (select shot_outcome_id from dim_shot_outcome
+                                                     where lower(trim(shot_outcome_name)) = 'goal')) as goals_by_id
+from fs left join dim_shot_outcome o on fs.shot_outcome_id = o.shot_outcome_id"""))
+def q_goal_consistency(spark, sf):
+    ev = pitch_events(spark, sf)
+    d = pitch_dims(spark, ev)
+    return quality.goal_consistency(model.fact_shots(ev, F.struct("match_id", "event_index")), d["dim_shot_outcome"])
+
+
+@register("missing_body_part_labels", oracle("""
+select count(*) filter (where p.body_part_id is not null and b.body_part_name is null) as missing_labels
+from pitch p left join dim_body_part b on p.body_part_id = b.body_part_id where p.type_name = 'Shot'"""))
+def q_missing_labels(spark, sf):
+    ev = pitch_events(spark, sf)
+    d = pitch_dims(spark, ev)
+    fs = model.fact_shots(ev, F.struct("match_id", "event_index"))
+    dim = d["dim_body_part"].withColumnRenamed("body_part_id", "shot_outcome_id") \
+                            .withColumnRenamed("body_part_name", "shot_outcome_name")
+    return quality.missing_outcome_labels(fs.drop("shot_outcome_id").withColumnRenamed("body_part_id",
+                                                                                        "shot_outcome_id"), dim)
+
+
+@register("goals_vs_score", oracle("""
+, g as (select match_id, team_id, count(*) filter (where shot_outcome_id = 97) as goals from pitch
+        where type_name = 'Shot' and team_id is not null group by match_id, team_id)
+select m.match_id, coalesce(h.goals, 0) as goals_home, coalesce(a.goals, 0) as goals_away,
+  cast(null as bigint) as home_score, cast(null as bigint) as away_score, false as consistent
+from dim_match m left join g h on h.match_id = m.match_id and h.team_id = m.home_team_id
+left join g a on a.match_id = m.match_id and a.team_id = m.away_team_id"""))
+def q_goals_vs_score(spark, sf):
+    from touchline.plans.queries_reports import shots_view
+    sv, ev, dims = shots_view(spark, sf)
+    return reports.goals_consistency(reports.match_stats(ev, sv, dims["dim_match"]))
+
+
+@register("stat_bar_shares", oracle("""
+, per as (select match_id, team_id, count(*) as shots from pitch where type_name = 'Shot' and team_id is not null
+          group by match_id, team_id),
+j as (select m.match_id, cast(coalesce(h.shots, 0) as double) as l, cast(coalesce(a.shots, 0) as double) as r
+      from dim_match m left join per h on h.match_id = m.match_id and h.team_id = m.home_team_id
+      left join per a on a.match_id = m.match_id and a.team_id = m.away_team_id)
+select match_id, round(case when l + r > 0 then l / (l + r) * 100 else 50.0 end, 6) as shots_home_pct,
+  round(case when l + r > 0 then r / (l + r) * 100 else 50.0 end, 6) as shots_away_pct from j"""))
+def q_shares(spark, sf):
+    from touchline.plans.queries_reports import shots_view
+    sv, ev, dims = shots_view(spark, sf)
+    return round_doubles(reports.stat_bar_shares(reports.match_stats(ev, sv, dims["dim_match"]), "shots"))
+
+
+@register("lineup_slice", oracle("""
+select match_id, team_id, player_id, type_id, type_name, period, minute, second, event_index, event_id
+from pitch where match_id = 3"""))
+def q_lineup_slice(spark, sf):
+    return views.lineup_events(pitch_events(spark, sf), match_id=3)

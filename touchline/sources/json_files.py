@@ -95,8 +95,14 @@ def read_records(spark: SparkSession, paths: list[str], schema: T.StructType | N
     if schema is None:
         schema = infer_record_schema(spark, paths)
     raw = (spark.read.option("wholetext", "true").text(paths)
-                .select(F.col("_metadata.file_path").alias("_file"),
-                        F.trim(F.regexp_replace("value", "^" + _BOM, "")).alias("_text")))
+                .select(F.col("_metadata.file_path").alias("_file"), "value"))
+    return parse_whole_files(raw, schema, processor)
+
+
+def parse_whole_files(raw: DataFrame, schema: T.StructType, processor: str = "events") -> tuple[DataFrame, DataFrame]:
+    """Parse ``(_file, value)`` rows holding whole JSON files (batch or a
+    streaming micro-batch) into ``(records, quarantine)``."""
+    raw = raw.select("_file", F.trim(F.regexp_replace("value", "^" + _BOM, "")).alias("_text"))
     as_list = F.from_json("_text", T.ArrayType(schema))
     as_obj = F.from_json("_text", schema)
     parsed = raw.select(
