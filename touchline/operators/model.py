@@ -105,12 +105,12 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], ord: str | Column) -> DataF
         c = F.col(k)
         complete = complete & c.isNotNull() & (F.trim(c.cast("string")) != "")
     cols = df.columns
-    keyed = df.where(complete)
-    loose = df.where(~complete)
-    firsts = (keyed.groupBy(*keys)
+    # one scan, one aggregation: a row with an incomplete key gets its own
+    # group through its (unique) ingestion order, so it is never merged
+    solo = F.when(~complete, F.to_json(F.struct(ordc.alias("o"))))
+    return (df.groupBy(*[F.col(k) for k in keys], solo.alias("_solo"))
               .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ordc).alias("_row"))
               .select("_row.*"))
-    return firsts.unionByName(loose)
 
 
 def duplicate_extra_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -208,10 +208,15 @@ def dim_zone(spark: SparkSession) -> DataFrame:
 # facts
 # ---------------------------------------------------------------------------
 
+SHOT_ID_LIST_LIMIT = 10_000
+
+
 def shot_type_ids(events: DataFrame) -> DataFrame:
     """type ids that denote a shot: 16 plus every id seen with type name 'shot'."""
     spark = events.sparkSession
     known = spark.createDataFrame([(i,) for i in KNOWN_SHOT_TYPE_IDS], "shot_type_key bigint")
+    if "type_name" not in events.columns or "type_id" not in events.columns:
+        return known
     seen = (events.where(norm_text(F.col("type_name")) == "shot")
                   .select(bigint_col(events, "type_id").alias("shot_type_key"))
                   .where(F.col("shot_type_key").isNotNull()))
@@ -219,12 +224,20 @@ def shot_type_ids(events: DataFrame) -> DataFrame:
 
 
 def flag_shots(events: DataFrame) -> DataFrame:
-    """Adds ``is_shot`` (F7). The id set is one row per event type id, so the
-    join is tiny on the build side; AQE broadcasts it from its runtime size."""
-    ids = shot_type_ids(events)
+    """Adds ``is_shot``.
+
+    The id set is one row per event type id. It is probed with a bounded
+    fetch (at most ``SHOT_ID_LIST_LIMIT + 1`` ids reach the driver): within
+    the bound it becomes a literal ``isin`` inside the scan's codegen stage;
+    beyond it the set is joined (shuffle join, sized by AQE at run time).
+    """
     tid = bigint_col(events, "type_id") if "type_id" in events.columns else F.lit(None).cast("bigint")
     name_is_shot = (F.coalesce(norm_text(F.col("type_name")) == "shot", F.lit(False))
                     if "type_name" in events.columns else F.lit(False))
+    ids = shot_type_ids(events)
+    probe = [r[0] for r in ids.limit(SHOT_ID_LIST_LIMIT + 1).collect()]
+    if len(probe) <= SHOT_ID_LIST_LIMIT:
+        return events.withColumn("is_shot", name_is_shot | F.coalesce(tid.isin(*probe), F.lit(False)))
     j = events.join(ids, tid == ids["shot_type_key"], "left")
     return j.withColumn("is_shot", name_is_shot | F.col("shot_type_key").isNotNull()).drop("shot_type_key")
 

@@ -84,6 +84,7 @@ def oracle(body: str) -> str:
 
 
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a plain Parquet scan (splits follow the files)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -106,7 +107,8 @@ def pitch_dims(spark: SparkSession, pitch: DataFrame) -> dict[str, DataFrame]:
                           .alias("player_name")))
 
     def small(rows, id_col, name_col):
-        return spark.createDataFrame(rows, f"{id_col} int, {name_col} string")
+        # fixed lists of a few rows: broadcast is safe by construction
+        return F.broadcast(spark.createDataFrame(rows, f"{id_col} int, {name_col} string"))
 
     return {
         "dim_match": dim_match,
