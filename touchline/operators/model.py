@@ -268,7 +268,7 @@ def fact_events(events: DataFrame, dim_match: DataFrame, ord: str | Column) -> D
     sel = [_typed(events, c).alias(c) for c in cols]
     if has_loc:
         sel.append(zone_id(double_col(events, "location_x"), double_col(events, "location_y")).alias("zone_id"))
-    sel.append(time_key(int_col(events, "period"), int_col(events, "minute"), int_col(events, "second"))
+    sel.append(time_key(_typed(events, "period"), _typed(events, "minute"), _typed(events, "second"))
                .alias("time_key"))
     typed = events.select(*sel, ordc.alias("_ord"))
     typed = dedupe_first(typed, ["match_id", "event_id"], "_ord")
@@ -295,7 +295,7 @@ def fact_shots(events: DataFrame, ord: str | Column) -> DataFrame:
             sel.append(_typed(events, c).alias(c))
     if has_loc:
         sel.append(zone_id(double_col(events, "location_x"), double_col(events, "location_y")).alias("zone_id"))
-    sel.append(time_key(int_col(events, "period"), int_col(events, "minute"), int_col(events, "second"))
+    sel.append(time_key(_typed(events, "period"), _typed(events, "minute"), _typed(events, "second"))
                .alias("time_key"))
     shots = flagged.where(F.col("is_shot")).select(*sel, ordc.alias("_ord"))
     return dedupe_first(shots, ["match_id", "event_id"], "_ord").drop("_ord")
