@@ -15,14 +15,15 @@ def test_stream_events_available_now_is_idempotent(spark, scratch):
     write_tree(raw, empty=False)
     paths = sorted(r.path for r in json_files.list_files(spark, raw, "events").collect())
     schema = json_files.infer_record_schema(spark, paths)
-    q = stream_events(spark, f"{raw}/events", out, schema, query_name="t_stream")
+    name = "t_stream_" + os.path.basename(scratch).replace("-", "_")  # checkpoints persist in the shared dir
+    q = stream_events(spark, f"{raw}/events", out, schema, query_name=name)
     q.awaitTermination(300)
     ev = spark.read.parquet(f"{out}/events")
     assert ev.count() == 5
     assert spark.read.parquet(f"{out}/_quarantine").count() == 1
     # a new file arrives: only it is processed on the next availableNow run
     shutil.copy(f"{raw}/events/1002.json", f"{raw}/events/1005.json")
-    q = stream_events(spark, f"{raw}/events", out, schema, query_name="t_stream")
+    q = stream_events(spark, f"{raw}/events", out, schema, query_name=name)
     q.awaitTermination(300)
     ev = spark.read.parquet(f"{out}/events")
     assert ev.count() == 6 and ev.where("match_id = 1005").count() == 1
