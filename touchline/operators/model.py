@@ -516,3 +516,32 @@ def fact_three_sixty_freeze_frames(freeze_frames: DataFrame) -> DataFrame:
         *[F.col(c).alias(c) if c in freeze_frames.columns else F.lit(None).cast("boolean").alias(c)
           for c in ("teammate", "actor", "keeper")],
         x.alias("location_x"), y.alias("location_y"), zone_id(x, y).alias("zone_id"))
+
+
+# ---------------------------------------------------------------------------
+# K6: model notes (grain and relationships)
+# ---------------------------------------------------------------------------
+
+# Table grains and fact -> dimension relationships of the model.
+MODEL_GRAINS = (
+    ("dim_competition", "competition_id"), ("dim_season", "season_id"), ("dim_match", "match_id"),
+    ("dim_team", "team_id"), ("dim_player", "player_id"), ("dim_zone", "zone_id"),
+    ("dim_time", "period, minute, second"), ("fact_events", "match_id, event_id"),
+    ("fact_shots", "match_id, event_id"), ("fact_lineups_players", "match_id, team_id, player_id"),
+    ("fact_three_sixty", "event_uuid"), ("fact_three_sixty_freeze_frames", "match_id, event_uuid, player_id"),
+)
+MODEL_RELATIONSHIPS = (
+    ("fact_events", "match_id", "dim_match"), ("fact_events", "team_id", "dim_team"),
+    ("fact_events", "player_id", "dim_player"), ("fact_events", "zone_id", "dim_zone"),
+    ("fact_events", "time_key", "dim_time"), ("fact_shots", "match_id", "dim_match"),
+    ("fact_shots", "team_id", "dim_team"), ("fact_shots", "player_id", "dim_player"),
+    ("fact_shots", "shot_outcome_id", "dim_shot_outcome"), ("fact_shots", "body_part_id", "dim_body_part"),
+    ("fact_shots", "shot_type_id", "dim_shot_type"), ("dim_match", "competition_id", "dim_competition"),
+    ("dim_match", "season_id", "dim_season"),
+)
+
+
+def model_notes(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """K6: (grains, relationships) as small static tables."""
+    return (spark.createDataFrame(list(MODEL_GRAINS), "table string, grain string"),
+            spark.createDataFrame(list(MODEL_RELATIONSHIPS), "fact string, key string, dimension string"))

@@ -289,3 +289,44 @@ def players_for_matches(fact_events: DataFrame | None, fact_shots: DataFrame | N
 
 def xy_double(df: DataFrame, name: str) -> Column:
     return double_col(df, name)
+
+
+def team_filter(events: DataFrame, team_id: int | None = None, team_name: str | None = None) -> DataFrame:
+    """rows of a team by id, else by case-insensitive (trimmed) name."""
+    if team_id is not None and "team_id" in events.columns:
+        return events.where(bigint_col(events, "team_id") == int(team_id))
+    if team_name and "team_name" in events.columns:
+        return events.where(F.lower(F.trim(F.col("team_name").cast("string"))) == team_name.strip().lower())
+    return events
+
+
+def top_rows(df: DataFrame, order: Sequence[Column], n: int = 200) -> DataFrame:
+    """The first ``n`` rows under an explicit, total order (a report table)."""
+    return df.orderBy(*order).limit(n)
+
+
+def concat_frames(frames: Sequence[DataFrame | None]) -> DataFrame | None:
+    """Union of the given frames by column name; missing columns become null."""
+    valid = [f for f in frames if f is not None]
+    if not valid:
+        return None
+    out = valid[0]
+    for f in valid[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def cascade_choices(dim_match: DataFrame, competition_id: int | None = None, season_id: int | None = None
+                    ) -> dict[str, DataFrame]:
+    """U5 (data side): distinct choices per level, each sorted for display:
+    competitions, seasons of the chosen competition, matches of the chosen
+    competition/season (newest first)."""
+    comps = dim_match.select(bigint_col(dim_match, "competition_id").alias("competition_id"),
+                             *[F.col(c) for c in ("competition_name",) if c in dim_match.columns]).distinct()
+    seasons = dim_match
+    if competition_id is not None:
+        seasons = seasons.where(bigint_col(dim_match, "competition_id") == int(competition_id))
+    seasons = seasons.select(bigint_col(dim_match, "season_id").alias("season_id"),
+                             *[F.col(c) for c in ("season_name",) if c in dim_match.columns]).distinct()
+    return {"competitions": comps.orderBy("competition_id"), "seasons": seasons.orderBy(F.col("season_id").desc()),
+            "matches": matches_list(dim_match, competition_id, season_id)}

@@ -273,3 +273,29 @@ def q_matches_list(spark, sf):
         "home_team_name": F.col("home_team_id").cast("string"), "away_team_name": F.col("away_team_id").cast("string")})
     out = views.matches_list(dm, competition_id=1, season_id=101)
     return out.select("match_id", "competition_id", "season_id", "home_team_id", "away_team_id", "match_label")
+
+
+@register("team_events_by_name", oracle("""
+select p.event_id, p.match_id, p.team_id from pitch p join dim_team t on p.team_id = t.team_id
+where lower(trim(t.team_name)) = 'team 3'"""))
+def q_team_filter(spark, sf):
+    ev = pitch_events(spark, sf)
+    dims = pitch_dims(spark, ev)
+    v = views.events_view(ev, dims["dim_team"], dims["dim_player"])
+    return views.team_filter(v, team_name=" TEAM 3 ").select("event_id", "match_id", "team_id")
+
+
+@register("top_shots_table", oracle(_SHOTS_SQL + """
+select event_id, match_id, round(xg, 6) as xg, shot_outcome from sv
+order by xg desc nulls last, event_id limit 200"""))
+def q_top_rows(spark, sf):
+    sv, _, _ = shots_view(spark, sf)
+    top = views.top_rows(sv, [F.col("xg").desc_nulls_last(), F.col("event_id")], 200)
+    return round_doubles(top.select("event_id", "match_id", "xg", "shot_outcome"))
+
+
+@register("season_choices", oracle("""
+select distinct season_id from dim_match where competition_id = 2"""))
+def q_cascade(spark, sf):
+    ev = pitch_events(spark, sf)
+    return views.cascade_choices(pitch_dims(spark, ev)["dim_match"], competition_id=2)["seasons"]
