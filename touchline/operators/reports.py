@@ -57,10 +57,15 @@ def match_stats(fact_events: DataFrame, fact_shots: DataFrame, dim_match: DataFr
     else:
         rows = es
     rows = rows.where(F.col("team_id").isNotNull())
+    # aggregate first: everything below works on one row per
+    # (match, team, label, outcome id) instead of one row per shot
+    keyed = rows.groupBy("match_id", "team_id", "outcome", "outcome_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("xg_value"), F.lit(0.0))).alias("xg_sum"))
 
     # outcome map from the match's shot events: first non-empty label per id
-    lab = coalesce_existing(ev_shots, ["shot_outcome", "shot_outcome_name"])
-    if "shot_outcome_id" in ev_shots.columns and not isinstance(lab, type(None)):
+    if "shot_outcome_id" in ev_shots.columns and any(
+            c in ev_shots.columns for c in ("shot_outcome", "shot_outcome_name")):
+        lab = coalesce_existing(ev_shots, ["shot_outcome", "shot_outcome_name"])
         ordc = F.struct(*[F.coalesce(bigint_col(ev_shots, c), F.lit(0)) for c in ("period", "minute", "second",
                                                                                     "event_index")
                           if c in ev_shots.columns], F.col("event_id").cast("string") if "event_id" in ev_shots.columns
@@ -70,23 +75,25 @@ def match_stats(fact_events: DataFrame, fact_shots: DataFrame, dim_match: DataFr
                                 F.trim(lab.cast("string")).alias("_lab"), ordc.alias("_o"))
                 .where(F.col("_oid").isNotNull() & (F.col("_lab") != ""))
                 .groupBy("_mm", "_oid").agg(F.min_by("_lab", "_o").alias("_mapped")))
-        rows = rows.join(omap, (rows["match_id"] == omap["_mm"]) & (rows["outcome_id"] == omap["_oid"]), "left")
+        keyed = keyed.join(omap, (keyed["match_id"] == omap["_mm"]) & (keyed["outcome_id"] == omap["_oid"]), "left")
         any_label = F.max(F.col("outcome").isNotNull().cast("int")).over(Window.partitionBy("match_id")) > 0
-        rows = (rows.withColumn("outcome", F.when(any_label, F.col("outcome")).otherwise(F.col("_mapped")))
-                    .drop("_mm", "_oid", "_lab", "_mapped"))
-    rows = rows.withColumn("norm", norm_text(F.col("outcome")))
-
-    per_team = rows.groupBy("match_id", "team_id").agg(
-        F.count(F.lit(1)).alias("shots"),
-        F.count_if(F.col("norm") == "goal").alias("goals"),
-        F.count_if(F.col("norm").isin(*ON_TARGET_OUTCOMES)).alias("on_target"),
-        F.count_if(F.col("norm").isin(*OFF_TARGET_OUTCOMES)).alias("off_target"),
-        F.count_if(F.col("norm").isin(*BLOCKED_OUTCOMES)).alias("blocked"),
-        F.sum(F.coalesce(F.col("xg_value"), F.lit(0.0))).alias("xg"),
-        F.max(F.col("norm").isNotNull().cast("int")).alias("has_outcome"),
+        keyed = (keyed.withColumn("outcome", F.when(any_label, F.col("outcome")).otherwise(F.col("_mapped")))
+                      .drop("_mm", "_oid", "_mapped"))
+    keyed = keyed.withColumn("norm", norm_text(F.col("outcome")))
+
+    def n_if(cond):
+        return F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0))).cast("bigint")
+
+    per_team = keyed.groupBy("match_id", "team_id").agg(
+        F.sum("n").cast("bigint").alias("shots"),
+        n_if(F.col("norm") == "goal").alias("goals"),
+        n_if(F.col("norm").isin(*ON_TARGET_OUTCOMES)).alias("on_target"),
+        n_if(F.col("norm").isin(*OFF_TARGET_OUTCOMES)).alias("off_target"),
+        n_if(F.col("norm").isin(*BLOCKED_OUTCOMES)).alias("blocked"),
+        F.sum("xg_sum").alias("xg"),
     )
-    per_match = rows.groupBy("match_id").agg(F.max(F.col("norm").isNotNull().cast("int")).alias("m_outcomes"),
-                                             F.count(F.lit(1)).alias("m_rows"))
+    per_match = keyed.groupBy("match_id").agg(F.max(F.col("norm").isNotNull().cast("int")).alias("m_outcomes"),
+                                              F.sum("n").alias("m_rows"))
     dm = dim_match.select(bigint_col(dim_match, "match_id").alias("match_id"),
                           bigint_col(dim_match, "home_team_id").alias("home_team_id"),
                           bigint_col(dim_match, "away_team_id").alias("away_team_id"),
