@@ -121,8 +121,29 @@ def run_etl(spark: SparkSession, input_dir: str, output_dir: str, *, incremental
     return result
 
 
+BATCH_FILES = 2000
+
+
+def _tables_for(proc: str, records: DataFrame) -> dict[str, DataFrame]:
+    if proc == "events":
+        return {"events": ingest.events_table(records)}
+    if proc == "competitions":
+        return {"competitions": ingest.competitions_table(records)}
+    if proc == "matches":
+        return {"matches": ingest.matches_table(records)}
+    if proc == "lineups":
+        return {"lineups_players": ingest.lineups_table(records)}
+    main, ff, vis = ingest.three_sixty_tables(records)
+    return {"three_sixty": main, "three_sixty_freeze_frames": ff, "three_sixty_visible_area": vis}
+
+
 def _run_processors(spark, input_dir, output_dir, run_id, result, manifest, force, include, exclude, max_files,
                     strict_json, schemas, produced, listings, todo, quarantines, cached, incremental) -> None:
+    """Changed files are processed in batches of ``BATCH_FILES``: the parsed
+    records of one batch are persisted (memory and disk) and reused by its
+    table writes, then released, so memory does not grow with the run; each
+    batch's manifest rows are appended right after its tables commit, so a
+    failed run resumes after the last committed batch."""
     for proc in json_files.PROCESSORS:
         if include and proc not in include:
             continue
@@ -137,34 +158,29 @@ def _run_processors(spark, input_dir, output_dir, run_id, result, manifest, forc
         result.processed_files[proc] = len(paths)
         if not paths:
             continue
-        records, quarantine = json_files.read_records(spark, paths, schemas.get(proc), proc)
-        records = records.cache()
-        quarantine = quarantine.cache()
-        cached += [records, quarantine]
-        if strict_json and not quarantine.isEmpty():
-            bad = quarantine.select("path").first()["path"]
-            raise ValueError(f"Failed to parse JSON: {bad}")
-        quarantines.append(quarantine)
-        if records.isEmpty():  # every changed file failed to parse: nothing to write
-            _record_manifest(to_process, quarantine, output_dir, run_id)
-            continue
-        if proc == "events":
-            tables = {"events": ingest.events_table(records)}
-        elif proc == "competitions":
-            tables = {"competitions": ingest.competitions_table(records)}
-        elif proc == "matches":
-            tables = {"matches": ingest.matches_table(records)}
-        elif proc == "lineups":
-            tables = {"lineups_players": ingest.lineups_table(records)}
-        else:
-            main, ff, vis = ingest.three_sixty_tables(records)
-            tables = {"three_sixty": main, "three_sixty_freeze_frames": ff, "three_sixty_visible_area": vis}
-        for name, df in tables.items():
-            path = _path(output_dir, name)
-            write_table(df, path, name in _BY_MATCH, overwrite_all=not incremental)
-            result.tables[name] = path
-            produced[name] = df  # changed rows only (from the cached records)
-        _record_manifest(to_process, quarantine, output_dir, run_id)
+        # one schema for the whole run (a Spark JSON inference scan, like a first pass)
+        schema = schemas.get(proc) or json_files.infer_record_schema(spark, paths)
+        for b, start in enumerate(range(0, len(paths), BATCH_FILES)):
+            batch = paths[start:start + BATCH_FILES]
+            records, quarantine = json_files.read_records(spark, batch, schema, proc)
+            records = records.persist()
+            quarantine = quarantine.cache()
+            cached.append(quarantine)
+            try:
+                if strict_json and not quarantine.isEmpty():
+                    bad = quarantine.select("path").first()["path"]
+                    raise ValueError(f"Failed to parse JSON: {bad}")
+                quarantines.append(quarantine)
+                if not records.isEmpty():
+                    for name, df in _tables_for(proc, records).items():
+                        path = _path(output_dir, name)
+                        write_table(df, path, name in _BY_MATCH, overwrite_all=not incremental and b == 0)
+                        result.tables[name] = path
+                        produced[name] = (path, to_process)
+                batch_files = to_process.where(F.col("path").isin(*batch))
+                _record_manifest(batch_files, quarantine, output_dir, run_id)
+            finally:
+                records.unpersist()
 
 
 def _record_manifest(to_process: DataFrame, quarantine: DataFrame, output_dir: str, run_id: str) -> None:
@@ -182,13 +198,20 @@ def _rebuild_dims(spark: SparkSession, output_dir: str, produced: dict[str, Data
     teams_p, players_p = _path(output_dir, "teams"), _path(output_dir, "players")
     prev_t = spark.read.parquet(teams_p) if incremental and _exists(spark, teams_p) else None
     prev_p = spark.read.parquet(players_p) if incremental and _exists(spark, players_p) else None
-    ev = produced.get("events")
+    def changed_rows(name: str) -> DataFrame | None:
+        """Rows of this run's files, read back from the written table."""
+        if name not in produced:
+            return None
+        path, files = produced[name]
+        return spark.read.parquet(path).join(files.select(F.col("path").alias("_file")), "_file", "left_semi")
+
+    ev = changed_rows("events")
     if ev is not None:
         ev = ev.select("team_id", "team_name" if "team_name" in ev.columns else F.lit("").alias("team_name"),
                        "player_id", "player_name" if "player_name" in ev.columns else F.lit("").alias("player_name"),
                        "_file", "_pos", "_rank")
-    teams, players = ingest.etl_dimensions(ev, produced.get("matches"), produced.get("lineups_players"),
-                                           produced.get("three_sixty_freeze_frames"), prev_t, prev_p)
+    teams, players = ingest.etl_dimensions(ev, changed_rows("matches"), changed_rows("lineups_players"),
+                                           changed_rows("three_sixty_freeze_frames"), prev_t, prev_p)
     for df, path in ((teams, teams_p), (players, players_p)):
         if df is None:
             continue
