@@ -130,21 +130,21 @@ def q_dedupe(spark, sf):
 
 
 @register("first_order_per_customer", oracle("""
-select o_custkey, o_orderkey, o_orderdate, round(o_totalprice, 6) as o_totalprice from orders
-qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1"""))
+select o_custkey, o_orderkey, cast(o_orderdate as date) as o_orderdate, round(o_totalprice, 6) as o_totalprice
+from orders qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1"""))
 def q_first_order(spark, sf):
     o = read_source(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     out = model.first_row_per_key(o.withColumn("_ord", F.struct("o_orderdate", "o_orderkey")), "o_custkey", "_ord")
-    return round_doubles(out.drop("_ord"))
+    return round_doubles(out.drop("_ord").withColumn("o_orderdate", F.to_date("o_orderdate")))
 
 
 @register("last_order_per_customer", oracle("""
-select o_custkey, o_orderkey, o_orderdate, o_orderstatus from orders
+select o_custkey, o_orderkey, cast(o_orderdate as date) as o_orderdate, o_orderstatus from orders
 qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1"""))
 def q_last_order(spark, sf):
     o = read_source(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
     out = model.last_row_per_key(o.withColumn("_ord", F.struct("o_orderdate", "o_orderkey")), "o_custkey", "_ord")
-    return out.drop("_ord")
+    return out.drop("_ord").withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
 @register("first_name_per_id", oracle("""

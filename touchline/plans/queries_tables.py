@@ -77,11 +77,12 @@ def q_row_counts(spark, sf):
 
 
 @register("latest_orders_per_customer", """
-select o_custkey, o_orderkey, o_orderdate from orders
+select o_custkey, o_orderkey, cast(o_orderdate as date) as o_orderdate from orders
 qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) <= 3""")
 def q_latest_orders(spark, sf):
     o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    return reports.latest_per_group(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 3)
+    top = reports.latest_per_group(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 3)
+    return top.withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
 @register("sample_lineitems_latest_orders", """
