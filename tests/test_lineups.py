@@ -64,3 +64,21 @@ def test_formation_and_clock_and_mirror(spark):
                                "match_id int, team_id int, type_name string, event_index int, "
                                "tactics_formation string, formation string")
     assert lineups.formations(ev).first().formation == "4-4-2"
+
+
+def test_round_based_pick_equals_fold(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        team = rnd.choice([10, 20])
+        pid = rnd.choice([None] + list(range(1, 25)))
+        name = rnd.choice(["", "A", "B", "C", "D", "E", "F", "G", "h", "H", "I", "J", "K", "L", "M", "N", "O"])
+        rows.append((1, team, pid, name, i))
+    ev = spark.createDataFrame(rows, "match_id int, team_id int, player_id int, player_name string, event_index int")
+    folded = sorted((r.team_id, r.sort_order, r.player_id, r.player_name)
+                    for r in lineups.xi_from_events(ev).collect())
+    monkeypatch.setattr(lineups, "XI_PAIR_CAP", 5)
+    rounds = sorted((r.team_id, r.sort_order, r.player_id, r.player_name)
+                    for r in lineups.xi_from_events(ev).collect())
+    assert rounds == folded and len(folded) > 11
