@@ -15,7 +15,13 @@ from touchline.operators import model, quality
 from touchline.sources.json_files import ingest_order
 from touchline.sources.tables import read_table
 
-PARTITIONED_FACTS = {"fact_events", "fact_shots", "fact_three_sixty_freeze_frames"}
+# Fact layout: fact_events is partitioned by competition and season (a few
+# thousand folders at full scale, pruned by the usual report filters) and
+# sorted by match inside each partition, so Parquet row-group statistics prune
+# a match_id predicate; the other facts are range-partitioned by match.
+PARTITION_COLUMNS = {"fact_events": ["competition_id", "season_id"]}
+MATCH_SORTED = {"fact_events", "fact_shots", "fact_lineups_players", "fact_three_sixty",
+                "fact_three_sixty_freeze_frames"}
 
 
 def build_model(spark: SparkSession, processed_dir: str) -> dict[str, DataFrame]:
@@ -84,9 +90,18 @@ def export_star_schema(spark: SparkSession, processed_dir: str, output_dir: str,
     counts: dict[str, int] = {}
     for name, df in tables.items():
         path = f"{output_dir.rstrip('/')}/{name}"
-        w = df.write.mode("overwrite")
-        if name in PARTITIONED_FACTS and "match_id" in df.columns:
-            w = df.hint("rebalance", "match_id").write.mode("overwrite").partitionBy("match_id")
+        parts = [c for c in PARTITION_COLUMNS.get(name, []) if c in df.columns]
+        # range partitioning on (partition cols, match, a row-level tie) splits a
+        # hot match over several sorted output files instead of one task
+        tie = [c for c in ("event_id", "event_uuid", "player_id") if c in df.columns][:1]
+        if parts:
+            df = df.repartitionByRange(*parts, "match_id", *tie).sortWithinPartitions(*parts, "match_id", *tie)
+            w = df.write.mode("overwrite").partitionBy(*parts)
+        elif name in MATCH_SORTED and "match_id" in df.columns:
+            w = (df.repartitionByRange("match_id", *tie).sortWithinPartitions("match_id", *tie)
+                   .write.mode("overwrite"))
+        else:
+            w = df.write.mode("overwrite")
         if output_format == "csv":
             w.option("header", "true").csv(path)
             counts[name] = spark.read.option("header", "true").csv(path).count()

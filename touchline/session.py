@@ -56,3 +56,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def scale_conf(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings a cluster job sets from its input size: shuffle partitions so a
+    shuffle partition is ~``target_partition_bytes`` (AQE coalesces smaller
+    ones and splits skewed ones), at least two waves of tasks, and input
+    splits of the same size.
+
+    >>> scale_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"]
+    '409600'
+    """
+    parts = max(2 * executor_cores_total, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
