@@ -75,13 +75,15 @@ def dedupe_shots(shots: DataFrame) -> DataFrame:
                  .select(*[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
-def _lookup(dim: DataFrame | None, id_col: str, name_col: str) -> DataFrame | None:
-    """Deduped (id, name) lookup with a numeric key (D3)."""
+def _lookup(dim: DataFrame | None, id_col: str, name_col: str, unique: bool = False) -> DataFrame | None:
+    """(id, name) lookup with a numeric key (D3): one row per id. A dimension
+    already unique on its key (model dims, checked by Q9) skips the dedupe
+    aggregation."""
     if dim is None or id_col not in dim.columns or name_col not in dim.columns:
         return None
-    return (dim.select(bigint_col(dim, id_col).alias(id_col), F.col(name_col).cast("string").alias(name_col))
-               .where(F.col(id_col).isNotNull())
-               .groupBy(id_col).agg(F.min(name_col).alias(name_col)))
+    lk = (dim.select(bigint_col(dim, id_col).alias(id_col), F.col(name_col).cast("string").alias(name_col))
+             .where(F.col(id_col).isNotNull()))
+    return lk if unique else lk.groupBy(id_col).agg(F.min(name_col).alias(name_col))
 
 
 def _legacy(df: DataFrame, names: Sequence[str]) -> Column | None:
@@ -92,7 +94,7 @@ def _legacy(df: DataFrame, names: Sequence[str]) -> Column | None:
 
 
 def ensure_shot_labels(shots: DataFrame, dim_shot_outcome: DataFrame | None, dim_body_part: DataFrame | None,
-                       dim_shot_type: DataFrame | None) -> DataFrame:
+                       dim_shot_type: DataFrame | None, dims_unique: bool = False) -> DataFrame:
     """Readable shot_outcome, body_part, shot_type.
 
     A legacy text label wins when it is not numeric-looking; otherwise the
@@ -114,7 +116,7 @@ def ensure_shot_labels(shots: DataFrame, dim_shot_outcome: DataFrame | None, dim
              ("shot_type", "shot_type_id", dim_shot_type, "shot_type_name"))
     new_cols = {}
     for label, id_col, dim, dim_name in specs:
-        lk = _lookup(dim, id_col, dim_name)
+        lk = _lookup(dim, id_col, dim_name, dims_unique)
         mapped = F.lit(None).cast("string")
         if lk is not None and id_col in out.columns:
             alias = f"_lbl_{label}"
@@ -127,11 +129,12 @@ def ensure_shot_labels(shots: DataFrame, dim_shot_outcome: DataFrame | None, dim
                     "body_part_name", "shot_type_name")
 
 
-def with_names_from_dims(view: DataFrame, dim_team: DataFrame | None, dim_player: DataFrame | None) -> DataFrame:
+def with_names_from_dims(view: DataFrame, dim_team: DataFrame | None, dim_player: DataFrame | None,
+                         dims_unique: bool = False) -> DataFrame:
     """Fill null team/player names from the dimensions."""
     out = view
     for dim, id_col, name_col in ((dim_team, "team_id", "team_name"), (dim_player, "player_id", "player_name")):
-        lk = _lookup(dim, id_col, name_col)
+        lk = _lookup(dim, id_col, name_col, dims_unique)
         if lk is None or id_col not in out.columns:
             if name_col not in out.columns:
                 out = out.withColumn(name_col, F.lit(None).cast("string"))
@@ -144,7 +147,7 @@ def with_names_from_dims(view: DataFrame, dim_team: DataFrame | None, dim_player
 
 
 def shots_view(fact_shots: DataFrame, dim_team: DataFrame | None = None,
-               dim_player: DataFrame | None = None) -> DataFrame:
+               dim_player: DataFrame | None = None, dims_unique: bool = False) -> DataFrame:
     """Canonical x, y, xg, labels and ``is_goal`` (label goal or outcome id 97)."""
     v = fact_shots.withColumns({
         "x": coalesce_existing(fact_shots, ["x", "location_x"]).try_cast("double"),
@@ -159,11 +162,11 @@ def shots_view(fact_shots: DataFrame, dim_team: DataFrame | None = None,
     if "shot_outcome_id" in fact_shots.columns:
         goal = goal | F.coalesce(bigint_col(fact_shots, "shot_outcome_id") == GOAL_OUTCOME_ID, F.lit(False))
     v = v.withColumn("is_goal", goal)
-    return with_names_from_dims(v, dim_team, dim_player)
+    return with_names_from_dims(v, dim_team, dim_player, dims_unique)
 
 
 def events_view(fact_events: DataFrame, dim_team: DataFrame | None = None,
-                dim_player: DataFrame | None = None) -> DataFrame:
+                dim_player: DataFrame | None = None, dims_unique: bool = False) -> DataFrame:
     """Events with x, y, xg and a shot outcome label, names from dims."""
     def first(cands):
         c = existing(fact_events, cands)
@@ -174,7 +177,7 @@ def events_view(fact_events: DataFrame, dim_team: DataFrame | None = None,
         "shot_outcome": coalesce_existing(fact_events, ["shot_outcome", "shot_outcome_name", "outcome_name",
                                                         "outcome_id"]).cast("string"),
     })
-    return with_names_from_dims(v, dim_team, dim_player)
+    return with_names_from_dims(v, dim_team, dim_player, dims_unique)
 
 
 def enrich_dim_match(dim_match: DataFrame, dim_team: DataFrame | None = None,

@@ -31,8 +31,10 @@ def shots_view(spark, sf):
     dims = pitch_dims(spark, ev)
     fs = model.fact_shots(ev, F.struct("match_id", "event_index"))
     fs = views.dedupe_shots(fs)
-    fs = views.ensure_shot_labels(fs, dims["dim_shot_outcome"], dims["dim_body_part"], dims["dim_shot_type"])
-    return views.shots_view(fs, dims["dim_team"], dims["dim_player"]), ev, dims
+    # fixture dims are unique by construction (distinct ids / fixed lists)
+    fs = views.ensure_shot_labels(fs, dims["dim_shot_outcome"], dims["dim_body_part"], dims["dim_shot_type"],
+                                  dims_unique=True)
+    return views.shots_view(fs, dims["dim_team"], dims["dim_player"], dims_unique=True), ev, dims
 
 
 @register("shots_view", oracle(_SHOTS_SQL + """
@@ -247,7 +249,7 @@ from pitch p left join dim_team t on p.team_id = t.team_id left join dim_player
 def q_events_view(spark, sf):
     ev = pitch_events(spark, sf)
     dims = pitch_dims(spark, ev)
-    v = views.events_view(ev, dims["dim_team"], dims["dim_player"])
+    v = views.events_view(ev, dims["dim_team"], dims["dim_player"], dims_unique=True)
     return round_doubles(v.select("event_id", "match_id", "x", "y", "xg", "team_name", "player_name"))
 
 
