@@ -51,16 +51,15 @@ def match_stats(fact_events: DataFrame, fact_shots: DataFrame, dim_match: DataFr
     ev_shots = _event_shots(fact_events)
     fs = _shot_rows(fact_shots, 0) if "team_id" in fact_shots.columns else None
     es = _shot_rows(ev_shots, 1)
-    if fs is not None:
-        have = fs.select("match_id").distinct()
-        rows = fs.unionByName(es.join(have, "match_id", "left_anti"))
-    else:
-        rows = es
-    rows = rows.where(F.col("team_id").isNotNull())
+    rows = fs.unionByName(es) if fs is not None else es
     # aggregate first: everything below works on one row per
-    # (match, team, label, outcome id) instead of one row per shot
-    keyed = rows.groupBy("match_id", "team_id", "outcome", "outcome_id").agg(
+    # (match, team, label, outcome id, source) instead of one row per shot;
+    # each match keeps its fact_shots rows, or its shot events when it has none
+    keyed = rows.groupBy("match_id", "team_id", "outcome", "outcome_id", "src").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("xg_value"), F.lit(0.0))).alias("xg_sum"))
+    keyed = (keyed.withColumn("_src", F.min("src").over(Window.partitionBy("match_id")))
+                  .where((F.col("src") == F.col("_src")) & F.col("team_id").isNotNull())
+                  .drop("src", "_src"))
 
     # outcome map from the match's shot events: first non-empty label per id
     if "shot_outcome_id" in ev_shots.columns and any(
