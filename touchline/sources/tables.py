@@ -19,7 +19,8 @@ def read_table(spark: SparkSession, base_dir: str, name: str, schema: T.StructTy
                       (f"{base}/{name}.csv", "csv"), (f"{base}/{name}", "csv")):
         try:
             if fmt == "parquet":
-                df = spark.read.parquet(path)
+                # partitions written by different runs may carry different columns
+                df = spark.read.option("mergeSchema", "true").parquet(path)
             else:
                 df = spark.read.option("header", "true").csv(path)
             if df.columns:
