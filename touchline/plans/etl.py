@@ -121,7 +121,9 @@ def run_etl(spark: SparkSession, input_dir: str, output_dir: str, *, incremental
     return result
 
 
-BATCH_FILES = 2000
+# files per batch: ~20k match files (~80 GB of parsed records at full match size)
+# spread over the cluster; bounded memory, few listing round trips
+BATCH_FILES = 20000
 
 
 def _tables_for(proc: str, records: DataFrame) -> dict[str, DataFrame]:

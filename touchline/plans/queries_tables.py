@@ -178,11 +178,10 @@ def q_shot_fk(spark, sf):
 
 @register("shot_null_ids", oracle("""
 , fs as (select * from pitch where type_name = 'Shot')
-select count(*) as "rows", "column", null_ids from (
+select (select count(*) from fs) as "rows", "column", null_ids from (
   select 'shot_outcome_id' as "column", count(*) filter (where shot_outcome_id is null) as null_ids from fs
   union all select 'body_part_id', count(*) filter (where body_part_id is null) from fs
-  union all select 'shot_type_id', count(*) filter (where shot_type_id is null) from fs), fs
-group by "column", null_ids"""))
+  union all select 'shot_type_id', count(*) filter (where shot_type_id is null) from fs)"""))
 def q_shot_nulls(spark, sf):
     ev = pitch_events(spark, sf)
     return quality.null_id_counts(model.fact_shots(ev, F.struct("match_id", "event_index")))
