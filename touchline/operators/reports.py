@@ -159,14 +159,17 @@ def shot_outcome_distribution(shots_view: DataFrame, by: Sequence[str]) -> DataF
 
 
 def shot_timing(shots_view: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Shots per minute."""
-    return shots_view.groupBy(*by, "minute").agg(F.count(F.lit(1)).alias("shots"))
+    """Shots per minute (shots without a minute are not counted)."""
+    return (shots_view.where(F.col("minute").isNotNull())
+                      .groupBy(*by, "minute").agg(F.count(F.lit(1)).alias("shots")))
 
 
 def cumulative_xg(shots_view: DataFrame, by: Sequence[str] = ("match_id", "team_id")) -> DataFrame:
     """xG per minute and its running total. The window runs over one row
     per (group, minute), so it stays small whatever the shot volume."""
-    per_min = shots_view.groupBy(*by, "minute").agg(F.sum("xg").alias("xg"))
+    # a minute whose shots all lack xG contributes 0; shots without a minute are left out
+    per_min = (shots_view.where(F.col("minute").isNotNull())
+                         .groupBy(*by, "minute").agg(F.coalesce(F.sum("xg"), F.lit(0.0)).alias("xg")))
     w = Window.partitionBy(*by).orderBy(F.col("minute").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     return per_min.withColumn("cum_xg", F.sum("xg").over(w))
 
@@ -179,7 +182,8 @@ def top_shooters(shots_view: DataFrame, by: Sequence[str] = ("match_id", "team_i
     """
     per = (shots_view.where(F.col("player_name").isNotNull())
                      .groupBy(*by, "player_name")
-                     .agg(F.count(F.lit(1)).alias("shots"), F.sum("xg").alias("total_xg")))
+                     .agg(F.count(F.lit(1)).alias("shots"),
+                          F.coalesce(F.sum("xg"), F.lit(0.0)).alias("total_xg")))
     w = Window.partitionBy(*by).orderBy(F.col("shots").desc(), F.col("total_xg").desc_nulls_last(),
                                         F.col("player_name"))
     return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

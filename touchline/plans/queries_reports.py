@@ -104,14 +104,16 @@ def q_shot_outcomes(spark, sf):
 
 
 @register("shot_timing", oracle(_SHOTS_SQL + """
-select match_id, player_id, minute, count(*) as shots from sv group by match_id, player_id, minute"""))
+select match_id, player_id, minute, count(*) as shots from sv where minute is not null
+group by match_id, player_id, minute"""))
 def q_shot_timing(spark, sf):
     sv, _, _ = shots_view(spark, sf)
     return reports.shot_timing(sv, ["match_id", "player_id"])
 
 
 @register("xg_timeline", oracle(_SHOTS_SQL + """
-, pm as (select match_id, team_id, minute, sum(xg) as xg from sv group by match_id, team_id, minute)
+, pm as (select match_id, team_id, minute, coalesce(sum(xg), 0.0) as xg from sv where minute is not null
+        group by match_id, team_id, minute)
 select match_id, team_id, minute, round(xg, 6) as xg,
   round(sum(xg) over (partition by match_id, team_id order by minute nulls last
                       rows between unbounded preceding and current row), 6) as cum_xg
@@ -122,7 +124,7 @@ def q_xg_timeline(spark, sf):
 
 
 @register("top_shooters", oracle(_SHOTS_SQL + """
-, per as (select match_id, team_id, player_name, count(*) as shots, sum(xg) as total_xg from sv
+, per as (select match_id, team_id, player_name, count(*) as shots, coalesce(sum(xg), 0.0) as total_xg from sv
           where player_name is not null group by match_id, team_id, player_name)
 select match_id, team_id, player_name, shots, round(total_xg, 6) as total_xg, rank from (
   select *, row_number() over (partition by match_id, team_id
