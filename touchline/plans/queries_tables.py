@@ -245,3 +245,51 @@ select match_id, team_id, player_id, type_id, type_name, period, minute, second,
 from pitch where match_id = 3"""))
 def q_lineup_slice(spark, sf):
     return views.lineup_events(pitch_events(spark, sf), match_id=3)
+
+
+# -------------------------- positions (P17, P18, W8, J12) ---------------------
+# Position names are derived from the player id over the 25 mapped names plus
+# one unmapped name, so the XI built from events carries positions.
+
+def _position_names() -> list[str]:
+    return [name.title() for name, _, _ in lineups.POSITION_COORDS] + ["Mystery Role"]
+
+
+def _position_expr():
+    names = _position_names()
+    return F.element_at(F.array(*[F.lit(n) for n in names]),
+                        (F.col("player_id") % len(names) + 1).cast("int"))
+
+
+def _position_sql() -> str:
+    names = _position_names()
+    arr = "[" + ", ".join("'" + n + "'" for n in names) + "]"
+    coords = ", ".join(f"('{k}', {x}, {y})" for k, x, y in lineups.POSITION_COORDS)
+    return f""",
+named as (select x.*, {arr}[cast(x.player_id % {len(names)} as int) + 1] as position_name from xi x),
+coords as (select * from (values {coords}) t(pos_key, x_up, y_up))
+"""
+
+
+@register("starting_positions_named", oracle(_XI_SQL + _position_sql() + """
+select n.match_id, n.team_id, n.player_id, n.position_name,
+  cast(coalesce(c.x_up, 60.0) as double) as x,
+  cast(case when n.team_id = m.home_team_id then 100.0 - coalesce(c.y_up, 66.0) else coalesce(c.y_up, 66.0) end
+       as double) as y,
+  c.x_up is null as approximate
+from named n left join coords c on lower(trim(n.position_name)) = c.pos_key
+left join dim_match m on n.match_id = m.match_id"""))
+def q_positions_named(spark, sf):
+    ev = pitch_events(spark, sf)
+    xi = lineups.xi_from_events(ev.withColumn("position_name", _position_expr()))
+    pos = lineups.starting_positions(xi, pitch_dims(spark, ev)["dim_match"])
+    return round_doubles(pos.select("match_id", "team_id", "player_id", "position_name", "x", "y", "approximate"))
+
+
+@register("unmapped_positions", oracle(_XI_SQL + _position_sql() + """
+select distinct n.match_id, n.team_id, n.position_name from named n
+left join coords c on lower(trim(n.position_name)) = c.pos_key where c.pos_key is null"""))
+def q_unmapped(spark, sf):
+    ev = pitch_events(spark, sf)
+    xi = lineups.xi_from_events(ev.withColumn("position_name", _position_expr()))
+    return lineups.unmapped_positions(xi)
