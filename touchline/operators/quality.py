@@ -33,19 +33,16 @@ def key_null_rates(df: DataFrame, table: str, key_columns: Sequence[str], sample
     for c in present:
         blank = F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
         aggs.append(F.count_if(blank).alias(c))
-    row = src.agg(*aggs)
-    parts = []
-    for c in key_columns:
-        if c in present:
-            parts.append(row.select(F.lit(table).alias("table"), F.lit(c).alias("column"),
-                                    F.col(f"`{c}`").cast("bigint").alias("null_rows"),
-                                    F.col("_n").cast("bigint").alias("checked_rows")))
-        else:
-            parts.append(spark.createDataFrame([(table, c, None, None)],
-                                               "table string, column string, null_rows bigint, checked_rows bigint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    schema = "table string, column string, null_rows bigint, checked_rows bigint"
+    missing = [(table, c, None, None) for c in key_columns if c not in present]
+    out = spark.createDataFrame(missing, schema) if missing or not present else None
+    if present:
+        # one aggregation pass for all columns, then one row per column
+        counts = (src.agg(*aggs)
+                     .unpivot(["_n"], [F.col(f"`{c}`").alias(c) for c in present], "column", "null_rows")
+                     .select(F.lit(table).alias("table"), "column", F.col("null_rows").cast("bigint"),
+                             F.col("_n").cast("bigint").alias("checked_rows")))
+        out = counts if out is None else counts.unionByName(out)
     rate = F.format_string("%.2f%%", F.col("null_rows") * 100.0 / F.col("checked_rows"))
     return out.withColumn("null_rate", F.when(F.col("null_rows").isNull(), F.lit("column missing"))
                           .when(F.col("checked_rows") == 0, F.lit("not computed")).otherwise(rate))
