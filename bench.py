@@ -41,16 +41,23 @@ def main() -> None:
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
         def run() -> float:
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t0
-        run()  # warm-up
-        times[name] = round(statistics.median(run() for _ in range(repeat)), 3)
+        try:
+            run()  # warm-up
+            times[name] = round(statistics.median(run() for _ in range(repeat)), 3)
+        except Exception as exc:  # keep measuring the others; report the failure
+            errors[name] = str(exc)[:300]
     sf = sf_dir.rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "headline_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf}))
+    out = {"metric": "headline_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
