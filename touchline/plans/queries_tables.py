@@ -293,3 +293,88 @@ def q_unmapped(spark, sf):
     ev = pitch_events(spark, sf)
     xi = lineups.xi_from_events(ev.withColumn("position_name", _position_expr()))
     return lineups.unmapped_positions(xi)
+
+
+# -------------------------- dimension precedence (A16, A17) ------------------
+# Three name sources derived from the projection: a teams table (one row per
+# event team, 'Team n'), the matches (home/away names, blank for every third
+# match) and lineup rows (one per event player, blank names for some players).
+
+_PRECEDENCE_SQL = """,
+teams_src as (select team_id, 'Team ' || cast(team_id as varchar) as team_name, event_id as o from pitch
+              where team_id is not null),
+match_src as (select match_id, home_team_id, away_team_id,
+                case when match_id % 3 = 0 then '' else 'Home side ' || cast(home_team_id as varchar) end as hn,
+                'Away side ' || cast(away_team_id as varchar) as an, event_id as o from pitch),
+lineup_src as (select team_id, case when player_id % 4 = 0 then '' else 'Lineup ' || cast(team_id as varchar) end
+                 as team_name, player_id, case when player_id % 5 = 0 then '' else 'Player ' || cast(player_id as varchar)
+                 end as player_name, event_id as o from pitch where team_id is not null),
+t1 as (select team_id, arg_max(team_name, o) as teams_name from teams_src group by team_id),
+m1 as (select match_id, min(o) as first_o, arg_max(home_team_id, o) as h, arg_max(away_team_id, o) as a,
+              arg_max(hn, o) as hn, arg_max(an, o) as an from match_src group by match_id),
+m2 as (select team_id, arg_max(name, (first_o, side)) as matches_name from (
+         select h as team_id, hn as name, first_o, 0 as side from m1
+         union all select a, an, first_o, 1 from m1) where team_id is not null group by team_id),
+l1 as (select team_id, arg_min(team_name, o) filter (where team_name <> '') as lineup_name from lineup_src
+       group by team_id),
+ids as (select team_id from t1 union select team_id from m2 union select team_id from l1)
+"""
+
+
+def _precedence_frames(spark, sf):
+    ev = pitch_events(spark, sf).withColumn("o", F.col("event_id"))
+    teams = ev.where(F.col("team_id").isNotNull()).select(
+        "team_id", F.concat(F.lit("Team "), F.col("team_id").cast("string")).alias("team_name"), F.col("o").alias("_ord"))
+    matches = ev.select(
+        "match_id", "home_team_id", "away_team_id",
+        F.when(F.col("match_id") % 3 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("Home side "), F.col("home_team_id").cast("string"))).alias("home_team_name"),
+        F.concat(F.lit("Away side "), F.col("away_team_id").cast("string")).alias("away_team_name"),
+        F.col("o").alias("_ord"))
+    lineups_src = ev.where(F.col("team_id").isNotNull()).select(
+        "team_id", F.when(F.col("player_id") % 4 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("Lineup "), F.col("team_id").cast("string"))).alias("team_name"),
+        "player_id", F.when(F.col("player_id") % 5 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("Player "), F.col("player_id").cast("string"))).alias("player_name"),
+        F.col("o").alias("_ord"))
+    return teams, matches, lineups_src
+
+
+@register("dim_team_precedence", oracle(_PRECEDENCE_SQL + """
+select ids.team_id,
+  case when coalesce(coalesce(m2.matches_name, t1.teams_name), '') = ''
+       then coalesce(l1.lineup_name, coalesce(m2.matches_name, t1.teams_name), '')
+       else coalesce(m2.matches_name, t1.teams_name) end as team_name
+from ids left join t1 on t1.team_id = ids.team_id left join m2 on m2.team_id = ids.team_id
+left join l1 on l1.team_id = ids.team_id"""))
+def q_dim_team_precedence(spark, sf):
+    teams, matches, lineups_src = _precedence_frames(spark, sf)
+    return model.dim_team(teams, matches, lineups_src)
+
+
+@register("dim_player_precedence", oracle("""
+, num as (select *, cast(substr(event_id, 2) as bigint) as o from pitch where player_id is not null),
+players_src as (select player_id, case when player_id % 5 = 0 then '' else 'P' || cast(player_id as varchar) end
+                  as player_name, case when o % 2 = 0 then team_id end as team_id, o from num),
+lineup_src as (select player_id, case when player_id % 3 = 0 then '' else 'Lineup ' || cast(player_id as varchar) end
+                 as player_name, team_id, o from num),
+p0 as (select player_id, arg_max({'n': player_name, 't': team_id}, o) as r from players_src group by player_id),
+p1 as (select player_id, r.n as base_name, r.t as base_team from p0),
+l1 as (select player_id, arg_min(player_name, o) filter (where player_name <> '') as lineup_name,
+              arg_min(team_id, o) filter (where team_id is not null) as lineup_team from lineup_src group by player_id)
+select coalesce(p1.player_id, l1.player_id) as player_id,
+  case when coalesce(p1.base_name, '') <> '' then p1.base_name else coalesce(l1.lineup_name, '') end as player_name,
+  coalesce(p1.base_team, l1.lineup_team) as team_id
+from p1 full join l1 on p1.player_id = l1.player_id"""))
+def q_dim_player_precedence(spark, sf):
+    ev = pitch_events(spark, sf).where(F.col("player_id").isNotNull())
+    players = ev.select(
+        "player_id", F.when(F.col("player_id") % 5 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("P"), F.col("player_id").cast("string"))).alias("player_name"),
+        F.when(F.col("event_id").substr(2, 20).cast("bigint") % 2 == 0, F.col("team_id")).alias("team_id"),
+        F.col("event_id").substr(2, 20).cast("bigint").alias("_ord"))
+    lineups_src = ev.select(
+        "player_id", F.when(F.col("player_id") % 3 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("Lineup "), F.col("player_id").cast("string"))).alias("player_name"),
+        "team_id", F.col("event_id").substr(2, 20).cast("bigint").alias("_ord"))
+    return model.dim_player(players, lineups_src)
