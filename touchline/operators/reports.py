@@ -282,7 +282,3 @@ def latest_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
     """T2 generalised: newest ``max(1, n)`` rows per group (order given)."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= max(1, n)).drop("_rk")
-
-
-def minute_int(df: DataFrame) -> Column:
-    return int_col(df, "minute")

@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.coerce import (bigint_col, coalesce_existing, double_col, existing, label_or_null,
-                                        norm_text)
+from touchline.functions.coerce import bigint_col, coalesce_existing, existing, label_or_null, norm_text
 
 # Canonical goal outcome id.
 GOAL_OUTCOME_ID = 97
@@ -290,10 +289,6 @@ def players_for_matches(fact_events: DataFrame | None, fact_shots: DataFrame | N
     return per.withColumn("player_name", F.coalesce(F.col("player_name"), F.col("player_id").cast("string")))
 
 
-def xy_double(df: DataFrame, name: str) -> Column:
-    return double_col(df, name)
-
-
 def team_filter(events: DataFrame, team_id: int | None = None, team_name: str | None = None) -> DataFrame:
     """rows of a team by id, else by case-insensitive (trimmed) name."""
     if team_id is not None and "team_id" in events.columns:
