@@ -83,3 +83,18 @@ def test_match_label(spark):
     df = spark.createDataFrame([("A", "B", "2024-01-01"), ("", " ", "2024"), (None, "B", None)], "h string, a string, d string")
     got = [r.l for r in df.select(model.match_label(F.col("h"), F.col("a"), F.col("d")).alias("l")).collect()]
     assert got == ["A vs B (2024-01-01)", "", " vs B ()"]
+
+
+def test_three_sixty_ids_fall_back_when_visible_area_is_empty(spark):
+    va = spark.createDataFrame([], "match_id bigint, event_uuid string")
+    ts = spark.createDataFrame([(7, "u1"), (7, "u2"), (8, "u3")], "match_id bigint, event_uuid string")
+    assert sorted(r.match_id for r in model.three_sixty_match_ids(va, ts).collect()) == [7, 8]
+    va2 = spark.createDataFrame([(9, "u9")], "match_id bigint, event_uuid string")
+    assert [r.match_id for r in model.three_sixty_match_ids(va2, ts).collect()] == [9]
+    matches = spark.createDataFrame([(7, "2024-01-01", "A", "B", "", "", 0), (8, "2024-01-02", "C", "D", "", "x", 1),
+                                     (7, "2024-01-03", "A", "B", "", "", 2)],
+                                    "match_id int, match_date string, home_team_name string, away_team_name string, "
+                                    "match_status_360 string, last_updated_360 string, _ord int")
+    dm = {r.match_id: r for r in model.dim_match(matches, "_ord", model.three_sixty_match_ids(va2, ts)).collect()}
+    assert dm[7].match_date == "2024-01-03" and dm[7].is_360_available == 0  # last row wins; 9 is the 360 match
+    assert dm[8].is_360_available == 1  # 360 timestamp present
