@@ -89,3 +89,19 @@ def test_etl_full_rebuild_in_small_batches(spark, scratch, monkeypatch):
     assert ev.count() == 5 and ev.select("match_id").distinct().count() == 2
     players = {r.player_id: r.player_name for r in spark.read.parquet(f"{out}/players").collect()}
     assert players[101] == "Player 101" and players[201] == "Player 201"
+
+
+def test_strict_json_include_and_max_files(spark, scratch):
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    write_tree(raw)
+    with pytest.raises(ValueError, match="Failed to parse JSON"):
+        etl.run_etl(spark, raw, os.path.join(scratch, "strict"), include={"events"}, strict_json=True)
+    r = etl.run_etl(spark, raw, out, include={"matches", "competitions"})
+    assert set(r.processed_files) == {"matches", "competitions"}
+    assert spark.read.parquet(f"{out}/matches").count() == 2
+    listing = json_files.list_files(spark, raw, "events", max_files=1).collect()
+    assert [p.path.rsplit("/", 1)[1] for p in listing] == ["1001.json"]
+    r2 = etl.run_etl(spark, raw, out, exclude={"events", "lineups", "three-sixty"})
+    assert r2.processed_files == {"competitions": 0, "matches": 0}  # unchanged files are skipped
+    r3 = etl.run_etl(spark, raw, out, include={"matches"}, force=True)
+    assert r3.processed_files == {"matches": 1}
