@@ -31,12 +31,29 @@ def text_to_double(c: Column) -> Column:
     return _nan_to_null(F.trim(c.cast("string")).try_cast("double"))
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+# The per-column coercions are written as one SQL expression each: the same
+# Catalyst expressions as the nested Column calls, built in one step.
+
+def _double_sql(df: DataFrame, name: str) -> str:
+    dt = _dtype(df, name)
+    src = (f"cast({_q(name)} as double)" if isinstance(dt, _NUMERIC)
+           else f"try_cast(trim(cast({_q(name)} as string)) as double)")
+    return f"nanvl({src}, cast(null as double))"
+
+
 def double_col(df: DataFrame, name: str) -> Column:
     """Column ``name`` as DOUBLE; NaN and unparseable text become null."""
-    dt = _dtype(df, name)
-    if isinstance(dt, _NUMERIC):
-        return _nan_to_null(F.col(name).cast("double"))
-    return _nan_to_null(F.trim(F.col(name).cast("string")).try_cast("double"))
+    return F.expr(_double_sql(df, name))
+
+
+def _bigint_sql(df: DataFrame, name: str) -> str:
+    if isinstance(_dtype(df, name), _INTEGRAL):
+        return f"cast({_q(name)} as bigint)"
+    return f"try_cast({_double_sql(df, name)} as bigint)"
 
 
 def bigint_col(df: DataFrame, name: str) -> Column:
@@ -44,16 +61,11 @@ def bigint_col(df: DataFrame, name: str) -> Column:
 
     '12.7' -> 12, '-3.9' -> -3, ' 5 ' -> 5, '' / 'abc' / 'nan' / 'inf' -> null.
     """
-    dt = _dtype(df, name)
-    if isinstance(dt, _INTEGRAL):
-        return F.col(name).cast("bigint")
-    if isinstance(dt, _NUMERIC):
-        return _nan_to_null(F.col(name).cast("double")).try_cast("bigint")
-    return _nan_to_null(F.trim(F.col(name).cast("string")).try_cast("double")).try_cast("bigint")
+    return F.expr(_bigint_sql(df, name))
 
 
 def int_col(df: DataFrame, name: str) -> Column:
-    return bigint_col(df, name).try_cast("int")
+    return F.expr(f"try_cast({_bigint_sql(df, name)} as int)")
 
 
 def blank_to_null(c: Column) -> Column:
