@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +72,43 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         last = now
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def linked_labels(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least node of each node's component in the two-sided graph ``hit`` (rows and columns are
+    nodes, rows numbered first), for the rows and for the columns."""
+    m, n = hit.shape
+    rows, cols, none = np.arange(m), np.arange(m, m + n), m + n
+    while True:
+        new_rows = np.minimum(rows, np.where(hit, cols, none).min(axis=1, initial=none))
+        new_cols = np.minimum(cols, np.where(hit, new_rows[:, None], none).min(axis=0, initial=none))
+        if (new_rows == rows).all() and (new_cols == cols).all():
+            return rows, cols
+        rows, cols = new_rows, new_cols
+
+
+class Forest:
+    """Spanning forest of the links that one task finds: at most one edge a node, however many links."""
+
+    def __init__(self, size: int):
+        self.up = list(range(size))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def link(self, hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Joins left[i] and right[j] wherever hit[i, j]."""
+        nodes = np.concatenate((left, right))
+        labels = np.concatenate(linked_labels(hit))
+        for i in np.flatnonzero(labels != np.arange(len(labels))):
+            a, b = self.root(int(nodes[i])), self.root(int(nodes[labels[i]]))
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        roots = np.array([self.root(x) for x in range(len(self.up))], dtype=np.int64)
+        own = np.flatnonzero(roots != np.arange(len(roots)))
+        return own, roots[own]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_backtrack, lang_profiles, secret_ownership, source_mix, url_cascade
+from touchline.llm import bpe_backtrack, embedding_ego, lang_profiles, maxscore, secret_ownership, source_mix, url_cascade
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,16 @@ def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_hash_threshold_mix"] = source_mix.ORACLE
+
+
+@query
+def op9_epsilon_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_ego.link(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op10_maxscore"] = maxscore.ORACLE
