@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +115,44 @@ class Forest:
         roots = np.array([self.root(x) for x in range(len(self.up))], dtype=np.int64)
         own = np.flatnonzero(roots != np.arange(len(roots)))
         return own, roots[own]
+
+
+#: A prefilter's words of 64 bits: at most so many rows are broadcast, 16 bytes each.
+PREFILTER_WORDS = 1 << 18
+
+
+def prefiltered(rows: DataFrame, rows_hash: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """``rows`` without most of those whose hash no row of ``wanted`` has, before a join on it.
+
+    A bitmap of 64 * ``PREFILTER_WORDS`` bits, built by Spark and broadcast: its size
+    is bounded however many rows are wanted; with very many it merely lets more rows
+    through. The join after it decides.
+    """
+    word = lambda h: F.pmod(h, F.lit(PREFILTER_WORDS))
+    bit = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+    bitmap = wanted.select(wanted_hash.alias("_w")).groupBy(word(F.col("_w")).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(_w, 40) & 63 as int))")).alias("_bits"))
+    marked = rows.withColumn("_p", rows_hash).withColumn("_word", word(F.col("_p"))).withColumn("_bit", bit(F.col("_p")))
+    return (marked.join(F.broadcast(bitmap), "_word")
+            .where(F.expr("shiftrightunsigned(_bits, _bit) & 1 = 1")).drop("_p", "_word", "_bit", "_bits"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of rows with equal ``keys`` from a stream sorted by them; a run may span batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        frame = batch.to_pandas()
+        if not len(frame):
+            continue
+        k = frame[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), len(frame)]
+        if held and (held[-1][keys].to_numpy()[-1] != k[0]).any():
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        for at, to in zip(cuts[:-2], cuts[1:-1], strict=True):
+            part = frame.iloc[at:to]
+            yield pd.concat([*held, part]) if held else part
+            held = []
+        held.append(frame.iloc[cuts[-2]:])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_backtrack, embedding_ego, lang_profiles, maxscore, secret_ownership, source_mix, url_cascade
+from touchline.llm import bpe_backtrack, embedding_ego, jaccard_join, lang_profiles, maxscore, secret_ownership, source_mix, url_cascade
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_maxscore"] = maxscore.ORACLE
+
+
+@query
+def op5_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.public(jaccard_join.join(table(spark, sf_dir, "documents")))
