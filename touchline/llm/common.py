@@ -121,20 +121,24 @@ class Forest:
 PREFILTER_WORDS = 1 << 18
 
 
-def prefiltered(rows: DataFrame, rows_hash: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
-    """``rows`` without most of those whose hash no row of ``wanted`` has, before a join on it.
+def marked(rows: DataFrame, rows_hash: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where no row of ``wanted`` has the row's hash.
 
     A bitmap of 64 * ``PREFILTER_WORDS`` bits, built by Spark and broadcast: its size
-    is bounded however many rows are wanted; with very many it merely lets more rows
-    through. The join after it decides.
+    is bounded however many rows are wanted; with very many it merely says maybe more
+    often. A join after it decides.
     """
-    word = lambda h: F.pmod(h, F.lit(PREFILTER_WORDS))
-    bit = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
-    bitmap = wanted.select(wanted_hash.alias("_w")).groupBy(word(F.col("_w")).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(_w, 40) & 63 as int))")).alias("_bits"))
-    marked = rows.withColumn("_p", rows_hash).withColumn("_word", word(F.col("_p"))).withColumn("_bit", bit(F.col("_p")))
-    return (marked.join(F.broadcast(bitmap), "_word")
-            .where(F.expr("shiftrightunsigned(_bits, _bit) & 1 = 1")).drop("_p", "_word", "_bit", "_bits"))
+    word, bit = "pmod({h}, %d)" % PREFILTER_WORDS, "cast(shiftrightunsigned({h}, 40) & 63 as int)"
+    bitmap = (wanted.select(wanted_hash.alias("_w")).groupBy(F.expr(word.format(h="_w")).alias("_word"))
+              .agg(F.bit_or(F.expr(f"shiftleft(1L, {bit.format(h='_w')})")).alias("_bits")))
+    there = F.expr(f"coalesce(shiftrightunsigned(_bits, {bit.format(h='_p')}) & 1, 0) = 1")
+    return (rows.withColumn("_p", rows_hash).withColumn("_word", F.expr(word.format(h="_p")))
+            .join(F.broadcast(bitmap), "_word", "left").withColumn("_maybe", there).drop("_p", "_word", "_bits"))
+
+
+def prefiltered(rows: DataFrame, rows_hash: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """``rows`` without most of those whose hash no row of ``wanted`` has, before a join on it."""
+    return marked(rows, rows_hash, wanted, wanted_hash).where("_maybe").drop("_maybe")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:

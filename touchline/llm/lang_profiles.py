@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: N-grams in a profile, of a language or a document.
 PROFILE = 300
-#: Labelled documents a language at most that profiles are learnt from (those with the smallest id hashes).
+#: Labelled documents a language, about, that profiles are learnt from (a share by id hash).
 FIT_DOCS = 1_000
 #: An n-gram is of 1 to 3 characters, packed into an integer of 21 bits a character, so that numbers
 #: are in code point order; 1 stands for a word's border.
@@ -60,20 +60,22 @@ def fit_split(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
-    """Language -> profile, learnt from at most ``FIT_DOCS`` documents a language among those
-    that ``fit_split`` allows and that have a text and a language.
+    """Language -> profile, learnt from ``FIT_DOCS`` documents a language, about, among those
+    that ``fit_split`` allows and that have a text and a language (all of them where
+    there are fewer).
 
-    The sample is the documents with the smallest id hashes: one narrow pass finds each
-    language's cutting hash, a second reads the chosen texts. Counts are summed by
-    Spark; the driver gets ``PROFILE`` n-grams a language. Empty table: no profiles.
+    One narrow pass counts documents by language; the sample is the documents whose id
+    hash lies below that language's share. N-grams are counted and summed by Spark;
+    the driver gets a count and ``PROFILE`` n-grams a language. Empty table: no profiles.
     """
     rows = docs.where(fit_split(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    first = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= FIT_DOCS)
-    cut = {r["lang"]: r["cut"] for r in first.groupBy("lang").agg(F.max("h").alias("cut")).collect()}
-    if not cut:
+    docs_of = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not docs_of:
         return {}
-    within = F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), F.col("lang")) >= F.col("h")
+    cut = {lang: min(1.0, FIT_DOCS / n) for lang, n in docs_of.items()}
+    share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    within = share < F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), F.col("lang"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_backtrack, embedding_ego, jaccard_join, lang_profiles, maxscore, secret_ownership, source_mix, url_cascade
+from touchline.llm import bpe_backtrack, embedding_ego, jaccard_join, lang_profiles, line_dedup, maxscore, secret_ownership, source_mix, url_cascade
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,9 @@ ORACLE["op10_maxscore"] = maxscore.ORACLE
 @query
 def op5_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.public(jaccard_join.join(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_as="lines_removed")
+    return deduped.select("doc_id", F.length("text").alias("chars_kept"), F.md5("text").alias("text_md5"), "lines_removed", "text")
