@@ -212,7 +212,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text_col: str = "t
     return docs.mapInArrow(run, kinds)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``encode``'s result."""
-    return encoded.select("doc_id", F.expr("cast(length(bpe_ids) / 4 as long)").alias("n_tokens"),
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and columns ``more`` of ``encode``'s result."""
+    return encoded.select("doc_id", *more, F.expr("cast(length(bpe_ids) / 4 as long)").alias("n_tokens"),
                           F.sha2("bpe_ids", 256).alias("ids_sha256"), F.sha2("bpe_decoded", 256).alias("decoded_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_backtrack, embedding_ego, jaccard_join, lang_profiles, line_dedup, maxscore, secret_ownership, source_mix, url_cascade
+from touchline.llm import bpe_backtrack, embedding_ego, jaccard_join, lang_profiles, line_dedup, maxscore, secret_ownership, source_mix, url_cascade, warc_derive
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,10 @@ def op5_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_as="lines_removed")
     return deduped.select("doc_id", F.length("text").alias("chars_kept"), F.md5("text").alias("text_md5"), "lines_removed", "text")
+
+
+@query
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc_derive.page_responses(table(spark, sf_dir, "pages"))
+    return warc_derive.derive(pages, keep="page_id", record_id=F.col("record_id"), target=F.col("target"), date=F.col("date"),
+                              http_head=F.col("http_head"), payload=F.col("payload"))
