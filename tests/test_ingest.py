@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -32,7 +33,7 @@ def test_events_table_flatten_and_match_id(spark, scratch):
         assert c in cols, c
     row = ev.where(F.col("event_id") == "ev-2").first()
     assert row.match_id == 1001 and row.type_id == 16 and row.shot_end_location_z == 1.0
-    assert row.location == "[12.0,20.0]" and row.location_x == 12.0
+    assert json.loads(row.location) == [12.0, 20.0] and row.location_x == 12.0
 
 
 def test_non_numeric_event_file_name_fails(spark, scratch):
@@ -40,7 +41,7 @@ def test_non_numeric_event_file_name_fails(spark, scratch):
     write_tree(scratch, corrupt=False, empty=False, bad_name=True)
     paths = sorted(r.path for r in json_files.list_files(spark, scratch, "events").collect())
     recs, _ = json_files.read_records(spark, paths, processor="events")
-    with pytest.raises(Exception, match="Cannot parse match_id"):
+    with pytest.raises(Exception, match="not named by a match id"):
         ingest.events_table(recs).collect()
 
 
@@ -74,23 +75,131 @@ def test_etl_end_to_end_incremental_idempotent(spark, scratch):
     assert ev.count() == 5
     files = spark.read.parquet(f"{out}/_quality/files").where(F.col("run_id") == r1.run_id)
     ev_files = files.where("processor = 'events'").first()
-    assert (ev_files.found, ev_files.processed, ev_files.failed) == (3, 3, 1)
+    assert (ev_files.found, ev_files.processed, ev_files.failed) == (4, 4, 2)  # with the 0-byte file
     md = etl.quality_report_markdown(spark, out, r1.run_id)
     assert "Key null rates" in md
 
 
-def test_etl_full_rebuild_in_small_batches(spark, scratch, monkeypatch):
+def test_etl_full_rebuild(spark, scratch):
     raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
     write_tree(raw)
-    monkeypatch.setattr(etl, "BATCH_FILES", 1)
     etl.run_etl(spark, raw, out, incremental=False, include={"events"})
-    etl.run_etl(spark, raw, out, incremental=False, include={"events"})  # rebuild: first batch resets the table
+    etl.run_etl(spark, raw, out, incremental=False, include={"events"})
     ev = spark.read.parquet(f"{out}/events")
     assert ev.count() == 5 and ev.select("match_id").distinct().count() == 2
     players = {r.player_id: r.player_name for r in spark.read.parquet(f"{out}/players").collect()}
     assert players[101] == "Player 101" and players[201] == "Player 201"
 
 
+def put(root, name, value):
+    path = os.path.join(root, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(value if isinstance(value, str) else json.dumps(value))
+    put.clock += 10
+    os.utime(path, (put.clock, put.clock))
+
+
+put.clock = 1_900_000_000
+EVENT = {"id": "e", "minute": 1, "second": 2, "type": {"id": 1, "name": "T"}, "team": {"id": 5, "name": "A"}, "player": {"id": 7, "name": "P"}}
+
+
+def lineup(team, players):
+    return {"team_id": team, "team_name": f"T{team}", "lineup": [{"player_id": p, "player_name": f"P{p}", "jersey_number": 1, "positions": []} for p in players]}
+
+
+def test_two_files_of_one_match_keep_their_rows(spark, scratch):
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    put(raw, "lineups/a/7.json", [lineup(1, [10])])
+    put(raw, "lineups/b/7.json", [lineup(2, [20]), lineup(3, [])])
+    put(raw, "lineups/x.json", [lineup(4, [40])])
+    put(raw, "lineups/y.json", [lineup(5, [50])])
+    etl.run_etl(spark, raw, out)
+    put(raw, "lineups/a/7.json", [lineup(1, [11, 12])])
+    put(raw, "lineups/y.json", [lineup(5, [51])])
+    etl.run_etl(spark, raw, out)
+    got = spark.read.parquet(f"{out}/lineups_players")
+    assert sorted(r.player_id for r in got.collect()) == [11, 12, 20, 40, 51]
+    # position lists are all empty, and a team without players is a team
+    assert {r.team_id for r in spark.read.parquet(f"{out}/teams").collect()} == {1, 2, 3, 4, 5}
+    put(raw, "lineups/a/7.json", [])
+    etl.run_etl(spark, raw, out)
+    assert sorted(r.player_id for r in spark.read.parquet(f"{out}/lineups_players").collect()) == [20, 40, 51]
+
+
+def test_types_that_drift_between_runs(spark, scratch):
+    from touchline.sources.tables import read_table
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    put(raw, "events/1.json", [EVENT | {"duration": 1, "flag": True}])
+    etl.run_etl(spark, raw, out)
+    put(raw, "events/2.json", [EVENT | {"duration": 1.5, "flag": "x", "more": [1]}])
+    etl.run_etl(spark, raw, out)
+    got = {r.match_id: (r.duration, r.flag, r.more) for r in read_table(spark, out, "events").collect()}
+    assert got == {1: ("1", "true", None), 2: ("1.5", "x", "[1]")}
+
+
+def test_mixed_lists_and_broken_objects(spark, scratch):
+    put(scratch, "events/1.json", '[{"id": "a", "minute": 1}, 3, "x", null, {"id": "b"}]')
+    put(scratch, "events/2.json", '{"id": "x", "minute": tru}')
+    put(scratch, "events/3.json", "[1, 2")
+    put(scratch, "events/4.json", "7")
+    paths = [r.path for r in json_files.list_files(spark, scratch, "events").collect()]
+    recs, quarantine = json_files.read_records(spark, paths)
+    assert sorted((r._pos, r.id) for r in recs.collect()) == [(0, "a"), (4, "b")]
+    assert sorted(r.path[-6:] for r in quarantine.collect()) == ["2.json", "3.json", "4.json"]
+
+
+def test_full_rebuild_over_a_corrupt_file_drops_old_rows(spark, scratch):
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    put(raw, "events/1.json", [EVENT])
+    etl.run_etl(spark, raw, out)
+    put(raw, "events/1.json", "[{")
+    etl.run_etl(spark, raw, out, incremental=False)
+    from touchline.sources.tables import read_table
+    assert read_table(spark, out, "events") is None
+
+
+def test_empty_events_folder_does_not_fall_back(spark, scratch):
+    os.makedirs(f"{scratch}/events")
+    put(scratch, "competitions.json", [{"competition_id": 1}])
+    assert json_files.list_files(spark, scratch, "events").count() == 0
+    assert etl.run_etl(spark, scratch, f"{scratch}/out").processed_files == {"events": 0, "competitions": 1, "matches": 0, "lineups": 0, "three-sixty": 0}
+
+
+def test_three_sixty_without_frames(spark, scratch):
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    put(raw, "three-sixty/1.json", [{"event_uuid": "u", "visible_area": [1, 2]}])
+    etl.run_etl(spark, raw, out)
+    assert spark.read.parquet(f"{out}/three_sixty").count() == 1
+    assert json.loads(spark.read.parquet(f"{out}/three_sixty_visible_area").first().visible_area) == [1.0, 2.0]
+
+
+def test_manifest_comes_after_the_dims(spark, scratch, monkeypatch):
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    put(raw, "events/1.json", [EVENT])
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(etl, "_rebuild_dims", dies)
+        with pytest.raises(RuntimeError):
+            etl.run_etl(spark, raw, out)
+    assert etl.run_etl(spark, raw, out).processed_files["events"] == 1
+    assert spark.read.parquet(f"{out}/teams").first().team_id == 5 and spark.read.parquet(f"{out}/events").count() == 1
+
+
+def test_fingerprint_by_content(spark, scratch):
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    put(raw, "events/1.json", [EVENT])
+    etl.run_etl(spark, raw, out, by_content=True)
+    os.utime(f"{raw}/events/1.json", (2_100_000_000, 2_100_000_000))
+    assert etl.run_etl(spark, raw, out, by_content=True).processed_files["events"] == 0
+    put(raw, "events/1.json", [EVENT | {"id": "f"}])
+    os.utime(f"{raw}/events/1.json", (2_100_000_000, 2_100_000_000))
+    assert etl.run_etl(spark, raw, out, by_content=True).processed_files["events"] == 1
+
+
 def test_strict_json_include_and_max_files(spark, scratch):
     raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
     write_tree(raw)

@@ -26,7 +26,7 @@ def test_lineup_mirror_and_concat_and_notes(spark):
 
 def test_scale_conf():
     conf = scale_conf(100 * 2**40, 8000)
-    assert conf["spark.sql.shuffle.partitions"] == "409600"
+    assert conf["spark.sql.shuffle.partitions"] == "20000"
     assert scale_conf(10 * 2**20, 8)["spark.sql.shuffle.partitions"] == "16"
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job wants: AQE re-plans joins (small sides become broadcast
 # joins from *runtime* sizes, skewed shuffle partitions are split) and the
@@ -46,11 +47,16 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick our own
-    (a fresh local folder) when it is unset, which happens in local tests.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose
+    executors are threads of this machine (``local[...]``) may go without: it
+    gets a fresh local folder. Elsewhere a machine-local folder would lose data,
+    so the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="touchline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,16 +64,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again: cuts the lineage
+    with files that every executor can read."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/touchline-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Reducers of one shuffle at most: beyond it, map tasks times reducers are too many blocks to
+#: fetch, and AQE splits what is large instead.
+MAX_SHUFFLE_PARTITIONS = 20_000
+
+
 def scale_conf(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Settings a cluster job sets from its input size: shuffle partitions so a
-    shuffle partition is ~``target_partition_bytes`` (AQE coalesces smaller
-    ones and splits skewed ones), at least two waves of tasks, and input
-    splits of the same size.
+    """Settings a cluster job sets from its input size: shuffle partitions of about
+    ``target_partition_bytes``, two waves of tasks at least and
+    ``MAX_SHUFFLE_PARTITIONS`` at most (AQE coalesces smaller ones and splits
+    skewed ones), and input splits of the same size.
 
     >>> scale_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"]
-    '409600'
+    '20000'
     """
-    parts = max(2 * executor_cores_total, -(-input_bytes // target_partition_bytes))
+    parts = min(MAX_SHUFFLE_PARTITIONS, max(2 * executor_cores_total, -(-input_bytes // target_partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -9,27 +10,51 @@ from pyspark.sql import types as T
 REQUIRED_MODEL_TABLES = ("dim_match", "dim_team", "dim_player", "fact_events", "fact_shots")
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table whose files may carry different columns; None only if there is no such path."""
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _read_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("header", "true").csv(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str, schema: T.StructType | str | None = None
                ) -> DataFrame | None:
     """``<dir>/<name>`` as Parquet (folder or ``.parquet``), else CSV with
-    a header (``.csv``); None when missing. With ``schema`` a missing table
+    a header (``<name>.csv``, or a folder ``<name>`` with ``.csv`` files); None
+    when missing, any other failure is raised. With ``schema`` a missing table
     is an empty DataFrame of that schema (S4)."""
     base = base_dir.rstrip("/")
-    for path, fmt in ((f"{base}/{name}", "parquet"), (f"{base}/{name}.parquet", "parquet"),
-                      (f"{base}/{name}.csv", "csv"), (f"{base}/{name}", "csv")):
-        try:
-            if fmt == "parquet":
-                # partitions written by different runs may carry different columns
-                df = spark.read.option("mergeSchema", "true").parquet(path)
-            else:
-                df = spark.read.option("header", "true").csv(path)
-            if df.columns:
-                return df
-        except Exception:  # noqa: BLE001 - try the next candidate
-            continue
-    if schema is not None:
-        return spark.createDataFrame([], schema)
-    return None
+    for path in (f"{base}/{name}", f"{base}/{name}.parquet"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if path.endswith(name) and _has_csv(files, path):
+            return _read_csv(spark, path)
+        if (df := read_parquet(spark, path)) is not None and df.columns:
+            return df
+    if (df := _read_csv(spark, f"{base}/{name}.csv")) is not None and df.columns:
+        return df
+    return spark.createDataFrame([], schema) if schema is not None else None
+
+
+def _has_csv(reader, path: str) -> bool:
+    """Whether a folder holds CSV files (a listing, no content is read)."""
+    try:
+        return not reader.option("pathGlobFilter", "*.csv").load(path).select("path").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def missing_required_tables(spark: SparkSession, base_dir: str,

@@ -2,10 +2,11 @@
 
 A file-source stream over the events folder (``wholetext``: one row per
 file) feeds ``foreachBatch``; each micro-batch is parsed like the batch ETL
-and written with dynamic partition overwrite by ``match_id``, so a replayed
-batch after an executor or driver failure rewrites the same partitions
-(idempotent sink). The checkpoint location lives under the shared
-``spark.checkpoint.dir``. ``trigger(availableNow=True)`` processes what is
+and its files replace their own rows (``etl.write_table``), so a replayed
+batch after an executor or driver failure leaves the same table (idempotent
+sink); quarantine rows live in a folder of their batch, which a replay
+overwrites. The checkpoint location is an argument; without it, it lies under
+the shared ``spark.checkpoint.dir``. ``trigger(availableNow=True)`` processes what is
 there and stops, the streaming equivalent of one incremental run.
 
 The file source never re-reads a file whose content changed in place; the
@@ -20,15 +21,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from touchline.operators import ingest
-from touchline.session import checkpoint_dir
+from touchline.plans import etl
+from touchline.session import checkpoint_dir, staged
 from touchline.sources.json_files import parse_whole_files
 
 
 def stream_events(spark: SparkSession, events_dir: str, output_dir: str, schema: T.StructType,
                   query_name: str = "touchline_events", available_now: bool = True,
-                  max_files_per_trigger: int = 1000) -> StreamingQuery:
+                  max_files_per_trigger: int = 1000, checkpoint: str | None = None) -> StreamingQuery:
     """Start the stream; returns the running query (call ``awaitTermination``)."""
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{query_name}"
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{query_name}"
     raw = (spark.readStream.format("text").option("wholetext", "true")
                 .option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", max_files_per_trigger)
                 .load(events_dir)
@@ -37,16 +39,10 @@ def stream_events(spark: SparkSession, events_dir: str, output_dir: str, schema:
     quarantine_path = f"{output_dir.rstrip('/')}/_quarantine"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        files = staged(batch.select(F.col("_file").alias("path")).distinct(), "stream-files")
         records, quarantine = parse_whole_files(batch, schema, "events")
-        records = records.persist()
-        try:
-            if not records.isEmpty():
-                (ingest.events_table(records).hint("rebalance", "match_id").write.mode("overwrite")
-                   .option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(events_path))
-            (quarantine.withColumn("run_id", F.lit(f"stream-{batch_id}"))
-                       .write.mode("append").parquet(quarantine_path))
-        finally:
-            records.unpersist()
+        etl.write_table(ingest.stored(ingest.events_table(records), "events"), events_path, files, overwrite_all=False)
+        quarantine.write.mode("overwrite").parquet(f"{quarantine_path}/run_id=stream-{query_name}-{batch_id}")
 
     writer = (raw.writeStream.queryName(query_name).option("checkpointLocation", ckpt)
                  .foreachBatch(write_batch))
