@@ -66,19 +66,26 @@ def test_formation_and_clock_and_mirror(spark):
     assert lineups.formations(ev).first().formation == "4-4-2"
 
 
-def test_round_based_pick_equals_fold(spark, monkeypatch):
+def test_first_eleven_against_a_loop(spark, monkeypatch):
     import random
+    monkeypatch.setattr(lineups, "XI_SIZE", 4)  # so that the bounds on pairs bite
     rnd = random.Random(3)
     rows = []
-    for i in range(300):
-        team = rnd.choice([10, 20])
-        pid = rnd.choice([None] + list(range(1, 25)))
-        name = rnd.choice(["", "A", "B", "C", "D", "E", "F", "G", "h", "H", "I", "J", "K", "L", "M", "N", "O"])
-        rows.append((1, team, pid, name, i))
+    for i in range(3000):
+        pid = rnd.choice([None] + [1] * 30 + list(range(1, 25)))
+        name = rnd.choice(["", "h"] + ["A"] * 40 + [f"N{k}" for k in range(40)])
+        rows.append((1, rnd.randint(1, 40), pid, name, i))
     ev = spark.createDataFrame(rows, "match_id int, team_id int, player_id int, player_name string, event_index int")
-    folded = sorted((r.team_id, r.sort_order, r.player_id, r.player_name)
-                    for r in lineups.xi_from_events(ev).collect())
-    monkeypatch.setattr(lineups, "XI_PAIR_CAP", 5)
-    rounds = sorted((r.team_id, r.sort_order, r.player_id, r.player_name)
-                    for r in lineups.xi_from_events(ev).collect())
-    assert rounds == folded and len(folded) > 11
+    got = sorted((r.team_id, r.sort_order, -1 if r.player_id is None else r.player_id, r.player_name)
+                 for r in lineups.xi_from_events(ev).collect())
+    want = []
+    for team in range(1, 41):
+        ids, names, n = set(), set(), 0
+        for _, t, pid, name, _ in rows:
+            if t != team or n == 4 or not name or pid in ids or name.lower() in names:
+                continue
+            n += 1
+            ids |= {pid} - {None}
+            names.add(name.lower())
+            want.append((team, n, -1 if pid is None else pid, name))
+    assert got == sorted(want)

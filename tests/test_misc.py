@@ -14,7 +14,7 @@ def test_lineup_mirror_and_concat_and_notes(spark):
                                 "x double, y double")
     got = {r.player_id: r for r in lineups.lineup_mirror(pos).collect()}
     assert (got[5].x_mirror, got[5].y_mirror, got[5].marker_text) == (60.0, 25.0, "9")
-    assert got[6].marker_text == "BO" and got[5].short_name == "Alexander"
+    assert got[6].marker_text == "Bo" and got[5].short_name == "Alexander"
     a = spark.createDataFrame([(1, "x")], "id int, a string")
     b = spark.createDataFrame([(2, 3.0)], "id int, b double")
     u = views.concat_frames([a, None, b])

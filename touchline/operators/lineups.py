@@ -16,7 +16,6 @@ from touchline.functions.coerce import bigint_col, norm_text
 from touchline.functions.pitch import clock_seconds, formation_text, position_key
 
 XI_SIZE = 11
-XI_PAIR_CAP = 5000  # distinct (player, name) pairs per team folded in one task
 # Attack-up pitch coordinates (x, y on 120 x 100) per normalised position name.
 POSITION_COORDS = (
     ("goalkeeper", 60.0, 92.0),
@@ -164,13 +163,8 @@ def xi_from_events(events: DataFrame) -> DataFrame:
     rows = rows.where(F.col("pid").isNotNull() | (F.col("pname") != ""))
     pairs = (rows.groupBy("match_id", "team_id", "pid", F.lower("pname").alias("lname"))
                  .agg(F.min_by(F.struct("o", "pid", "pname", "position_id", "position_name"), "o").alias("r")))
-    # teams whose distinct (player, name) pairs exceed the cap take the exact
-    # round-based path instead of one collected array per team
-    sizes = pairs.groupBy("match_id", "team_id").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > XI_PAIR_CAP).select("match_id", "team_id")
-    has_large = not large.isEmpty()  # one scalar probe
-    small_pairs = pairs.join(large, ["match_id", "team_id"], "left_anti") if has_large else pairs
-    per_team = small_pairs.groupBy("match_id", "team_id").agg(F.sort_array(F.collect_list("r")).alias("cands"))
+    pairs = _pickable(pairs)
+    per_team = pairs.groupBy("match_id", "team_id").agg(F.sort_array(F.collect_list("r")).alias("cands"))
     init = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("names"),
                     F.array().cast(per_team.schema["cands"].dataType).alias("picked"))
 
@@ -189,9 +183,6 @@ def xi_from_events(events: DataFrame) -> DataFrame:
     folded = per_team.select("match_id", "team_id",
                              F.aggregate("cands", init, step).getField("picked").alias("picked"))
     out = folded.select("match_id", "team_id", F.posexplode("picked").alias("i", "r"))
-    if has_large:
-        big = pairs.join(large, ["match_id", "team_id"], "left_semi")
-        out = out.unionByName(_greedy_rounds(big))
     return out.select(
         "match_id", "team_id", F.col("r.pid").alias("player_id"),
         F.when(F.col("r.pname") != "", F.col("r.pname"))
@@ -201,31 +192,26 @@ def xi_from_events(events: DataFrame) -> DataFrame:
         F.lit("events_fallback").alias("source"))
 
 
-def _greedy_rounds(pairs: DataFrame) -> DataFrame:
-    """Exact W3 for teams with very many candidate pairs, without collecting.
+def _pickable(pairs: DataFrame) -> DataFrame:
+    """The pairs of a team that the greedy rule can pick, and few others: at most
+    k + 2k(k - 1) of them for an eleven of k = ``XI_SIZE``.
 
-    Round k takes, per team, the earliest remaining candidate (a partial
-    ``min_by``) and drops every candidate sharing its id or lower-cased name.
-    The candidates dropped in a round all come after the pick, so the picks are
-    those of the sequential rule. Lineage is cut with ``checkpoint()`` in the
-    shared checkpoint folder every few rounds.
+    A pair is blocked by an earlier pick with its id or its name. Say a pick has m
+    earlier pairs of its id. None of these was taken, so each was blocked by its
+    name, and as pairs are distinct these are m different names of picks: m < k.
+    So every pick is among the first k pairs of its id, and likewise of its name.
+    With only such pairs left, each of the at most k - 1 picks before the last one
+    blocks at most 2(k - 1) others, so the last pick is among the first
+    k + 2(k - 1)(k - 1) pairs. Leaving out pairs that are never picked changes no pick.
     """
-    remaining = pairs.select("match_id", "team_id", "lname", "r")
-    picked = []
-    for k in range(XI_SIZE):
-        first = remaining.groupBy("match_id", "team_id").agg(F.min_by("r", F.col("r.o")).alias("r"))
-        picked.append(first.select("match_id", "team_id", F.lit(k).alias("i"), "r"))
-        f = first.select("match_id", "team_id", F.col("r.pid").alias("_ppid"),
-                         F.lower(F.col("r.pname")).alias("_plname"))
-        clash = (F.coalesce(F.col("r.pid") == F.col("_ppid"), F.lit(False))
-                 | ((F.col("lname") != "") & (F.col("lname") == F.col("_plname"))))
-        remaining = remaining.join(f, ["match_id", "team_id"], "inner").where(~clash).drop("_ppid", "_plname")
-        if k % 4 == 3:
-            remaining = remaining.checkpoint()
-    out = picked[0]
-    for p in picked[1:]:
-        out = out.unionByName(p)
-    return out
+    k = XI_SIZE
+
+    def nth(*keys: str) -> Column:
+        return F.row_number().over(Window.partitionBy("match_id", "team_id", *keys).orderBy("r.o"))
+
+    near = (pairs.withColumn("_pid", F.col("r.pid")).withColumn("_i", nth("_pid")).withColumn("_n", nth("lname"))
+            .where((F.col("_pid").isNull() | (F.col("_i") <= k)) & ((F.col("lname") == "") | (F.col("_n") <= k))))
+    return near.withColumn("_k", nth()).where(F.col("_k") <= k + 2 * k * (k - 1)).drop("_pid", "_i", "_n", "_k")
 
 
 def starting_xi(events: DataFrame, lineups_raw: DataFrame | None = None) -> DataFrame:
@@ -314,6 +300,6 @@ def lineup_mirror(positions: DataFrame) -> DataFrame:
     jersey = F.col("jersey_text")
     return positions.select(
         "*", (120.0 - F.col("x")).alias("x_mirror"), (80.0 - F.col("y")).alias("y_mirror"),
-        F.when(jersey.isNotNull() & (jersey != "?"), jersey).otherwise(F.upper(F.substring(name, 1, 2)))
+        F.when(jersey.isNotNull() & (jersey != "?"), jersey).otherwise(F.substring(name, 1, 2))
          .alias("marker_text"),
         F.substring(name, 1, 18).alias("short_name"))

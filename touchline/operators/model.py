@@ -208,9 +208,6 @@ def dim_zone(spark: SparkSession) -> DataFrame:
 # facts
 # ---------------------------------------------------------------------------
 
-SHOT_ID_LIST_LIMIT = 10_000
-
-
 def shot_type_ids(events: DataFrame) -> DataFrame:
     """type ids that denote a shot: 16 plus every id seen with type name 'shot'."""
     spark = events.sparkSession
@@ -224,20 +221,12 @@ def shot_type_ids(events: DataFrame) -> DataFrame:
 
 
 def flag_shots(events: DataFrame) -> DataFrame:
-    """Adds ``is_shot``.
-
-    The id set is one row per event type id. It is probed with a bounded
-    fetch (at most ``SHOT_ID_LIST_LIMIT + 1`` ids reach the driver): within
-    the bound it becomes a literal ``isin`` inside the scan's codegen stage;
-    beyond it the set is joined (shuffle join, sized by AQE at run time).
-    """
+    """Adds ``is_shot`` (F7): by name, or by a join to the distinct shot type ids,
+    a few rows whose size Spark knows before it joins."""
     tid = bigint_col(events, "type_id") if "type_id" in events.columns else F.lit(None).cast("bigint")
     name_is_shot = (F.coalesce(norm_text(F.col("type_name")) == "shot", F.lit(False))
                     if "type_name" in events.columns else F.lit(False))
     ids = shot_type_ids(events)
-    probe = [r[0] for r in ids.limit(SHOT_ID_LIST_LIMIT + 1).collect()]
-    if len(probe) <= SHOT_ID_LIST_LIMIT:
-        return events.withColumn("is_shot", name_is_shot | F.coalesce(tid.isin(*probe), F.lit(False)))
     j = events.join(ids, tid == ids["shot_type_key"], "left")
     return j.withColumn("is_shot", name_is_shot | F.col("shot_type_key").isNotNull()).drop("shot_type_key")
 

@@ -88,7 +88,8 @@ def fk_violations(fact: DataFrame, checks: Sequence[tuple[str, DataFrame, str]],
     for fact_key, dim, dim_key in checks:
         if fact_key not in fact.columns:
             continue
-        f = fact.select(bigint_col(fact, fact_key).alias("_k")).where(F.col("_k").isNotNull())
+        # a key that is there but no number refers to nothing, so it counts too
+        f = fact.where(F.col(fact_key).isNotNull()).select(bigint_col(fact, fact_key).alias("_k"))
         d = dim.select(bigint_col(dim, dim_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
         parts.append(f.join(d, "_k", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
                       .select(F.lit(f"{fact_name}.{fact_key}").alias("check"), "violations"))
@@ -143,8 +144,9 @@ def goal_consistency(fact_shots: DataFrame, dim_shot_outcome: DataFrame, match_i
                      team_id: int | None = None, player_id: int | None = None) -> DataFrame:
     """Q11: goals counted by label name vs by goal outcome ids, one pass.
 
-    Goal ids are the dimension ids whose label is 'goal'; both counts come
-    from one join of the facts to the dimension.
+    By name, a shot counts once for every dimension row of its id whose label is
+    'goal', so a dimension that repeats an id shows as a mismatch; by id, once
+    if its id is among the ids so labelled.
     """
     f = fact_shots
     if match_id is not None:
@@ -157,7 +159,7 @@ def goal_consistency(fact_shots: DataFrame, dim_shot_outcome: DataFrame, match_i
                                 norm_text(F.coalesce(F.col("shot_outcome_name"), F.lit(""))).alias("_n"))
     goal_ids = d.where(F.col("_n") == "goal").select(F.col("_k").alias("_g")).distinct()
     j = (f.select(bigint_col(f, "shot_outcome_id").alias("_k"))
-          .join(d.groupBy("_k").agg(F.max((F.col("_n") == "goal").cast("int")).alias("_by_name")), "_k", "left")
+          .join(d.groupBy("_k").agg(F.sum((F.col("_n") == "goal").cast("int")).alias("_by_name")), "_k", "left")
           .join(goal_ids, F.col("_k") == F.col("_g"), "left"))
     return j.agg(F.coalesce(F.sum("_by_name"), F.lit(0)).cast("bigint").alias("goals_by_name"),
                  F.count_if(F.col("_g").isNotNull()).alias("goals_by_id"))

@@ -18,10 +18,10 @@ from touchline.functions.coerce import bigint_col, coalesce_existing, existing,
 # Canonical goal outcome id.
 GOAL_OUTCOME_ID = 97
 # Columns of the lineup slice of fact_events.
-LINEUP_EVENT_COLUMNS = ("match_id", "team_id", "team_name", "player_id", "player_name", "type_id", "type_name",
-                        "period", "minute", "second", "event_index", "position_id", "position_name",
-                        "tactics_formation", "formation", "team_formation", "starting_formation", "event_id",
-                        "timestamp")
+LINEUP_EVENT_COLUMNS = ("event_id", "event_index", "match_id", "team_id", "team_name", "player_id", "player_name",
+                        "position_id", "position_name", "minute", "second", "period", "type_name",
+                        "tactics_formation", "formation", "team_formation", "starting_formation",
+                        "tactics_lineup", "lineup")
 
 
 def fact_scan(df: DataFrame, match_id: int | None = None, team_id: int | None = None, player_id: int | None = None,
@@ -267,6 +267,8 @@ def players_for_matches(fact_events: DataFrame | None, fact_shots: DataFrame | N
     for f in frames[1:]:
         rows = rows.unionByName(f)
     rows = rows.where(F.col("player_id").isNotNull())
+    if team_id is not None:  # a player may have played for several teams: choose the rows, then the player's team
+        rows = rows.where(F.col("team_id") == int(team_id))
     per = rows.groupBy("match_id", "player_id").agg(F.min("team_id").alias("team_id"),
                                                      F.min("player_name").alias("player_name"))
     if dim_player is not None and "player_id" in dim_player.columns:
@@ -278,8 +280,6 @@ def players_for_matches(fact_events: DataFrame | None, fact_shots: DataFrame | N
         per = (per.join(dp, per["player_id"] == dp["_p"], "left")
                   .withColumn("player_name", F.coalesce("player_name", "_pn"))
                   .withColumn("team_id", F.coalesce("team_id", "_pt")).drop("_p", "_pn", "_pt"))
-    if team_id is not None:
-        per = per.where(F.col("team_id") == int(team_id))
     lk = _lookup(dim_team, "team_id", "team_name")
     if lk is not None:
         lk = lk.select(F.col("team_id").alias("_t"), F.col("team_name"))

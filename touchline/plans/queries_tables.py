@@ -241,7 +241,7 @@ def q_shares(spark, sf):
 
 
 @register("lineup_slice", oracle("""
-select match_id, team_id, player_id, type_id, type_name, period, minute, second, event_index, event_id
+select event_id, event_index, match_id, team_id, player_id, minute, second, period, type_name
 from pitch where match_id = 3"""))
 def q_lineup_slice(spark, sf):
     return views.lineup_events(pitch_events(spark, sf), match_id=3)
