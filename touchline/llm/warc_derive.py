@@ -42,7 +42,7 @@ _HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)
 
 def visible_text(markup: str) -> str:
     """The text a reader sees: one line per block element, character references resolved."""
-    text = _ANY.sub("", _BREAK.sub("\n", _DROP.sub(" ", markup.replace("\r", "\n").replace("\n", " "))))
+    text = _ANY.sub("", _BREAK.sub("\n", _DROP.sub("", markup.replace("\r", "\n").replace("\n", " "))))
     text = _SPACE.sub(" ", html.unescape(text))
     return _LINES.sub("\n", text).strip()
 
