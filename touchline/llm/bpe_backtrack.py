@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a worker keeps of encoded pieces and of checked pairs; beyond it they start anew.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 #: Longer pieces are encoded each time.
 MEMO_PIECE = 48
 #: Documents to a batch that goes back to Spark.
