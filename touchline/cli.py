@@ -56,9 +56,11 @@ def main(argv: list[str] | None = None) -> int:
     x.add_argument("--output-dir", required=True)
     x.add_argument("--format", choices=("parquet", "csv"), default="parquet")
     v = sub.add_parser("validate")
-    v.add_argument("--processed-dir", required=True)
+    v.add_argument("--model-dir", help="an exported model")
+    v.add_argument("--processed-dir", help="processed tables; the model is built from them")
     s = sub.add_parser("sample")
-    s.add_argument("--processed-dir", required=True)
+    s.add_argument("--model-dir", help="an exported model")
+    s.add_argument("--processed-dir", help="processed tables; the model is built from them")
     s.add_argument("--output-dir", required=True)
     s.add_argument("--competition", required=True)
     s.add_argument("--season", required=True)
@@ -66,8 +68,14 @@ def main(argv: list[str] | None = None) -> int:
     r = sub.add_parser("report")
     r.add_argument("--output-dir", required=True)
     args = p.parse_args(argv)
+    if args.cmd in ("validate", "sample") and bool(args.model_dir) == bool(args.processed_dir):
+        p.error("give --model-dir or --processed-dir")
     spark = _session(args)
 
+    def tables():
+        from touchline.plans.star_schema import build_model, load_model
+        return load_model(spark, args.model_dir) if args.model_dir else build_model(spark, args.processed_dir)
+
     if args.cmd == "etl":
         from touchline.plans.etl import run_etl
         res = run_etl(spark, args.input_dir, args.output_dir, incremental=not args.no_append, force=args.force,
@@ -75,21 +83,22 @@ def main(argv: list[str] | None = None) -> int:
                       strict_json=args.strict_json)
         print(json.dumps({"run_id": res.run_id, "processed_files": res.processed_files}))
     elif args.cmd == "export":
-        from touchline.plans.star_schema import export_star_schema
+        from touchline.plans.star_schema import export_star_schema, failed_checks, load_model
         print(json.dumps(export_star_schema(spark, args.input_dir, args.output_dir, args.format)))
+        broken = failed_checks(spark, load_model(spark, args.output_dir))
+        for check in broken:
+            print(f"[FAIL] {check}")
+        return 1 if broken else 0
     elif args.cmd == "validate":
         from touchline.operators.quality import validate_model
-        from touchline.plans.star_schema import build_model
-        rows = validate_model(spark, build_model(spark, args.processed_dir)).collect()  # one row per check
+        rows = validate_model(spark, tables()).collect()  # one row per check
         for row in rows:
             print(f"[{row.status}] {row.check}: {row.value}")
         return 0 if all(row.status == "PASS" for row in rows) else 1
     elif args.cmd == "sample":
         from touchline.operators.sample import build_sample
-        from touchline.plans.star_schema import build_model
-        tables, manifest = build_sample(spark, build_model(spark, args.processed_dir), args.competition, args.season,
-                                        args.n_matches)
-        for name, df in tables.items():
+        sampled, manifest = build_sample(spark, tables(), args.competition, args.season, args.n_matches)
+        for name, df in sampled.items():
             df.write.mode("overwrite").parquet(f"{args.output_dir.rstrip('/')}/{name}")
         manifest.coalesce(1).write.mode("overwrite").json(f"{args.output_dir.rstrip('/')}/sample_manifest")
     elif args.cmd == "report":

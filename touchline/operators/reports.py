@@ -259,12 +259,10 @@ def pass_network_edges(passes: DataFrame, passer_col: str = "player_id",
     p = _network_passes(passes, passer_col, receiver_col)
     edges = p.groupBy("match_id", "team_id", "passer", "receiver").agg(F.count(F.lit(1)).alias("pass_count"))
     nodes = p.select("match_id", "team_id", "passer").distinct()
-    a = nodes.select("match_id", "team_id", F.col("passer").alias("_pa"))
     b = nodes.select("match_id", "team_id", F.col("passer").alias("_pb"))
-    edges = (edges.join(a, (edges["match_id"] == a["match_id"]) & (edges["team_id"] == a["team_id"])
-                        & (edges["passer"] == a["_pa"]), "left_semi")
-                  .join(b, (edges["match_id"] == b["match_id"]) & (edges["team_id"] == b["team_id"])
-                        & (edges["receiver"] == b["_pb"]), "left_semi"))
+    # the passer of a pass is a passer; only the receiver has to be looked up
+    edges = edges.join(b, (edges["match_id"] == b["match_id"]) & (edges["team_id"] == b["team_id"])
+                       & (edges["receiver"] == b["_pb"]), "left_semi").where(F.col("passer").isNotNull())
     w = Window.partitionBy("match_id", "team_id")
     return edges.withColumn("edge_width", 0.5 + 3 * F.col("pass_count") / F.max("pass_count").over(w))
 

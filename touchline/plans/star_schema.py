@@ -111,6 +111,27 @@ def export_star_schema(spark: SparkSession, processed_dir: str, output_dir: str,
     return counts
 
 
+#: Every table a model folder may hold.
+MODEL_TABLES = ("dim_competition", "dim_season", "dim_match", "dim_team", "dim_player", "dim_zone", "dim_time",
+                *[d for d, *_ in model.SMALL_DIMS], "fact_events", "fact_shots", "fact_lineups_players",
+                "fact_three_sixty", "fact_three_sixty_freeze_frames")
+
+
+def load_model(spark: SparkSession, model_dir: str) -> dict[str, DataFrame]:
+    """The tables of an exported model that are there."""
+    found = {name: read_table(spark, model_dir, name) for name in MODEL_TABLES}
+    return {name: df for name, df in found.items() if df is not None}
+
+
+def failed_checks(spark: SparkSession, model_tables: dict[str, DataFrame]) -> list[str]:
+    """Export gate: the broken rules of the fact_shots contract and dimensions with
+    repeated keys (null ids are reported, not failed)."""
+    if "fact_shots" not in model_tables:
+        return []
+    rows = export_checks(spark, model_tables).where("value <> 0").collect()  # one row per check
+    return [r["check"] for r in rows if not r["check"].startswith("null ")]
+
+
 def export_checks(spark: SparkSession, model_tables: dict[str, DataFrame]) -> DataFrame:
     """Q7-Q9 at export time: fact_shots contract, null id counts, duplicate dim keys."""
     fs = model_tables["fact_shots"]
