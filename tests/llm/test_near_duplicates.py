@@ -213,3 +213,27 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root.find(x) for e in edges for x in e if e[0] != e[1]}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# ---- lines against plain edit similarity, without any SimHash ----
+
+def lost(spark, texts, **how):
+    """Which of the texts, a document each, lose their line."""
+    got = D.dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), count_as="lost", **how)
+    return {r["doc_id"] for r in got.where("lost > 0").collect()}
+
+
+def alike(x, y):
+    return edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9
+
+
+def test_short_words_have_weight(spark):
+    """Near copies of lines of words of one to three characters meet; lines of other short words do not share a SimHash."""
+    rnd, letters = random.Random(7), "abcdefg12文"
+    base = [[rnd.choice(letters) + rnd.choice(letters) * rnd.randint(0, 2) for _ in range(160)] for _ in range(12)]
+    copies = [" ".join(x[:80] + ["zz9"] + x[81:]) for x in base]
+    base = [" ".join(x) for x in base]
+    assert all(alike(x, y) for x, y in zip(base, copies)) and max(map(len, " ".join(base + copies).split(" "))) <= 3
+    assert len(lost(spark, base + copies) & set(range(12, 24))) >= 8
+    sims = [r["sim"] for r in D.sketch(documents(spark, [(1, "total 12 45", "en", "s"), (2, "total 13 77", "en", "s")])).collect()]
+    assert sims[0] != sims[1]
