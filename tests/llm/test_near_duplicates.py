@@ -237,3 +237,37 @@ def test_short_words_have_weight(spark):
     assert len(lost(spark, base + copies) & set(range(12, 24))) >= 8
     sims = [r["sim"] for r in D.sketch(documents(spark, [(1, "total 12 45", "en", "s"), (2, "total 13 77", "en", "s")])).collect()]
     assert sims[0] != sims[1]
+
+
+def test_cuts_find_one_changed_word(spark):
+    """All similar lines that differ in one word, or by one more, at any length; SimHash alone loses most of the short ones."""
+    rnd = random.Random(8)
+    base = [sentence(rnd, n).split(" ") for n in (4, 5, 6, 7, 9, 10, 11, 15, 20, 21, 30, 50) for _ in range(4)]
+    copies = []
+    for i, w in enumerate(base):
+        k = rnd.randrange(len(w))
+        copies.append(w[:k] + ["zz9"] * (i % 4 < 2) + w[k + (i % 4 != 1):])  # replaced, added or left out
+    base, copies = [" ".join(w) for w in base], [" ".join(w) for w in copies]
+    want = {len(base) + i for i, (x, y) in enumerate(zip(base, copies)) if alike(x, y)}
+    assert len(want) > 40
+    assert lost(spark, base + copies, cuts=True) == want
+    assert len(lost(spark, base + copies)) < len(want) / 2
+
+
+def test_cuts_link_only_similar_lines(spark):
+    rnd = random.Random(9)
+    texts = [" ".join([*rnd.choice((["total", "of", "the"], ["page"], [], ["copyright", "notice", "holders"])), *(rnd.choice(["12", "345", "a", "alran", "betel"]) for _ in range(rnd.randint(1, 4)))]) for _ in range(120)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], clash=True)
+    first = {}
+    for t in texts:
+        first.setdefault(" ".join(normal(t)), len(first))
+    links = D.repeated_lines(docs, cuts=True)
+    known, root = list(first), Roots()
+    for i, x in enumerate(known):
+        for y in known[:i]:
+            if alike(x, y):
+                root.join(first[x], first[y])
+    groups = len({root.find(i) for i in first.values()})
+    stay = len(texts) - links.count()
+    assert groups <= stay < len(first)
+    assert D.dedup(documents(spark, []), cuts=True).count() == 0

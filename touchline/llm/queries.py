@@ -82,7 +82,7 @@ def op5_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deduped = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_as="lines_removed")
+    deduped = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_as="lines_removed", cuts=True)
     return deduped.select("doc_id", F.length("text").alias("chars_kept"), F.md5("text").alias("text_md5"), "lines_removed", "text")
 
 
