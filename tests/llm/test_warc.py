@@ -47,6 +47,16 @@ def test_text_against_a_parser(spark):
         assert W.visible_text(html) == parsed(html), html
 
 
+def test_hidden_elements_without_an_end_tag():
+    for html, text in (("<html><head><title>t</title><body><p>All the text", "All the text"), ("<head><meta charset=x><style>p {}</style>\n<p>one<p>two", "one\ntwo"),
+                       ("<head><title>t</title><script>'<body>'</script></head><p>one</p>", "one"), ("<head><!-- <p>no --><title>t<b></title><link rel=x>one", "one"),
+                       ("<p>one</p><svg width=1 /><p>two</p>", "one\ntwo"), ("one<math/> two", "one two"), ("one<svg><text>no</text></svg> two", "one two"),
+                       ("<svg><p>one</p>", "one"), ("one <object data=x>two", "one two"), ("one<template>two", "onetwo"),
+                       ("<head-line>one</head-line><p>two", "one\ntwo"), ("<svg-icon>one</svg-icon> <p-x>two</p-x>", "one two"),
+                       ("one<script>no", "one"), ("one<style>no<p>no", "one"), ("one<iframe src=x>no", "one"), ("one<!-- no", "one")):
+        assert W.visible_text(html) == text, html
+
+
 def derive(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, rid string, url string, head string, html string, block string, header string")
     return W.derive(df, keep="page_id", record_id=F.col("rid"), target=F.col("url"), date=F.lit("2024-01-01T00:00:00Z"), http_head=F.col("head"), payload=F.col("html"))

@@ -29,20 +29,57 @@ HIDDEN = ("script", "style", "template", "noscript", "head", "iframe", "svg", "m
 LINES = ("address", "article", "aside", "blockquote", "br", "caption", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
          "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "legend", "li", "main", "nav", "ol", "option", "p", "pre", "section", "table", "td", "th", "tr", "ul")
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b" + r"[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:" + "|".join(LINES) + r")\b[^>]*>", re.I)
+#: Hidden elements that only their end tag closes; without it they reach to the end of the page.
+RAW = ("script", "style", "noscript", "iframe")
+
+#: The end of a whole tag name.
+_NAME = r"(?=[\s/>])"
+_OPEN = re.compile(r"<!--|<(" + "|".join(HIDDEN) + ")" + _NAME + r"[^>]*>|<[!?][^>]*>", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
+#: What a head can hold; its end tag, or else the first other tag or text, ends it.
+_HEAD = re.compile(r"\s+|<!--.*?(?:-->|\Z)|<(script|style|noscript)" + _NAME + r"[^>]*>.*?(?:</\1\s*>|\Z)|<(title|template)" + _NAME + r"[^>]*>(?:.*?</\2\s*>|[^<]*)"
+                   r"|<(?:meta|link|base|basefont|bgsound)" + _NAME + r"[^>]*>|</(?!(?:head|body|html|br)[\s/>])[a-z][^>]*>|<[!?][^>]*>", re.S | re.I)
+_BREAK = re.compile(r"</?(?:" + "|".join(LINES) + ")" + _NAME + r"[^>]*>", re.I)
 _ANY = re.compile(r"</?[a-zA-Z][^>]*>")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE = re.compile(r"<title" + _NAME + r"[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
-_SCRIPT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_SCRIPT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)" + _NAME + r"[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HREF = re.compile(r"""<a(?=[\s/])[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+
+
+def _shown(markup: str) -> str:
+    """``markup`` without comments, declarations and hidden elements.
+
+    A head ends where its end tag is missing, too; svg and math may close themselves; of
+    other hidden elements without an end tag all but ``RAW`` lose the tag only.
+    """
+    out, at, unclosed = [], 0, set()
+    while m := _OPEN.search(markup, at):
+        out.append(markup[at:m.start()])
+        at, name = m.end(), (m[1] or "").lower()
+        if m[0] == "<!--":
+            end = markup.find("-->", at)
+            at = end + 3 if end >= 0 else len(markup)
+        elif name == "head":
+            while item := _HEAD.match(markup, at):
+                at = item.end()
+            if end := _CLOSE[name].match(markup, at):
+                at = end.end()
+        elif name and name not in unclosed and not (name in ("svg", "math") and m[0].endswith("/>")):
+            if end := _CLOSE[name].search(markup, at):
+                at = end.end()
+            elif name in RAW:
+                at = len(markup)
+            else:
+                unclosed.add(name)
+    return "".join(out) + markup[at:]
 
 
 def visible_text(markup: str) -> str:
     """The text a reader sees: one line per block element, character references resolved."""
-    text = _ANY.sub("", _BREAK.sub("\n", _DROP.sub("", markup.replace("\r", "\n").replace("\n", " "))))
+    text = _ANY.sub("", _BREAK.sub("\n", _shown(markup.replace("\r", "\n").replace("\n", " "))))
     text = _SPACE.sub(" ", html.unescape(text))
     return _LINES.sub("\n", text).strip()
 
