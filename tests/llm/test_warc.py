@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import zlib
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -96,6 +97,33 @@ def test_reads_responses(spark, scratch):
     assert [tuple(r) for r in got] == [("<urn:1>", "http://a.test/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nA: b", "<p>Ünï</p>")]
 
 
+def test_responses_keep_their_digest_and_charset(spark, scratch):
+    """Codings undone, text by the declared charset, the source's digest and WARC headers passed on."""
+    chunked = lambda b: b"3\r\n" + b[:3] + b"\r\n" + b"%x;x=y\r\n" % len(b[3:]) + b[3:] + b"\r\n0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    jis, latin, utf = "<p>日本語</p>".encode("shift_jis"), "<p>Été</p>".encode("latin-1"), "<p>Été</p>".encode()
+    deflated = raw.compress(utf) + raw.flush()
+    cases = [(b"Content-Type: text/html; charset=ISO-8859-1", latin, latin, "<p>Été</p>"), (b"Content-Type: text/html; charset=Shift_JIS", jis, jis, "<p>日本語</p>"),
+             (b"X: y", b"<meta charset=shift_jis>" + jis, b"<meta charset=shift_jis>" + jis, "<meta charset=shift_jis><p>日本語</p>"),
+             (b"Transfer-Encoding: chunked", chunked(utf), utf, "<p>Été</p>"), (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(gzip.compress(utf, mtime=0)), gzip.compress(utf, mtime=0), "<p>Été</p>"),
+             (b"Content-Encoding: deflate", zlib.compress(utf), zlib.compress(utf), "<p>Été</p>"), (b"Content-Encoding: deflate", deflated, deflated, "<p>Été</p>"),
+             (b"Content-Encoding: unheard-of", utf, utf, None)]
+    with open(f"{scratch}/a.warc", "wb") as f:
+        for given in (b"WARC-Payload-Digest: sha1:GIVEN\r\nWARC-IP-Address: 192.0.2.1\r\n", b""):
+            for i, (head, body, _, _) in enumerate(cases):
+                block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+                f.write(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\n%sContent-Length: %d\r\n\r\n" % (i, given, len(block)) + block + b"\r\n\r\n")
+    read = W.source_responses(spark.read.format("binaryFile").load(scratch))
+    got = read.collect()
+    assert [r["payload"] for r in got] == [text for *_, text in cases] * 2
+    assert [r["payload_digest"] for r in got] == ["sha1:GIVEN"] * len(cases) + [sha(body) for _, _, body, _ in cases]
+    made = W.derive(read.withColumnRenamed("record_id", "rid"), keep="rid", record_id=F.col("rid"), **{c: F.col(c) for c in ("target", "date", "http_head", "payload", "payload_digest", "payload_length", "warc_head")})
+    records = [r for x in got for r in W.derive_one(x["record_id"], "", "", x["http_head"], x["payload"] or "", x["payload_digest"], x["payload_length"], x["warc_head"])]
+    assert [r["header"] + r["block"] for r in made.collect()] == [r["header"] + r["block"] for r in records]
+    assert records[0]["source_digest"] == "sha1:GIVEN" and "WARC-Refers-To-Payload-Digest: sha1:GIVEN\r\n" in records[1]["header"]
+    assert f"source-payload-length: {len(latin)}\r\n" in records[0]["block"] and "source-warc-header: warc-ip-address: 192.0.2.1\r\n" in records[0]["block"]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None, None, None, None), (None, "<a>", "", "", "", "x", "y"), (2, "<b>", "http://[bad", "h", "<a href='http://[bad2'>x</a>" + "<p>w " * 100_000, None, None)] * 2
     got = derive(spark, rows).collect()

@@ -9,7 +9,6 @@ language and outgoing links. The conversion record holds the page's visible text
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
@@ -116,13 +115,13 @@ def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def derive_one(response_id: str, target: str, date: str, http_head: str, payload: str) -> list[dict]:
-    """The two records of a response."""
+def derive_one(response_id: str, target: str, date: str, http_head: str, payload: str, given_digest: str = "", length: int = -1, warc_head: str = "") -> list[dict]:
+    """The two records of a response; digest and length are the payload's as UTF-8 where none are given."""
     body = payload.encode("utf-8", "surrogatepass")
-    source_digest = digest(body)
+    source_digest = given_digest or digest(body)
     ids = {k: derived_id(response_id, k) for k in ("metadata", "conversion")}
-    fields = [("source-payload-digest", source_digest), ("source-payload-length", str(len(body))),
-              *[("source-header", h) for h in http_head.splitlines() if h.strip()], *page_facts(payload, target)]
+    fields = [("source-payload-digest", source_digest), ("source-payload-length", str(len(body) if length < 0 else length)),
+              *[("source-warc-header", h) for h in warc_head.splitlines() if h.strip()], *[("source-header", h) for h in http_head.splitlines() if h.strip()], *page_facts(payload, target)]
     blocks = {"metadata": "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields), "conversion": visible_text(payload)}
     out = []
     for kind, other, content in (("metadata", "conversion", "application/warc-fields"), ("conversion", "metadata", "text/plain; charset=utf-8")):
@@ -140,18 +139,24 @@ _KINDS = ("record_type string, record_id string, refers_to string, concurrent_to
           "source_digest string, block_digest string, block_length long, header string, block string")
 
 
-def derive(responses: DataFrame, *, keep: str, record_id: Column, target: Column, date: Column, http_head: Column, payload: Column) -> DataFrame:
+def derive(responses: DataFrame, *, keep: str, record_id: Column, target: Column, date: Column, http_head: Column, payload: Column,
+           payload_digest: Column | None = None, payload_length: Column | None = None, warc_head: Column | None = None) -> DataFrame:
     """Two rows per row of ``responses``: column ``keep``, and the record's type, ids, digests,
     ``header`` (the WARC header's lines) and ``block``.
 
     A map over the rows, nothing shuffled; output leaves a task in batches of about
     ``BATCH_CHARS`` characters. Null payload: an empty one. A null target, date or
-    head: that header is absent. A null record id counts as the empty one. Ids follow
+    head: that header is absent. The source's payload digest, payload length and WARC headers
+    are passed through; where they are null or not given, digest and length are those of
+    the payload as UTF-8. A null record id counts as the empty one. Ids follow
     from the response's id alone, so repeated rows give equal records and a repeated run
     gives the same files. Empty table: empty result.
     """
+    none = F.lit(None)
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = responses.select(F.col(keep).alias("kept"), text(record_id).alias("i"), text(target).alias("t"), text(date).alias("d"), text(http_head).alias("h"), text(payload).alias("p"))
+    rows = responses.select(F.col(keep).alias("kept"), text(record_id).alias("i"), text(target).alias("t"), text(date).alias("d"), text(http_head).alias("h"), text(payload).alias("p"),
+                            text(none if payload_digest is None else payload_digest).alias("g"), F.coalesce((none if payload_length is None else payload_length).cast("long"), F.lit(-1)).alias("n"),
+                            text(none if warc_head is None else warc_head).alias("w"))
     kind = responses.schema[keep].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,8 +199,91 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, data[end + 4:at]
 
 
-def responses(files: DataFrame) -> DataFrame:
-    """Responses in WARC files read by the ``binaryFile`` source: ``record_id, target, date, http_head, payload``."""
+def _unchunked(body: bytes) -> bytes:
+    """A body without chunked transfer coding; what does not look chunked stays as it is."""
+    out, at = bytearray(), 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        out += body[m.end():m.end() + size]
+        if not size:
+            return bytes(out)
+        at = m.end() + size
+        at += 2 if body[at:at + 2] == b"\r\n" else 0
+    return bytes(out) if at else body
+
+
+def _inflated(body: bytes, wbits: int) -> bytes:
+    """What can be decompressed, also of a body that is cut short."""
+    out = bytearray()
+    while body:
+        one = zlib.decompressobj(wbits)
+        for i in range(0, len(body), 1 << 16):
+            try:
+                out += one.decompress(body[i:i + (1 << 16)])
+            except zlib.error:
+                return bytes(out)
+            if one.eof:
+                break
+        body = one.unused_data + body[i + (1 << 16):] if one.eof else b""
+    return bytes(out)
+
+
+def _plain(body: bytes, codings: list[str]) -> bytes | None:
+    """A body without its content codings, the last one first; null where one is unknown here (br without its package)."""
+    for coding in reversed(codings):
+        if coding in ("gzip", "x-gzip"):
+            body = _inflated(body, zlib.MAX_WBITS | 16) if body[:2] == b"\x1f\x8b" else body
+        elif coding == "deflate":
+            body = _inflated(body, zlib.MAX_WBITS) or _inflated(body, -zlib.MAX_WBITS)
+        elif coding == "br":
+            try:
+                import brotli
+            except ModuleNotFoundError:
+                return None
+            try:
+                body = brotli.decompress(body)
+            except brotli.error:
+                return None
+        elif coding not in ("", "identity"):
+            return None
+    return body
+
+
+def _decoded(body: bytes, http_head: str) -> str:
+    """A body's text by its byte order mark, its declared charset, its meta tag, or else as UTF-8."""
+    found = _CHARSET.search(next(iter(_values(http_head, "content-type")), ""))
+    meta = _META.search(body[:4096])
+    declared = found[1] if found else meta[1].decode("latin-1") if meta else "utf-8"
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if body.startswith(mark):
+            body, declared = body[len(mark):], name
+    if declared.lower() in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii"):
+        declared = "cp1252"  # as browsers read it
+    try:
+        return body.decode(declared, "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
+
+
+_CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
+_CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
+_META = re.compile(rb"""<meta\b[^>]*?charset\s*=\s*["']?([\w.:-]+)""", re.I)
+
+
+def _values(http_head: str, name: str) -> list[str]:
+    """The comma-separated values of a header, lower case."""
+    lines = (x.partition(":") for x in http_head.split("\n")[1:])
+    return [v.strip().lower() for k, _, vs in lines if k.strip().lower() == name for v in vs.split(",")]
+
+
+def source_responses(files: DataFrame) -> DataFrame:
+    """Responses in WARC files read by the ``binaryFile`` source: ``record_id, target, date, http_head, payload,
+    payload_digest, payload_length, warc_head``.
+
+    ``payload`` is the text, without transfer and content codings and decoded by its charset (null
+    where a coding is unknown). The digest is the source's; where it gives none, that of the body
+    without its transfer coding, which is what ``payload_length`` measures. ``warc_head`` has the WARC headers.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -203,13 +291,21 @@ def responses(files: DataFrame) -> DataFrame:
                 rows = []
                 for headers, block in parse(content):
                     if headers.get("warc-type") == "response":
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        if re.search(rb"(?im)^content-encoding:\s*gzip\s*$", head):
-                            body = gzip.decompress(body)
-                        rows.append((headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), head.decode("latin-1"), body.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["record_id", "target", "date", "http_head", "payload"])
+                        raw, _, body = block.partition(b"\r\n\r\n")
+                        head = raw.decode("latin-1")
+                        if "chunked" in _values(head, "transfer-encoding"):
+                            body = _unchunked(body)
+                        plain = _plain(body, _values(head, "content-encoding"))
+                        rows.append((headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), head, None if plain is None else _decoded(plain, head),
+                                     headers.get("warc-payload-digest") or digest(body), len(body), "\r\n".join(f"{k}: {v}" for k, v in headers.items())))
+                yield pd.DataFrame(rows, columns=["record_id", "target", "date", "http_head", "payload", "payload_digest", "payload_length", "warc_head"])
+
+    return files.select("content").mapInPandas(run, "record_id string, target string, date string, http_head string, payload string, payload_digest string, payload_length long, warc_head string")
 
-    return files.select("content").mapInPandas(run, "record_id string, target string, date string, http_head string, payload string")
+
+def responses(files: DataFrame) -> DataFrame:
+    """``record_id, target, date, http_head, payload`` of ``source_responses``."""
+    return source_responses(files).select("record_id", "target", "date", "http_head", "payload")
 
 
 def page_responses(pages: DataFrame) -> DataFrame:
