@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_backtrack, embedding_ego, jaccard_join, lang_profiles, line_dedup, maxscore, secret_ownership, source_mix, url_cascade, warc_derive
+from touchline.llm import bpe_backtrack, embedding_ego, exact_dedup, jaccard_join, lang_profiles, line_dedup, maxscore, secret_ownership, source_mix, url_cascade, warc_derive
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,13 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc_derive.page_responses(table(spark, sf_dir, "pages"))
     return warc_derive.derive(pages, keep="page_id", record_id=F.col("record_id"), target=F.col("target"), date=F.col("date"),
                               http_head=F.col("http_head"), payload=F.col("payload"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
+    return found.select("doc_id", F.col("dup_keep_id").alias("keep_id"), F.col("dup_size").alias("group_size"), F.col("dup_kept").alias("kept"),
+                        F.col("dup_sha256").alias("text_sha256"))
+
+
+ORACLE["op11_exact_dedup"] = exact_dedup.ORACLE
