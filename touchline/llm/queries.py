@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_backtrack, embedding_ego, exact_dedup, jaccard_join, lang_profiles, line_dedup, maxscore, periodic_runs, secret_ownership, source_mix, url_cascade, warc_derive
+from touchline.llm import bpe_backtrack, conversation_repair, embedding_ego, exact_dedup, jaccard_join, lang_profiles, line_dedup, maxscore, periodic_runs, secret_ownership, source_mix, url_cascade, warc_derive
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -107,3 +107,9 @@ ORACLE["op11_exact_dedup"] = exact_dedup.ORACLE
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.looped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return periodic_runs.digests(periodic_runs.find(docs))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(conversation_repair.repair(rows, live=F.col("live")))
