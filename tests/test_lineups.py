@@ -89,3 +89,32 @@ def test_first_eleven_against_a_loop(spark, monkeypatch):
             names.add(name.lower())
             want.append((team, n, -1 if pid is None else pid, name))
     assert got == sorted(want)
+
+
+def test_entry_by_id_then_name_then_alone(spark):
+    """First entry of the best way; numbers are given before repeated players go."""
+    seg = "struct<position_id:string,position:string,from:string,to:string,start_reason:string>"
+    schema = (f"match_id long, team_id long, team_name string, lineup array<struct<player_id:string,player_name:string,"
+              f"jersey_number:string,positions:array<{seg}>>>, _file string, _pos int, _rank int")
+    start = [("1", "Goalkeeper", "00:00", None, "Starting XI")]
+
+    def entry(match, pos, team, name, *players, positions=start):
+        return (match, team, name, [None if p is None else (str(p), f"P{p}", "7", positions) for p in players], "f", pos, 3)
+
+    docs = spark.createDataFrame([
+        entry(1, 1, 10, "x", 11), entry(1, 0, 10, "B", 12, 13), entry(1, 2, 99, " b ", 14),  # two of one id: the first; B by name, first again
+        entry(2, 0, 98, "nobody", 21, None, 22, 21, 23),                                     # alone: serves both teams
+        entry(3, 0, 98, "nobody", 31), entry(3, 1, 97, None, 32),                            # two strangers: no team is served
+        entry(4, 0, 10, "A", *range(40, 55), positions=[]), entry(4, 1, 20, "B", positions=[])], schema)
+    teams = spark.createDataFrame([(m, t, n) for m in (1, 2, 3, 4) for t, n in ((10, "A"), (20, "b"))], "match_id long, team_id long, team_name string")
+    got = {}
+    for r in lineups.xi_from_lineups(docs, teams).orderBy("match_id", "team_id", "sort_order").collect():
+        got.setdefault((r.match_id, r.team_id, r.entry_way), []).append((r.player_id, r.sort_order))
+    assert got == {(1, 10, lineups.BY_ID): [(12, 1), (13, 2)], (1, 20, lineups.BY_NAME): [(12, 1), (13, 2)],
+                   (2, 10, lineups.SOLE): [(21, 1), (22, 2), (23, 4)], (2, 20, lineups.SOLE): [(21, 1), (22, 2), (23, 4)],
+                   (4, 10, lineups.BY_ID): [(40 + i, i + 1) for i in range(11)]}
+    # teams that get nothing from the documents (an empty lineup too) use events
+    events = spark.createDataFrame([(4, 20, "b", 77, "Q", 1), (3, 10, "A", 78, "R", 1), (1, 10, "A", 79, "S", 1)],
+                                   "match_id long, team_id long, team_name string, player_id long, player_name string, event_index int")
+    sources = {(r.match_id, r.team_id): r.source for r in lineups.starting_xi(events, docs, teams).collect()}
+    assert sources[4, 20] == sources[3, 10] == "events_fallback" and sources[1, 10] == "data_raw_lineups"

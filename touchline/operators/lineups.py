@@ -107,21 +107,70 @@ def lineup_players(lineups_raw: DataFrame) -> DataFrame:
         is_starter(F.col("p.positions")).alias("is_starter"))
 
 
-def xi_from_lineups(lineups_raw: DataFrame) -> DataFrame:
-    """Starters of each team entry, else its first 11 players; distinct
-    (player_id, name); first 11 by lineup order."""
-    lp = lineup_players(lineups_raw)
-    w_team = Window.partitionBy("match_id", "team_id")
-    picked = (lp.withColumn("_has_starter", F.max(F.col("is_starter").cast("int")).over(w_team) == 1)
-                .where(F.when(F.col("_has_starter"), F.col("is_starter")).otherwise(F.col("lineup_pos") < XI_SIZE))
-                .drop("_has_starter"))
-    dedup = (picked.groupBy("match_id", "team_id", "player_id", "player_name")
-                   .agg(F.min_by(F.struct("lineup_pos", "team_name", "jersey_number", "position_id", "position_name"),
-                                 "lineup_pos").alias("r"))
-                   .select("match_id", "team_id", "player_id", "player_name", "r.*"))
-    w = Window.partitionBy("match_id", "team_id").orderBy("lineup_pos")
-    return (dedup.withColumn("sort_order", F.row_number().over(w)).where(F.col("sort_order") <= XI_SIZE)
-                 .withColumn("source", F.lit("data_raw_lineups")).drop("lineup_pos"))
+def _entry_order(lineups_raw: DataFrame) -> Column:
+    """Read order of the entries: the ingestion columns where they are, else the entry's own values."""
+    there = [c for c in ("_rank", "_file", "_pos") if c in lineups_raw.columns]
+    return F.struct(*[F.col(c) for c in there]) if there else F.struct("team_id", "team_name")
+
+
+def _name_key(name: Column) -> Column:
+    return norm_text(F.coalesce(name.cast("string"), F.lit("")))
+
+
+def _entry_picks(lineups_raw: DataFrame) -> DataFrame:
+    """Each team entry with ``picks``, its eleven at most: starters, else the first 11 players,
+    numbered, then without repeated (player id, name). Within a row, nothing is shuffled."""
+    e = lineups_raw.select(bigint_col(lineups_raw, "match_id").alias("match_id"), bigint_col(lineups_raw, "team_id").alias("team_id"),
+                           "team_name", _entry_order(lineups_raw).alias("_ord"),
+                           F.filter("lineup", lambda p: p.isNotNull()).alias("_all"))
+    e = e.withColumn("_start", F.filter("_all", lambda p: is_starter(p["positions"])))
+    e = e.withColumn("_chosen", F.when(F.size("_start") > 0, F.col("_start")).otherwise(F.slice("_all", 1, XI_SIZE)))
+
+    def pick(p: Column, i: Column) -> Column:
+        seg = primary_position(p["positions"])
+        return F.struct(p["player_id"].cast("bigint").alias("player_id"), p["player_name"].cast("string").alias("player_name"),
+                        p["jersey_number"].cast("string").alias("jersey_number"), seg["position_id"].cast("bigint").alias("position_id"),
+                        seg["position"].cast("string").alias("position_name"), (i + 1).alias("sort_order"))
+
+    e = e.withColumn("_num", F.transform("_chosen", pick))
+    new = F.filter("_num", lambda p: ~F.exists(F.slice("_num", F.lit(1), p["sort_order"] - 1), lambda q: (
+        q["player_id"].eqNullSafe(p["player_id"]) & q["player_name"].eqNullSafe(p["player_name"]))))
+    return e.select("match_id", "team_id", "team_name", "_ord", F.slice(new, 1, XI_SIZE).alias("picks"))
+
+
+#: Ways to a team's entry, best first.
+BY_ID, BY_NAME, SOLE = range(3)
+
+
+def xi_from_lineups(lineups_raw: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+    """The eleven of each of ``teams`` (``match_id, team_id, team_name``; None: the teams of the entries).
+
+    A team takes its match's first entry with its id, else the first with its name (any
+    case), else the only entry there is. An entry's eleven are its starters, else its first
+    11 players; they are numbered, repeated (player id, name) leave gaps, and 11 stay.
+
+    Entries are offered under keys (match, way, id or name), and only the first of a key is
+    kept, so the join with the teams, each asking under its three keys, has no pairs to
+    spare; one minimum over the ways decides. ``entry_way`` tells which it was.
+    """
+    picks = _entry_picks(lineups_raw)
+    if teams is None:
+        teams = picks.select("match_id", "team_id", "team_name").where(F.col("team_id").isNotNull()).distinct()
+
+    def keys(by_name: Column) -> Column:
+        ways = F.array(F.struct(F.lit(BY_ID).alias("way"), F.col("team_id").cast("string").alias("key")),
+                       F.struct(F.lit(BY_NAME).alias("way"), by_name.alias("key")), F.struct(F.lit(SOLE).alias("way"), F.lit("").alias("key")))
+        return F.explode(F.filter(ways, lambda k: k["key"].isNotNull())).alias("k")
+
+    offers = (picks.select("match_id", keys(_name_key(F.col("team_name"))), "_ord", "picks").groupBy("match_id", "k.way", "k.key")
+              .agg(F.count("*").alias("_n"), F.min_by("picks", "_ord").alias("picks")).where(f"way <> {SOLE} or _n = 1"))
+    given = F.col("team_name").cast("string")
+    wanted = teams.select(bigint_col(teams, "match_id").alias("match_id"), bigint_col(teams, "team_id").alias("team_id"), "team_name")
+    asked = wanted.select("match_id", "team_id", "team_name", keys(F.when(given != "", _name_key(given)))).select("match_id", "team_id", "team_name", "k.way", "k.key")
+    taken = (asked.join(offers, ["match_id", "way", "key"]).groupBy("match_id", "team_id", "team_name")
+             .agg(F.min_by("picks", "way").alias("picks"), F.min("way").alias("entry_way")))
+    return (taken.select("match_id", "team_id", "team_name", "entry_way", F.explode("picks").alias("p"))
+            .select("match_id", "team_id", "team_name", "entry_way", "p.*").withColumn("source", F.lit("data_raw_lineups")))
 
 
 # ---------------------------------------------------------------------------
@@ -214,12 +263,19 @@ def _pickable(pairs: DataFrame) -> DataFrame:
     return near.withColumn("_k", nth()).where(F.col("_k") <= k + 2 * k * (k - 1)).drop("_pid", "_i", "_n", "_k")
 
 
-def starting_xi(events: DataFrame, lineups_raw: DataFrame | None = None) -> DataFrame:
-    """W3 + W4: XI from lineup documents; teams without one use events."""
+def starting_xi(events: DataFrame, lineups_raw: DataFrame | None = None, teams: DataFrame | None = None) -> DataFrame:
+    """W3 + W4: XI from lineup documents; teams that get none there use events. ``teams`` as in
+    ``xi_from_lineups``; None: those of the events and of the entries."""
     from_events = xi_from_events(events)
     if lineups_raw is None:
         return from_events.select(*_XI_COLS)
-    docs = xi_from_lineups(lineups_raw).select(*_XI_COLS)
+    if teams is None:
+        sources = [f.select(bigint_col(f, "match_id").alias("match_id"), bigint_col(f, "team_id").alias("team_id"),
+                            (F.col("team_name").cast("string") if "team_name" in f.columns else F.lit(None).cast("string")).alias("team_name"))
+                   for f in (events, lineups_raw)]
+        teams = (sources[0].unionByName(sources[1]).where("match_id is not null and team_id is not null")
+                 .groupBy("match_id", "team_id").agg(F.max("team_name").alias("team_name")))
+    docs = xi_from_lineups(lineups_raw, teams).select(*_XI_COLS)
     covered = docs.select("match_id", "team_id").distinct()
     return docs.unionByName(from_events.join(covered, ["match_id", "team_id"], "left_anti").select(*_XI_COLS))
 

@@ -41,6 +41,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 # Load the query modules so their @register decorators run.
 from touchline.plans import queries_events  # noqa: E402,F401
 from touchline.plans import queries_model  # noqa: E402,F401
+from touchline.plans import queries_raw  # noqa: E402,F401
 from touchline.plans import queries_reports  # noqa: E402,F401
 from touchline.plans import queries_tables  # noqa: E402,F401
 
