@@ -326,16 +326,16 @@ def match_label(home_name: Column, away_name: Column, match_date: Column | None
 
 def three_sixty_match_ids(visible_area: DataFrame | None, three_sixty: DataFrame | None) -> DataFrame:
     """Match ids with 360 data: from visible_area, else from three_sixty
-    when visible_area yields none (decided per dataset, like the source)."""
+    when visible_area yields none (decided per dataset, like the source, when the query runs)."""
     frames = [f.select(bigint_col(f, "match_id").alias("match_id")).where(F.col("match_id").isNotNull())
               for f in (visible_area, three_sixty) if f is not None and "match_id" in f.columns]
     if not frames:
         return None
     if len(frames) == 1:
         return frames[0].distinct()
-    va, ts = frames[0].distinct(), frames[1].distinct()
-    # one existence probe (a single row at most reaches the driver) picks the source
-    return ts if va.isEmpty() else va
+    va, ts = frames
+    # the choice is part of the plan: a subquery that stops at its first row
+    return va.unionByName(ts.where(~va.exists())).distinct()
 
 
 def dim_match(matches: DataFrame, ord: str | Column, ids_360: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.coerce import bigint_col, coalesce_existing, existing, label_or_null, norm_text
+from touchline.sources.tables import read_order
 
 # Canonical goal outcome id.
 GOAL_OUTCOME_ID = 97
@@ -74,15 +75,20 @@ def dedupe_shots(shots: DataFrame) -> DataFrame:
                  .select(*[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
-def _lookup(dim: DataFrame | None, id_col: str, name_col: str, unique: bool = False) -> DataFrame | None:
-    """(id, name) lookup with a numeric key (D3): one row per id. A dimension
-    already unique on its key (model dims, checked by Q9) skips the dedupe
-    aggregation."""
+def lookup_names(dim: DataFrame | None, id_col: str, name_col: str, unique: bool = False, order: Column | None = None) -> DataFrame | None:
+    """D3: (id, name) lookup with a numeric key, the first row of each id, its name null or not.
+
+    First is by ``order``; without one by file and row index where ``dim`` is read from
+    Parquet; rows without any order are taken by name. A dimension already unique on its
+    key (model dims, checked by Q9) skips the aggregation.
+    """
     if dim is None or id_col not in dim.columns or name_col not in dim.columns:
         return None
-    lk = (dim.select(bigint_col(dim, id_col).alias(id_col), F.col(name_col).cast("string").alias(name_col))
+    order = order if order is not None else read_order(dim)
+    name = F.col(name_col).cast("string")
+    lk = (dim.select(bigint_col(dim, id_col).alias(id_col), name.alias(name_col), (name if order is None else order).alias("_o"))
              .where(F.col(id_col).isNotNull()))
-    return lk if unique else lk.groupBy(id_col).agg(F.min(name_col).alias(name_col))
+    return lk.drop("_o") if unique else lk.groupBy(id_col).agg(F.min_by(name_col, "_o").alias(name_col))
 
 
 def _legacy(df: DataFrame, names: Sequence[str]) -> Column | None:
@@ -115,7 +121,7 @@ def ensure_shot_labels(shots: DataFrame, dim_shot_outcome: DataFrame | None, dim
              ("shot_type", "shot_type_id", dim_shot_type, "shot_type_name"))
     new_cols = {}
     for label, id_col, dim, dim_name in specs:
-        lk = _lookup(dim, id_col, dim_name, dims_unique)
+        lk = lookup_names(dim, id_col, dim_name, dims_unique)
         mapped = F.lit(None).cast("string")
         if lk is not None and id_col in out.columns:
             alias = f"_lbl_{label}"
@@ -133,7 +139,7 @@ def with_names_from_dims(view: DataFrame, dim_team: DataFrame | None, dim_player
     """Fill null team/player names from the dimensions."""
     out = view
     for dim, id_col, name_col in ((dim_team, "team_id", "team_name"), (dim_player, "player_id", "player_name")):
-        lk = _lookup(dim, id_col, name_col, dims_unique)
+        lk = lookup_names(dim, id_col, name_col, dims_unique)
         if lk is None or id_col not in out.columns:
             if name_col not in out.columns:
                 out = out.withColumn(name_col, F.lit(None).cast("string"))
@@ -193,7 +199,7 @@ def enrich_dim_match(dim_match: DataFrame, dim_team: DataFrame | None = None,
     for dim, id_col, name_col, target_id, target_name in joins:
         if target_name in out.columns or target_id not in out.columns:
             continue
-        lk = _lookup(dim, id_col, name_col)
+        lk = lookup_names(dim, id_col, name_col)
         if lk is None:
             continue
         lk = lk.select(F.col(id_col).alias("_k"), F.col(name_col).alias(target_name))
@@ -201,6 +207,17 @@ def enrich_dim_match(dim_match: DataFrame, dim_team: DataFrame | None = None,
     return out
 
 
+def _label(dim_match: DataFrame) -> Column:
+    """The given match label, else one made of the names and the date."""
+    if "match_label" in dim_match.columns:
+        return F.col("match_label")
+    home, away = (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in dim_match.columns else F.lit("") for c in ("home_team_name", "away_team_name"))
+    label = F.concat(home, F.lit(" vs "), away)
+    if "match_date" in dim_match.columns:
+        label = F.concat(label, F.lit(" ("), F.col("match_date").cast("string"), F.lit(")"))
+    return label
+
+
 def matches_list(dim_match: DataFrame, competition_id: int | None = None, season_id: int | None = None) -> DataFrame:
     """matches of a competition/season, newest first (date desc, id desc)."""
     out = dim_match
@@ -208,13 +225,7 @@ def matches_list(dim_match: DataFrame, competition_id: int | None = None, season
         out = out.where(bigint_col(out, "competition_id") == int(competition_id))
     if season_id is not None and "season_id" in out.columns:
         out = out.where(bigint_col(out, "season_id") == int(season_id))
-    if "match_label" not in out.columns:
-        h = F.coalesce(F.col("home_team_name").cast("string"), F.lit("")) if "home_team_name" in out.columns else F.lit("")
-        a = F.coalesce(F.col("away_team_name").cast("string"), F.lit("")) if "away_team_name" in out.columns else F.lit("")
-        label = F.concat(h, F.lit(" vs "), a)
-        if "match_date" in out.columns:
-            label = F.concat(label, F.lit(" ("), F.col("match_date").cast("string"), F.lit(")"))
-        out = out.withColumn("match_label", label)
+    out = out.withColumn("match_label", _label(out))
     order = [F.col(c).desc() for c in ("match_date", "match_id") if c in out.columns]
     return out.orderBy(*order) if order else out
 
@@ -251,10 +262,8 @@ def teams_for_matches(dim_match: DataFrame, fact_events: DataFrame | None, fact_
                 .withColumn("team_name", F.coalesce(F.col("team_name"), F.col("team_id").cast("string"))))
 
 
-def players_for_matches(fact_events: DataFrame | None, fact_shots: DataFrame | None, dim_player: DataFrame | None,
-                        dim_team: DataFrame | None, team_id: int | None = None) -> DataFrame:
-    """(match_id, player_id, player_name, team_id, team_name) over events
-    and shots; names and missing teams from the dimensions."""
+def _player_rows(fact_events: DataFrame | None, fact_shots: DataFrame | None) -> DataFrame | None:
+    """``match_id, player_id, team_id, player_name`` of the facts' rows that name a player."""
     frames = []
     for f in (fact_events, fact_shots):
         if f is None or "match_id" not in f.columns or "player_id" not in f.columns:
@@ -263,24 +272,37 @@ def players_for_matches(fact_events: DataFrame | None, fact_shots: DataFrame | N
         nm = F.col("player_name").cast("string") if "player_name" in f.columns else F.lit(None).cast("string")
         frames.append(f.select(bigint_col(f, "match_id").alias("match_id"), bigint_col(f, "player_id").alias("player_id"),
                                team.alias("team_id"), nm.alias("player_name")))
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
-    rows = rows.where(F.col("player_id").isNotNull())
+    rows = concat_frames(frames)
+    return None if rows is None else rows.where(F.col("player_id").isNotNull())
+
+
+def _with_player_dim(rows: DataFrame, dim_player: DataFrame | None) -> DataFrame:
+    """Names and missing teams of ``rows`` from the first row of each player in the dimension."""
+    if dim_player is None or "player_id" not in dim_player.columns:
+        return rows
+    order = read_order(dim_player)
+    dp = dim_player.select(bigint_col(dim_player, "player_id").alias("_p"),
+                           F.struct((order if order is not None else F.col("player_name").cast("string")).alias("o"),
+                                    F.col("player_name").cast("string").alias("n"),
+                                    (bigint_col(dim_player, "team_id") if "team_id" in dim_player.columns
+                                     else F.lit(None).cast("bigint")).alias("t")).alias("_d"))
+    dp = dp.groupBy("_p").agg(F.min("_d").alias("_d"))
+    return (rows.join(dp, rows["player_id"] == dp["_p"], "left")
+                .withColumn("player_name", F.coalesce("player_name", "_d.n"))
+                .withColumn("team_id", F.coalesce("team_id", "_d.t")).drop("_p", "_d"))
+
+
+def players_for_matches(fact_events: DataFrame | None, fact_shots: DataFrame | None, dim_player: DataFrame | None,
+                        dim_team: DataFrame | None, team_id: int | None = None) -> DataFrame:
+    """(match_id, player_id, player_name, team_id, team_name) over events
+    and shots; names and missing teams from the dimensions."""
+    rows = _player_rows(fact_events, fact_shots)
     if team_id is not None:  # a player may have played for several teams: choose the rows, then the player's team
         rows = rows.where(F.col("team_id") == int(team_id))
     per = rows.groupBy("match_id", "player_id").agg(F.min("team_id").alias("team_id"),
                                                      F.min("player_name").alias("player_name"))
-    if dim_player is not None and "player_id" in dim_player.columns:
-        dp = dim_player.select(bigint_col(dim_player, "player_id").alias("_p"),
-                               F.col("player_name").cast("string").alias("_pn"),
-                               (bigint_col(dim_player, "team_id") if "team_id" in dim_player.columns
-                                else F.lit(None).cast("bigint")).alias("_pt"))
-        dp = dp.groupBy("_p").agg(F.min("_pn").alias("_pn"), F.min("_pt").alias("_pt"))
-        per = (per.join(dp, per["player_id"] == dp["_p"], "left")
-                  .withColumn("player_name", F.coalesce("player_name", "_pn"))
-                  .withColumn("team_id", F.coalesce("team_id", "_pt")).drop("_p", "_pn", "_pt"))
-    lk = _lookup(dim_team, "team_id", "team_name")
+    per = _with_player_dim(per, dim_player)
+    lk = lookup_names(dim_team, "team_id", "team_name")
     if lk is not None:
         lk = lk.select(F.col("team_id").alias("_t"), F.col("team_name"))
         per = per.join(lk, per["team_id"] == lk["_t"], "left").drop("_t")
@@ -314,17 +336,75 @@ def concat_frames(frames: Sequence[DataFrame | None]) -> DataFrame | None:
     return out
 
 
-def cascade_choices(dim_match: DataFrame, competition_id: int | None = None, season_id: int | None = None
-                    ) -> dict[str, DataFrame]:
-    """U5 (data side): distinct choices per level, each sorted for display:
-    competitions, seasons of the chosen competition, matches of the chosen
-    competition/season (newest first)."""
-    comps = dim_match.select(bigint_col(dim_match, "competition_id").alias("competition_id"),
-                             *[F.col(c) for c in ("competition_name",) if c in dim_match.columns]).distinct()
+#: The levels of the choices, each below the one before, with the bits that grouping_id() has for them.
+LEVELS = (("competition", 15), ("season", 7), ("match", 3), ("team", 1), ("player", 0))
+
+
+def cascade_levels(dim_match: DataFrame, fact_events: DataFrame | None = None, fact_shots: DataFrame | None = None,
+                   dim_team: DataFrame | None = None, dim_player: DataFrame | None = None) -> DataFrame:
+    """Every choice of the five levels with its parents, as rows ``level, competition_id,
+    season_id, match_id, team_id, player_id, label`` (ids below the level are null).
+
+    Matches, their teams (U1) and their players (U2, a player once for each team played for) are
+    stacked under their match's competition and season, and one pass over grouping sets makes
+    the levels: each row is combined map-side into its five groups. Choices without an id are
+    left out; a label is that of the first match, else the id.
+    """
+    def text(c: str) -> Column:
+        return F.col(c).cast("string") if c in dim_match.columns else F.lit(None).cast("string")
+
+    def num(c: str) -> Column:
+        return bigint_col(dim_match, c) if c in dim_match.columns else F.lit(None).cast("bigint")
+
+    none = F.lit(None).cast("bigint")
+    meta = dim_match.select(num("match_id").alias("match_id"), num("competition_id").alias("competition_id"), text("competition_name").alias("competition_name"),
+                            num("season_id").alias("season_id"), text("season_name").alias("season_name"), _label(dim_match).alias("match_label"))
+    teams = teams_for_matches(dim_match, fact_events, fact_shots, dim_team)
+    stacked = (meta.select("match_id", none.alias("team_id"), none.alias("player_id"), F.lit(None).cast("string").alias("own"))
+               .unionByName(teams.select("match_id", "team_id", none.alias("player_id"), F.col("team_name").alias("own"))))
+    players = _player_rows(fact_events, fact_shots)
+    if players is not None:
+        players = players.groupBy("match_id", "team_id", "player_id").agg(F.min("player_name").alias("player_name"))
+        players = _with_player_dim(players, dim_player)
+        stacked = stacked.unionByName(players.select("match_id", "team_id", "player_id", F.coalesce("player_name", F.col("player_id").cast("string")).alias("own")))
+    keys = ["competition_id", "season_id", "match_id", "team_id", "player_id"]
+    rows = stacked.join(meta, "match_id", "left").withColumn("first", F.struct("match_id"))
+    named_team = F.col("player_id").isNull() & F.col("team_id").isNotNull()
+    grouped = rows.groupingSets([[F.col(k) for k in keys[:n]] for n in range(1, 6)], *[F.col(k) for k in keys]).agg(
+        F.grouping_id().alias("_g"), F.min_by("competition_name", "first").alias("_competition"), F.min_by("season_name", "first").alias("_season"),
+        F.min("match_label").alias("_match"), F.min(F.when(named_team, F.col("own"))).alias("_team"),
+        F.min(F.when(F.col("player_id").isNotNull(), F.col("own"))).alias("_player"))
+    level = id_there = label = F.lit(None)
+    for (name, bits), key in zip(LEVELS, keys, strict=True):
+        at = F.col("_g") == bits
+        level = F.when(at, F.lit(name)).otherwise(level)
+        # a team is a choice where U1 has it, not because a player was seen with it
+        id_there = F.when(at, F.col("_team").isNotNull() if name == "team" else F.col(key).isNotNull()).otherwise(id_there)
+        label = F.when(at, F.coalesce(F.col(f"_{name}"), F.col(key).cast("string"))).otherwise(label)
+    return grouped.where(id_there).select(level.alias("level"), *keys, label.alias("label"))
+
+
+def cascade_choices(dim_match: DataFrame, competition_id: int | None = None, season_id: int | None = None, match_id: int | None = None,
+                    team_id: int | None = None, fact_events: DataFrame | None = None, fact_shots: DataFrame | None = None,
+                    dim_team: DataFrame | None = None, dim_player: DataFrame | None = None) -> dict[str, DataFrame]:
+    """U5 (data side): distinct choices per level, each sorted for display: competitions and
+    seasons by name, matches of the chosen competition and season (newest first), teams of
+    the chosen match, players of the chosen match and team."""
+    def named(df: DataFrame, level: str) -> DataFrame:
+        key, name = f"{level}_id", f"{level}_name"
+        has = name in df.columns
+        rows = df.select(bigint_col(df, key).alias(key), *[F.col(name)] * has).where(F.col(key).isNotNull())
+        rows = rows.groupBy(key).agg(F.min(name).alias(name)) if has else rows.distinct()
+        return rows.orderBy(name, key) if has else rows.orderBy(key)
+
     seasons = dim_match
     if competition_id is not None:
         seasons = seasons.where(bigint_col(dim_match, "competition_id") == int(competition_id))
-    seasons = seasons.select(bigint_col(dim_match, "season_id").alias("season_id"),
-                             *[F.col(c) for c in ("season_name",) if c in dim_match.columns]).distinct()
-    return {"competitions": comps.orderBy("competition_id"), "seasons": seasons.orderBy(F.col("season_id").desc()),
-            "matches": matches_list(dim_match, competition_id, season_id)}
+    out = {"competitions": named(dim_match, "competition"), "seasons": named(seasons, "season"),
+           "matches": matches_list(dim_match, competition_id, season_id)}
+    teams = teams_for_matches(dim_match, fact_events, fact_shots, dim_team)
+    out["teams"] = teams.where(F.col("match_id") == int(match_id)).orderBy("team_name", "team_id") if match_id is not None else teams
+    if fact_events is not None or fact_shots is not None:
+        frames = [f if f is None or match_id is None else fact_scan(f, match_id=match_id) for f in (fact_events, fact_shots)]
+        out["players"] = players_for_matches(*frames, dim_player, dim_team, team_id).orderBy("player_name", "player_id")
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import model, normalize, reports, tactical, views
 from touchline.plans.catalog import oracle, pitch_dims, pitch_events, register, round_doubles
+from touchline.sources.fixtures import read_source
 
 _SHOTS_SQL = """,
 fs as (select event_id, match_id, team_id, player_id, minute, second, period, location_x, location_y,
@@ -303,3 +304,62 @@ select distinct season_id from dim_match where competition_id = 2"""))
 def q_cascade(spark, sf):
     ev = pitch_events(spark, sf)
     return views.cascade_choices(pitch_dims(spark, ev)["dim_match"], competition_id=2)["seasons"]
+
+
+# The levels below the match, and those above, from one pass.
+_CHOICES_SQL = """
+, meta as (select match_id, competition_id, season_id, 'Home ' || cast(home_team_id as varchar) || ' vs Away ' || cast(away_team_id as varchar) as label from dim_match)
+"""
+
+
+def _levels(spark, sf):
+    ev = pitch_events(spark, sf)
+    dims = pitch_dims(spark, ev)
+    dm = dims["dim_match"].withColumns({
+        "match_label": F.concat(F.lit("Home "), F.col("home_team_id").cast("string"), F.lit(" vs Away "), F.col("away_team_id").cast("string")),
+        "competition_name": F.when(F.col("competition_id") != 3, F.concat(F.lit("Cup "), F.col("match_id").cast("string")))})
+    return views.cascade_levels(dm, ev, None, dims["dim_team"], dims["dim_player"].where("player_id % 3 <> 0"))
+
+
+@register("choices_teams", oracle(_CHOICES_SQL + """
+select 'team' as level, m.competition_id, m.season_id, m.match_id, t.team_id, cast(null as bigint) as player_id, t.team_name as label
+from meta m join dim_match d on d.match_id = m.match_id join dim_team t on t.team_id = d.home_team_id or t.team_id = d.away_team_id"""))
+def q_choices_teams(spark, sf):
+    return _levels(spark, sf).where("level = 'team'")
+
+
+@register("choices_players", oracle(_CHOICES_SQL + """
+, pl as (select distinct match_id, team_id, player_id from pitch where player_id is not null)
+select 'player' as level, m.competition_id, m.season_id, m.match_id, p.team_id, p.player_id,
+  case when p.player_id % 3 <> 0 then 'Player ' else '' end || cast(p.player_id as varchar) as label
+from pl p join meta m on m.match_id = p.match_id"""))
+def q_choices_players(spark, sf):
+    return _levels(spark, sf).where("level = 'player'")
+
+
+@register("choices_matches", oracle(_CHOICES_SQL + """
+select 'competition' as level, competition_id, cast(null as bigint) as season_id, cast(null as bigint) as match_id, cast(null as bigint) as team_id,
+  cast(null as bigint) as player_id, case when competition_id <> 3 then 'Cup ' || cast(min(match_id) as varchar) else '3' end as label from meta group by competition_id
+union all select 'season', competition_id, season_id, null, null, null, cast(season_id as varchar) from (select distinct competition_id, season_id from meta)
+union all select 'match', competition_id, season_id, match_id, null, null, label from meta"""))
+def q_choices_matches(spark, sf):
+    return _levels(spark, sf).where("level in ('competition', 'season', 'match')")
+
+
+# D3: the first row of each key as the file has it, among rows that conflict.
+@register("lookup_first_name", """
+select user_id, arg_min(event_type, event_id) as event_type from events where user_id is not null group by user_id""")
+def q_lookup_first(spark, sf):
+    return views.lookup_names(read_source(spark, sf, "events"), "user_id", "event_type")
+
+
+# From the visible areas, or from the three-sixty rows if there are none.
+@register("available_360", oracle("""
+select 'areas' as source, match_id from pitch where event_index % 50 = 0 and match_id % 3 = 0 group by match_id
+union all select 'rows', match_id from pitch where event_index % 50 = 0 and match_id % 2 = 0 group by match_id"""))
+def q_available_360(spark, sf):
+    ev = pitch_events(spark, sf).where("event_index % 50 = 0").select("match_id")
+    areas, rows = ev.where("match_id % 3 = 0"), ev.where("match_id % 2 = 0")
+    some = model.three_sixty_match_ids(areas, rows).select(F.lit("areas").alias("source"), "match_id")
+    none = model.three_sixty_match_ids(areas.where("match_id < 0"), rows).select(F.lit("rows").alias("source"), "match_id")
+    return some.unionByName(none)

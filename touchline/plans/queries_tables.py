@@ -200,6 +200,79 @@ def q_goal_consistency(spark, sf):
     return quality.goal_consistency(model.fact_shots(ev, F.struct("match_id", "event_index")), d["dim_shot_outcome"])
 
 
+# Q11 where names and ids disagree: outcomes as the events name them, some twice.
+_NAMED_OUTCOMES = """, named as (select shot_outcome_id, case when shot_outcome_id = 97 then ' GOAL ' when shot_outcome_id = 98 and body_part_id = 38 then 'Goal'
+  else 'Other' end as shot_outcome_name from pitch where shot_outcome_id is not null and shot_outcome_id <> 101 group by 1, 2)
+"""
+
+
+def _named_outcomes(ev):
+    name = F.when(F.col("shot_outcome_id") == 97, " GOAL ").when((F.col("shot_outcome_id") == 98) & (F.col("body_part_id") == 38), "Goal").otherwise("Other")
+    return ev.where("shot_outcome_id is not null and shot_outcome_id <> 101").select("shot_outcome_id", name.alias("shot_outcome_name")).distinct()
+
+
+@register("goal_inconsistency", oracle(_NAMED_OUTCOMES + """
+, fs as (select * from pitch where type_name = 'Shot')
+select cast(sum(case when lower(trim(n.shot_outcome_name)) = 'goal' then 1 else 0 end) as bigint) as goals_by_name,
+  (select count(*) from fs where shot_outcome_id in (select shot_outcome_id from named where lower(trim(shot_outcome_name)) = 'goal')) as goals_by_id
+from fs left join (select * from named union all select shot_outcome_id, 'goal' from named where shot_outcome_id = 97) n on n.shot_outcome_id = fs.shot_outcome_id"""))
+def q_goal_inconsistency(spark, sf):
+    ev = pitch_events(spark, sf)
+    named = _named_outcomes(ev)
+    twice = named.unionByName(named.where("shot_outcome_id = 97").withColumn("shot_outcome_name", F.lit("goal")))
+    return quality.goal_consistency(model.fact_shots(ev, F.struct("match_id", "event_index")), twice)
+
+
+# An outcome without a row (101), and one whose label is blank.
+@register("missing_outcome_labels", oracle("""
+, d as (select shot_outcome_id, case when shot_outcome_id = 99 then ' ' else shot_outcome_name end as n from dim_shot_outcome where shot_outcome_id <> 101)
+select count(*) as missing_labels from pitch p left join d on d.shot_outcome_id = p.shot_outcome_id
+where p.type_name = 'Shot' and p.shot_outcome_id is not null and trim(coalesce(d.n, '')) = ''"""))
+def q_missing_outcome_labels(spark, sf):
+    ev = pitch_events(spark, sf)
+    dim = pitch_dims(spark, ev)["dim_shot_outcome"].where("shot_outcome_id <> 101")
+    dim = dim.withColumn("shot_outcome_name", F.when(F.col("shot_outcome_id") == 99, " ").otherwise(F.col("shot_outcome_name")))
+    return quality.missing_outcome_labels(model.fact_shots(ev, F.struct("match_id", "event_index")), dim)
+
+
+# J8 with ids that the dimensions lack.
+@register("shot_fk_violations", oracle("""
+, fs as (select * from pitch where type_name = 'Shot')
+select 'fact_shots.match_id' as "check", count(*) filter (where match_id % 7 = 3) as violations from fs
+union all select 'fact_shots.team_id', count(*) filter (where team_id % 5 = 2) from fs
+union all select 'fact_shots.player_id', count(*) filter (where player_id % 11 = 4) from fs"""))
+def q_shot_fk_violations(spark, sf):
+    ev = pitch_events(spark, sf)
+    d = pitch_dims(spark, ev)
+    fs = model.fact_shots(ev, F.struct("match_id", "event_index"))
+    return quality.fk_violations(fs, [("match_id", d["dim_match"].where("match_id % 7 <> 3"), "match_id"), ("team_id", d["dim_team"].where("team_id % 5 <> 2"), "team_id"),
+                                      ("player_id", d["dim_player"].where("player_id % 11 <> 4"), "player_id")], "fact_shots")
+
+
+# Q12: all checks of a model whose dimensions have gaps.
+@register("validate_model", oracle(_NAMED_OUTCOMES + """
+, fs as (select * from pitch where type_name = 'Shot'),
+c as (select 'fact_shots unique (match_id, event_id)' as "check", cast(0 as bigint) as value
+  union all select * from (values ('has shot_outcome_id', 0), ('has body_part_id', 0), ('has shot_type_id', 0), ('no shot_outcome', 0), ('no shot_outcome_name', 0), ('no shot_type', 0),
+    ('no shot_type_name', 0), ('no body_part', 0), ('no body_part_name', 0)) t(a, b)
+  union all select 'outcome labels available', count(*) filter (where shot_outcome_id = 101) from fs
+  union all select 'fk fact_shots.match_id', 0
+  union all select 'fk fact_shots.team_id', count(*) filter (where team_id % 5 = 2) from fs
+  union all select 'fk fact_shots.player_id', 0
+  union all select 'shot_outcome_id populated', count(*) filter (where shot_outcome_id is null) from fs
+  union all select 'body_part_id populated', count(*) filter (where body_part_id is null) from fs
+  union all select 'goal name/id consistency', abs(sum(case when lower(trim(n.shot_outcome_name)) = 'goal' then 1 else 0 end)
+      - (select count(*) from fs where shot_outcome_id in (select shot_outcome_id from named where lower(trim(shot_outcome_name)) = 'goal')))
+    from fs left join named n on n.shot_outcome_id = fs.shot_outcome_id)
+select "check", cast(value as bigint) as value, case when value = 0 then 'PASS' else 'FAIL' end as status from c
+union all select 'overall', count(*) filter (where value <> 0), case when count(*) filter (where value <> 0) = 0 then 'PASS' else 'FAIL' end from c"""))
+def q_validate_model(spark, sf):
+    ev = pitch_events(spark, sf)
+    d = pitch_dims(spark, ev)
+    fs = model.fact_shots(ev, F.struct("match_id", "event_index"))
+    return quality.validate_model(spark, {**d, "fact_shots": fs, "dim_team": d["dim_team"].where("team_id % 5 <> 2"), "dim_shot_outcome": _named_outcomes(ev)})
+
+
 @register("missing_body_part_labels", oracle("""
 select count(*) filter (where p.body_part_id is not null and b.body_part_name is null) as missing_labels
 from pitch p left join dim_body_part b on p.body_part_id = b.body_part_id where p.type_name = 'Shot'"""))
@@ -215,15 +288,24 @@ def q_missing_labels(spark, sf):
 
 @register("goals_vs_score", oracle("""
 , g as (select match_id, team_id, count(*) filter (where shot_outcome_id = 97) as goals from pitch
-        where type_name = 'Shot' and team_id is not null group by match_id, team_id)
-select m.match_id, coalesce(h.goals, 0) as goals_home, coalesce(a.goals, 0) as goals_away,
-  cast(null as bigint) as home_score, cast(null as bigint) as away_score, false as consistent
-from dim_match m left join g h on h.match_id = m.match_id and h.team_id = m.home_team_id
-left join g a on a.match_id = m.match_id and a.team_id = m.away_team_id"""))
+        where type_name = 'Shot' and team_id is not null group by match_id, team_id),
+s as (select m.match_id, coalesce(h.goals, 0) as goals_home, coalesce(a.goals, 0) as goals_away,
+  case when m.match_id % 5 <> 4 then coalesce(h.goals, 0) + case when m.match_id % 3 = 1 then 1 else 0 end end as home_score, coalesce(a.goals, 0) as away_score
+  from dim_match m left join g h on h.match_id = m.match_id and h.team_id = m.home_team_id
+  left join g a on a.match_id = m.match_id and a.team_id = m.away_team_id)
+select *, coalesce(goals_home = home_score, false) and goals_away = away_score as consistent from s"""))
 def q_goals_vs_score(spark, sf):
+    """Scores counted from the events themselves, one too many in every third match, unknown in every fifth."""
     from touchline.plans.queries_reports import shots_view
     sv, ev, dims = shots_view(spark, sf)
-    return reports.goals_consistency(reports.match_stats(ev, sv, dims["dim_match"]))
+    goals = ev.where("type_name = 'Shot' and shot_outcome_id = 97").groupBy("match_id", "team_id").agg(F.count("*").alias("n"))
+    dm = dims["dim_match"]
+    for side in ("home", "away"):
+        counted = goals.select("match_id", F.col("team_id").alias(f"{side}_team_id"), F.col("n").alias(f"{side}_score"))
+        dm = dm.join(counted, ["match_id", f"{side}_team_id"], "left").fillna(0, [f"{side}_score"])
+    one_more = F.col("home_score") + (F.col("match_id") % 3 == 1).cast("int")
+    dm = dm.withColumn("home_score", F.when(F.col("match_id") % 5 != 4, one_more))
+    return reports.goals_consistency(reports.match_stats(ev, sv, dm))
 
 
 @register("stat_bar_shares", oracle("""

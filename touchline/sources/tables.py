@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Tables the report pages need.
@@ -63,6 +64,18 @@ def missing_required_tables(spark: SparkSession, base_dir: str,
     return [t for t in required if read_table(spark, base_dir, t) is None]
 
 
+def read_order(df: DataFrame) -> Column | None:
+    """Where a row stands in a Parquet table: its file and its number there; None if ``df`` does not
+    come straight from such files. Files are taken by path, so the order is the same in every run."""
+    if "_metadata" not in df._jdf.queryExecution().analyzed().metadataOutput().mkString(","):
+        return None
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:  # text files have no row numbers
+        return None
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
 def project_existing(df: DataFrame, columns) -> DataFrame:
     """Requested columns that exist (Catalyst prunes the scan to them)."""
     cols = set(df.columns)
