@@ -39,6 +39,49 @@ def test_top_n_is_limited_before_the_shuffle(spark):
 
 def test_possessions_never_window_a_whole_match(spark):
     plan = _plan(QUERIES["possession_labels"](spark, SF))
-    assert "hashpartitioning(match_id" in plan
+    assert "hashpartitioning(_match_id" in plan
     # every row-level window is keyed by (match, period, minute); only chunk summaries use match alone
-    assert "windowspecdefinition(match_id, period, minute," in plan
+    assert "windowspecdefinition(_match_id, _period, _minute," in plan
+
+
+@pytest.fixture()
+def without_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _saved(spark, sf_dir, scratch):
+    """The projection as a table, so that scans of it can be counted."""
+    from touchline.sources.fixtures import pitch_events
+    pitch_events(spark, sf_dir).write.parquet(f"{scratch}/events")
+    return spark.read.parquet(f"{scratch}/events")
+
+
+def test_possessions_shuffle_events_once(spark, scratch, without_broadcast):
+    from touchline.operators import tactical
+    plan = _plan(tactical.possessions(_saved(spark, SF, scratch)))
+    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(_match_id, _period, _minute" in line]
+    # one for the rows and one for their summary, which the executed plan reuses; none for the join
+    assert len(rows) == 2 and plan.count("SortMergeJoin [_match_id, _period, _minute]") == 1
+    assert "<=>" not in plan and "coalesce(match_id, 0)" not in plan
+
+
+def test_match_stats_scan_events_twice(spark, scratch, without_broadcast):
+    from touchline.operators import reports
+    ev = _saved(spark, SF, scratch)
+    shots = ev.where("type_name = 'Shot'")
+    shots.write.parquet(f"{scratch}/shots")
+    dm = ev.select("match_id", "home_team_id", "away_team_id").distinct()
+    dm.write.parquet(f"{scratch}/dm")
+    plan = _plan(reports.match_stats(ev.withColumn("shot_outcome", F.lit("Goal")), spark.read.parquet(f"{scratch}/shots"), spark.read.parquet(f"{scratch}/dm")))
+    assert plan.count("FileScan parquet") <= 4 and plan.count(f"{scratch}/events") <= 3
+    assert "Window" not in plan
+
+
+def test_first_rows_without_sort_aggregates(spark, scratch):
+    from touchline.operators import model
+    ev = _saved(spark, SF, scratch).withColumn("_ord", F.col("event_index"))
+    for plan in (_plan(model.dedupe_first(ev, ["match_id", "event_id"], "_ord")), _plan(views.dedupe_shots(ev))):
+        assert "SortAggregate" not in plan and plan.count("Exchange") == 1 and "WindowGroupLimit" in plan

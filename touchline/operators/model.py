@@ -3,16 +3,16 @@
 "First row wins" / "last row wins" in the source follow ingestion order. Every
 input therefore carries an ordering column (``ord`` argument): for raw files
 it is ``(processor_rank, file_path, position)``; for driver tables a natural
-key such as ``event_index``. All per-key picks are ``min_by``/``max_by``
-aggregates: they are partial (map-side combined), so a key holding a third of
-the rows still leaves each map task as one row per key.
+key such as ``event_index``. Picks of a few columns are ``min_by``/``max_by``
+aggregates, picks of whole rows a row number under a partial group limit: either
+way a key holding a third of the rows leaves each map task as one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,21 +96,18 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], ord: str | Column) -> DataF
     """Keep the first row (by ``ord``) per key; rows with a null or blank
     key part are never dropped.
 
-    Implemented as ``groupBy(keys).min_by(struct(row), ord)``: duplicates of a
-    hot key are collapsed map-side before the shuffle.
+    One shuffle on the keys; before it every task keeps only its own first row per key
+    (a partial group limit), so a hot key leaves each task as one row.
     """
     ordc = F.col(ord) if isinstance(ord, str) else ord
     complete = F.lit(True)
     for k in keys:
         c = F.col(k)
         complete = complete & c.isNotNull() & (F.trim(c.cast("string")) != "")
-    cols = df.columns
-    # one scan, one aggregation: a row with an incomplete key gets its own
-    # group through its (unique) ingestion order, so it is never merged
+    # a row with an incomplete key gets a group of its own through its (unique) ingestion order, so it is never merged
     solo = F.when(~complete, F.to_json(F.struct(ordc.alias("o"))))
-    return (df.groupBy(*[F.col(k) for k in keys], solo.alias("_solo"))
-              .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ordc).alias("_row"))
-              .select("_row.*"))
+    first = Window.partitionBy(*[F.col(k) for k in keys], solo).orderBy(ordc)
+    return df.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
 def duplicate_extra_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -463,6 +460,7 @@ def dim_player(players: DataFrame | None, lineups: DataFrame | None) -> DataFram
 # Lineup and 360 facts
 # ---------------------------------------------------------------------------
 
+# Columns of the lineup fact.
 FACT_LINEUP_COLUMNS = ("match_id", "team_id", "player_id", "position_id", "jersey_number", "starter", "from", "to")
 
 

@@ -53,79 +53,76 @@ def match_stats(fact_events: DataFrame, fact_shots: DataFrame, dim_match: DataFr
     es = _shot_rows(ev_shots, 1)
     rows = fs.unionByName(es) if fs is not None else es
     # aggregate first: everything below works on one row per
-    # (match, team, label, outcome id, source) instead of one row per shot;
-    # each match keeps its fact_shots rows, or its shot events when it has none
+    # (match, team, label, outcome id, source) instead of one row per shot
     keyed = rows.groupBy("match_id", "team_id", "outcome", "outcome_id", "src").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("xg_value"), F.lit(0.0))).alias("xg_sum"))
-    keyed = (keyed.withColumn("_src", F.min("src").over(Window.partitionBy("match_id")))
-                  .where((F.col("src") == F.col("_src")) & F.col("team_id").isNotNull())
-                  .drop("src", "_src"))
-
-    # outcome map from the match's shot events: first non-empty label per id
-    if "shot_outcome_id" in ev_shots.columns and any(
-            c in ev_shots.columns for c in ("shot_outcome", "shot_outcome_name")):
-        lab = coalesce_existing(ev_shots, ["shot_outcome", "shot_outcome_name"])
-        ordc = F.struct(*[F.coalesce(bigint_col(ev_shots, c), F.lit(0)) for c in ("period", "minute", "second",
-                                                                                    "event_index")
-                          if c in ev_shots.columns], F.col("event_id").cast("string") if "event_id" in ev_shots.columns
-                        else F.lit(""))
-        omap = (ev_shots.select(bigint_col(ev_shots, "match_id").alias("_mm"),
-                                bigint_col(ev_shots, "shot_outcome_id").alias("_oid"),
-                                F.trim(lab.cast("string")).alias("_lab"), ordc.alias("_o"))
-                .where(F.col("_oid").isNotNull() & (F.col("_lab") != ""))
-                .groupBy("_mm", "_oid").agg(F.min_by("_lab", "_o").alias("_mapped")))
-        keyed = keyed.join(omap, (keyed["match_id"] == omap["_mm"]) & (keyed["outcome_id"] == omap["_oid"]), "left")
-        any_label = F.max(F.col("outcome").isNotNull().cast("int")).over(Window.partitionBy("match_id")) > 0
-        keyed = (keyed.withColumn("outcome", F.when(any_label, F.col("outcome")).otherwise(F.col("_mapped")))
-                      .drop("_mm", "_oid", "_mapped"))
-    keyed = keyed.withColumn("norm", norm_text(F.col("outcome")))
-
-    def n_if(cond):
-        return F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0))).cast("bigint")
-
-    per_team = keyed.groupBy("match_id", "team_id").agg(
-        F.sum("n").cast("bigint").alias("shots"),
-        n_if(F.col("norm") == "goal").alias("goals"),
-        n_if(F.col("norm").isin(*ON_TARGET_OUTCOMES)).alias("on_target"),
-        n_if(F.col("norm").isin(*OFF_TARGET_OUTCOMES)).alias("off_target"),
-        n_if(F.col("norm").isin(*BLOCKED_OUTCOMES)).alias("blocked"),
-        F.sum("xg_sum").alias("xg"),
-    )
-    per_match = keyed.groupBy("match_id").agg(F.max(F.col("norm").isNotNull().cast("int")).alias("m_outcomes"),
-                                              F.sum("n").alias("m_rows"))
+    keyed = keyed.join(_outcome_labels(ev_shots), ["match_id", "outcome_id"], "left")
     dm = dim_match.select(bigint_col(dim_match, "match_id").alias("match_id"),
-                          bigint_col(dim_match, "home_team_id").alias("home_team_id"),
-                          bigint_col(dim_match, "away_team_id").alias("away_team_id"),
                           *[(bigint_col(dim_match, c) if c in dim_match.columns else F.lit(None).cast("bigint")).alias(c)
-                            for c in ("home_score", "away_score")])
-    h = per_team.select(*[F.col(c).alias(f"h_{c}") for c in per_team.columns])
-    a = per_team.select(*[F.col(c).alias(f"a_{c}") for c in per_team.columns])
-    j = (dm.join(per_match, "match_id", "left")
-           .join(h, (F.col("match_id") == F.col("h_match_id")) & (F.col("home_team_id") == F.col("h_team_id")), "left")
-           .join(a, (F.col("match_id") == F.col("a_match_id")) & (F.col("away_team_id") == F.col("a_team_id")), "left"))
+                            for c in ("home_team_id", "away_team_id", "home_score", "away_score")])
+
+    # one conditional aggregate a match: by source (fact_shots, shot events), side and label (own, looked up)
+    def total(cond: Column, what: str = "n") -> Column:
+        return F.sum(F.when(cond, F.col(what)))
+
+    aggs = []
+    for src in (0, 1):
+        own = (F.col("src") == src) & F.col("team_id").isNotNull()
+        aggs += [total(F.col("src") == src).alias(f"seen_{src}"), total(own).alias(f"rows_{src}"),
+                 F.count_if(own & F.col("outcome").isNotNull()).alias(f"own_{src}"),
+                 F.count_if(own & F.col("mapped").isNotNull()).alias(f"mapped_{src}")]
+        for side, team in (("home", "home_team_id"), ("away", "away_team_id")):
+            mine = own & (F.col("team_id") == F.col(team))
+            aggs += [total(mine).alias(f"shots_{side}_{src}"), total(mine, "xg_sum").alias(f"xg_{side}_{src}")]
+            for by, label in (("own", "outcome"), ("mapped", "mapped")):
+                norm = norm_text(F.col(label))
+                aggs += [total(mine & norm.isin(*labels)).alias(f"{name}_{side}_{by}_{src}") for name, labels in _FAMILIES.items()]
+    j = dm.join(keyed, "match_id", "left").groupBy(*dm.columns).agg(*aggs)
     ids_ok = F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull()
-    has_out = F.coalesce(F.col("m_outcomes"), F.lit(0)) == 1
-    has_rows = F.coalesce(F.col("m_rows"), F.lit(0)) > 0
-
-    def cnt(side, c):
-        return F.when(ids_ok, F.coalesce(F.col(f"{side}_{c}"), F.lit(0)))
-
-    def outc(side, c):
-        return F.when(ids_ok & has_out, F.coalesce(F.col(f"{side}_{c}"), F.lit(0)))
-
-    def xg(side):
-        return F.when(ids_ok & has_rows, F.round(F.coalesce(F.col(f"{side}_xg"), F.lit(0.0)), 2))
-
-    return j.select(
-        "match_id", "home_team_id", "away_team_id", "home_score", "away_score",
-        cnt("h", "shots").alias("shots_home"), cnt("a", "shots").alias("shots_away"),
-        F.when(ids_ok, outc("h", "goals")).otherwise(F.col("home_score")).alias("goals_home"),
-        F.when(ids_ok, outc("a", "goals")).otherwise(F.col("away_score")).alias("goals_away"),
-        outc("h", "on_target").alias("on_target_home"), outc("a", "on_target").alias("on_target_away"),
-        outc("h", "off_target").alias("off_target_home"), outc("a", "off_target").alias("off_target_away"),
-        outc("h", "blocked").alias("blocked_home"), outc("a", "blocked").alias("blocked_away"),
-        xg("h").alias("xg_home"), xg("a").alias("xg_away"),
-    )
+    from_facts = F.coalesce(F.col("seen_0"), F.lit(0)) > 0
+
+    def pick(name: str) -> Column:
+        return F.when(from_facts, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
+
+    has_own = pick("own") > 0
+    has_out = has_own | (pick("mapped") > 0)
+    has_rows = F.coalesce(pick("rows"), F.lit(0)) > 0
+
+    def cnt(name: str) -> Column:
+        return F.when(ids_ok, F.coalesce(pick(name), F.lit(0)).cast("bigint"))
+
+    def outc(name: str) -> Column:
+        found = F.when(has_own, pick(f"{name}_own")).otherwise(pick(f"{name}_mapped"))
+        return F.when(ids_ok & has_out, F.coalesce(found, F.lit(0)).cast("bigint"))
+
+    def xg(side: str) -> Column:
+        return F.when(ids_ok & has_rows, F.round(F.coalesce(pick(f"xg_{side}"), F.lit(0.0)), 2))
+
+    out = {"shots_home": cnt("shots_home"), "shots_away": cnt("shots_away")}
+    for name in _FAMILIES:
+        for side in ("home", "away"):
+            out[f"{name}_{side}"] = outc(f"{name}_{side}")
+    for side in ("home", "away"):
+        out[f"goals_{side}"] = F.when(ids_ok, out[f"goals_{side}"]).otherwise(F.col(f"{side}_score"))
+        out[f"xg_{side}"] = xg(side)
+    return j.select(*dm.columns, *[c.alias(n) for n, c in out.items()])
+
+
+#: Outcome metrics and their labels.
+_FAMILIES = {"goals": ("goal",), "on_target": ON_TARGET_OUTCOMES, "off_target": OFF_TARGET_OUTCOMES, "blocked": BLOCKED_OUTCOMES}
+
+
+def _outcome_labels(ev_shots: DataFrame) -> DataFrame:
+    """``match_id, outcome_id, mapped``: the first non-empty label of each outcome id among a match's shot events."""
+    if "shot_outcome_id" not in ev_shots.columns or not any(c in ev_shots.columns for c in ("shot_outcome", "shot_outcome_name")):
+        return ev_shots.sparkSession.createDataFrame([], "match_id bigint, outcome_id bigint, mapped string")
+    lab = coalesce_existing(ev_shots, ["shot_outcome", "shot_outcome_name"])
+    ordc = F.struct(*[F.coalesce(bigint_col(ev_shots, c), F.lit(0)) for c in ("period", "minute", "second", "event_index") if c in ev_shots.columns],
+                    F.col("event_id").cast("string") if "event_id" in ev_shots.columns else F.lit(""))
+    return (ev_shots.select(bigint_col(ev_shots, "match_id").alias("match_id"), bigint_col(ev_shots, "shot_outcome_id").alias("outcome_id"),
+                            F.trim(lab.cast("string")).alias("_lab"), ordc.alias("_o"))
+            .where(F.col("outcome_id").isNotNull() & (F.col("_lab") != ""))
+            .groupBy("match_id", "outcome_id").agg(F.min_by("_lab", "_o").alias("mapped")))
 
 
 def goals_consistency(stats: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.coerce import bigint_col, coalesce_existing, existing, label_or_null, norm_text
@@ -56,23 +56,16 @@ def dedupe_shots(shots: DataFrame) -> DataFrame:
     """One row per (match_id, event_id) -- or per event_id when there is no
     match column -- keeping the first by (period, minute, second), nulls last.
 
-    Null keys form one group (the source's drop_duplicates semantics).
-    Partial aggregation keeps a duplicated key from reaching one task whole.
+    Null keys form one group (the source's drop_duplicates semantics). Rows equal in the clock go
+    by event index, then by a hash of the row. Each task keeps its own first row per key before
+    the one shuffle, so a duplicated key never reaches a task whole.
     """
     if "event_id" not in shots.columns:
         return shots
     keys = ["match_id", "event_id"] if "match_id" in shots.columns else ["event_id"]
-    parts = []
-    for c in ("period", "minute", "second"):
-        if c in shots.columns:
-            v = bigint_col(shots, c)
-            parts += [v.isNull(), F.coalesce(v, F.lit(0))]
-    for c in shots.columns:  # deterministic tie-break over the whole row
-        parts.append(F.col(c).cast("string"))
-    order = F.struct(*parts)
-    cols = shots.columns
-    return (shots.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("_r"))
-                 .select(*[F.col(f"_r.{c}").alias(c) for c in cols]))
+    parts = [bigint_col(shots, c).asc_nulls_last() for c in ("period", "minute", "second", "event_index") if c in shots.columns]
+    first = Window.partitionBy(*keys).orderBy(*parts, F.xxhash64(*[F.col(f"`{c}`") for c in shots.columns]))
+    return shots.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
 def lookup_names(dim: DataFrame | None, id_col: str, name_col: str, unique: bool = False, order: Column | None = None) -> DataFrame | None:

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.operators import ingest, lineups, model, quality, views
-from touchline.plans.catalog import oracle, pitch_dims, pitch_events, register, round_doubles
+from touchline.plans import catalog
+from touchline.plans.catalog import pitch_dims, pitch_events, register, round_doubles
 from touchline.sources import raw_projection as raw
 from touchline.sources.json_files import LINEUP_RECORD, ingest_order, parse_whole_files
 
 
+def oracle(body: str) -> str:
+    return raw.each(catalog.oracle(body), "duckdb")
+
+
 def lineup_records(spark, sf):
     return parse_whole_files(raw.lineup_files(spark, sf), T._parse_datatype_string(LINEUP_RECORD), "lineups")[0]
 
@@ -57,6 +62,15 @@ def q_xi_from_lineups(spark, sf):
     return xi.select("match_id", "team_id", "player_id", "player_name", "jersey_number", "position_id", "position_name", "sort_order", F.col("entry_way").alias("way"))
 
 
+# W9 over elevens that are short or hold a name twice.
+@register("xi_document_warnings", oracle(_XI_DOC_SQL + """
+select c.match_id, c.team_id, count(*) as players, count(distinct x.player_name) as distinct_names, count(*) <> 11 as size_warning,
+  count(*) <> count(distinct x.player_name) as duplicate_names
+from chosen c join xi x on x.match_id = c.match_id and x.entry_pos = c.entry_pos group by c.match_id, c.team_id"""))
+def q_xi_document_warnings(spark, sf):
+    return lineups.xi_warnings(lineups.xi_from_lineups(ingest.lineup_entries(lineup_records(spark, sf)), match_sides(spark, sf)))
+
+
 def records(spark, files, schema, processor):
     return parse_whole_files(files, T._parse_datatype_string(schema), processor)[0]
 
@@ -226,17 +240,18 @@ def q_raw_players(spark, sf):
 
 # K4, Q4: broken files are set aside whole; what was found, done and failed.
 @register("broken_files", oracle("""
-, f as (select distinct match_id from pitch)
-select cast(count(*) as bigint) as found, cast(count(*) filter (where match_id % 4 < 3) as bigint) as processed, cast(count(*) filter (where match_id % 4 < 3 and match_id % 3 = 2) as bigint) as failed,
-  cast(count(*) filter (where match_id % 4 = 3) as bigint) as skipped_unchanged, 'matches' as processor from f"""))
+, f as (select match_id, case when match_id % 2 = 0 then 'matches' else 'lineups' end as processor from (select distinct match_id from pitch) m)
+select processor, count(*) as found, count(*) filter (where match_id % 4 < 3) as processed, count(*) filter (where match_id % 4 < 3 and match_id % 3 = 2) as failed,
+  count(*) filter (where match_id % 4 = 3) as skipped_unchanged from f group by processor"""))
 def q_broken_files(spark, sf):
     whole = raw.match_documents(spark, sf)
     match = F.regexp_extract("_file", r"(\d+)\.json", 1).cast("bigint")
+    processor = F.when(match % 2 == 0, "matches").otherwise("lineups")
     broken = whole.select("_file", F.when(match % 3 == 2, F.expr("substr(value, 1, length(value) - 5)")).otherwise(F.col("value")).alias("value"))
-    listing = whole.select(F.lit("matches").alias("processor"), F.col("_file").alias("path"), match.alias("m"))
-    todo = listing.where("m % 4 < 3")
+    listing = whole.select(processor.alias("processor"), F.col("_file").alias("path"), match.alias("m"))
     _, quarantine = parse_whole_files(broken.where(match % 4 < 3), T._parse_datatype_string(raw.MATCH_RECORD), "matches")
-    return quality.file_summary(listing, todo, quarantine).select("found", "processed", "failed", "skipped_unchanged", "processor")
+    failed = quarantine.select(F.col("path").alias("_file"), "reason").select(processor.alias("processor"), F.col("_file").alias("path"), "reason")
+    return quality.file_summary(listing, listing.where("m % 4 < 3"), failed).select("processor", "found", "processed", "failed", "skipped_unchanged")
 
 
 # Q2, Q7: columns that must, and must not, be there.

@@ -9,10 +9,17 @@ with something that never saw a document. All of it grows with the ``events`` ta
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.sources.fixtures import projection_sql, read_source
 
+def each(sql: str, engine: str) -> str:
+    """``EACH(a, b)`` in a select list: the row once for each value."""
+    return re.sub(r"EACH\(([^)]*)\)", r"explode(array(\1))" if engine == "spark" else r"unnest([\1])", sql)
+
+
 #: Lineups. Entries of a match by match_id modulo 5: 0 right ids, 1 wrong ids but right names (in
 #: capitals, with blanks), 2 a single entry with neither, 3 the home team twice (with both teams'
 #: players), 4 no ids, a name for the home team only. Players have none to three position segments;
@@ -21,19 +28,19 @@ LINEUP_ROWS = """
 , squad as (select match_id, team_id, player_id,
       row_number() over (partition by match_id, team_id order by min(event_index), player_id) - 1 as pos
     from pitch where team_id is not null and player_id is not null and player_id % 9 < 4 group by match_id, team_id, player_id),
-sides as (select m.match_id, s.side, m.home_team_id, case when s.side = 0 then m.home_team_id else m.away_team_id end as src
-    from (select distinct match_id, home_team_id, away_team_id from pitch) m cross join (select 0 as side union all select 1 as side) s),
+sides as (select match_id, side, home_team_id, case when side = 0 then home_team_id else away_team_id end as src
+    from (select *, EACH(0, 1) as side from (select distinct match_id, home_team_id, away_team_id from pitch) m) s),
 entry as (select match_id, src,
       case when match_id % 5 = 3 then side when match_id % 2 = 0 then side else 1 - side end as entry_pos,
       case when match_id % 5 = 0 then src when match_id % 5 = 3 then home_team_id when match_id % 5 = 4 then null else src + 1000 end as team_id,
       case when match_id % 5 = 1 then concat('  TEAM ', cast(src as varchar(20)), ' ')
            when match_id % 5 = 4 and side = 0 then concat('team ', cast(src as varchar(20))) when match_id % 5 = 4 then null else 'Other' end as team_name
     from sides where match_id % 5 <> 2 or side = 0),
-member as (select e.match_id, e.entry_pos, s.pos + 1000 * c.copy as pos, s.player_id,
+listed as (select *, EACH(0, 1) as copy from squad),
+member as (select e.match_id, e.entry_pos, s.pos + 1000 * s.copy as pos, s.player_id,
       case when s.player_id % 11 <> 0 then concat('Player ', cast(s.player_id as varchar(20))) end as player_name,
       cast(s.player_id % 99 as varchar(20)) as jersey_number
-    from entry e join squad s on s.match_id = e.match_id and s.team_id = e.src
-    cross join (select 0 as copy union all select 1 as copy) c where c.copy = 0 or s.player_id % 5 = 0),
+    from entry e join listed s on s.match_id = e.match_id and s.team_id = e.src where s.copy = 0 or s.player_id % 5 = 0),
 segment as (select match_id, entry_pos, pos, seg, cast((player_id + seg) % 25 + 1 as varchar(20)) as position_id,
       case (player_id + seg) % 4 when 0 then 'Goalkeeper' when 1 then 'Left Back' when 2 then 'Center Forward' else 'Right Wing' end as position_name,
       case when match_id % 7 = 6 then '50:00' when (player_id * 7 + seg * 13) % 6 = 0 then '00:00' when (player_id * 7 + seg * 13) % 6 = 1 then '45:30'
@@ -42,7 +49,7 @@ segment as (select match_id, entry_pos, pos, seg, cast((player_id + seg) % 25 +
       case when seg = 0 and player_id % 3 = 0 then '60:00' end as clock_to,
       case when match_id % 7 = 6 then 'Substitution - On (Tactical)' when (player_id + seg + match_id) % 4 = 0 then 'Starting XI'
            when (player_id + seg + match_id) % 4 = 1 then ' starting xi' else 'Tactical Shift' end as start_reason
-    from member cross join (select 0 as seg union all select 1 as seg union all select 2 as seg) k where k.seg < (player_id + 2 * match_id) % 4)
+    from (select *, EACH(0, 1, 2) as seg from member) k where seg < (player_id + 2 * match_id) % 4)
 """
 
 #: Seconds of a segment's clock, as the rows have it (oracles only).
@@ -54,7 +61,7 @@ SEGMENT_SECONDS = """case when clock_from in ('00:00', '45:30', '50:00', '60:00'
 def query(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     """``select`` over the row tables that ``ctes`` defines from ``pitch``."""
     events = read_source(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
-    return spark.sql(f"with pitch as ({projection_sql('spark')}) {ctes} {select}", events=events)
+    return spark.sql(each(f"with pitch as ({projection_sql('spark')}) {ctes} {select}", "spark"), events=events)
 
 
 def nested(parent: str, keys: str, child: str, order: str, fields: str, name: str) -> str:
@@ -120,12 +127,12 @@ AREA_ROWS = """
 , area as (select event_id, match_id, event_index, case when event_index % 40 = 0 then 'event_uuid' else 'id' end as named,
       case event_index % 50 when 0 then null when 10 then 0 else 4 + event_index % 7 end as numbers
     from pitch where event_index % 10 = 0 and match_id % 3 <> 1),
-frame as (select a.match_id, a.event_id, k.n, case when (a.event_index + k.n) % 4 = 0 then a.event_index + k.n end as player_id,
-      k.n = 0 as actor, k.n < 2 as teammate, case when k.n = 2 then true end as keeper,
-      case when (a.event_index + k.n) % 5 <> 0 then cast((a.event_index * 3 + k.n * 17) % 125 as double) end as x,
-      cast((a.event_index * 7 + k.n * 11) % 84 as double) as y
-    from area a cross join (select 0 as n union all select 1 as n union all select 2 as n) k where k.n <= (a.event_index div_10) % 4 - 1)
-""".replace("(a.event_index div_10)", "cast(floor(a.event_index / 10.0) as int)")
+frame as (select match_id, event_id, n, case when (event_index + n) % 4 = 0 then event_index + n end as player_id,
+      n = 0 as actor, n < 2 as teammate, case when n = 2 then true end as keeper,
+      case when (event_index + n) % 5 <> 0 then cast((event_index * 3 + n * 17) % 125 as double) end as x,
+      cast((event_index * 7 + n * 11) % 84 as double) as y
+    from (select *, EACH(0, 1, 2) as n from area) k where n <= cast(floor(event_index / 10.0) as int) % 4 - 1)
+"""
 
 #: Declared records of the documents above, the shapes that inference finds in real files.
 EVENT_RECORD = ("id string, `index` bigint, period bigint, minute bigint, second bigint, type struct<id: bigint, name: string>, team struct<id: bigint, name: string>, "
