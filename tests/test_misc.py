@@ -21,7 +21,8 @@ def test_lineup_mirror_and_concat_and_notes(spark):
     assert sorted(u.columns) == ["a", "b", "id"] and u.count() == 2
     assert views.concat_frames([None]) is None
     grains, rels = model.model_notes(spark)
-    assert grains.count() == 12 and rels.where("dimension = 'dim_match'").count() == 2
+    assert grains.count() == 12 and rels.where("dimension = 'dim_match'").count() == 4
+    assert {r.fact for r in rels.collect()} >= {"fact_lineups_players", "fact_three_sixty", "fact_three_sixty_freeze_frames"}
 
 
 def test_scale_conf():
@@ -45,5 +46,4 @@ def test_cli_etl_export_validate(spark, scratch, capsys):
     spark.createDataFrame(dim * 2, "shot_outcome_id long, shot_outcome_name string").write.mode("overwrite").parquet(f"{model_dir}/dim_shot_outcome")
     assert cli.main(["validate", "--model-dir", model_dir]) == 1
     assert "[FAIL] goal name/id consistency" in capsys.readouterr().out
-    from touchline.plans import star_schema
-    assert star_schema.failed_checks(spark, star_schema.load_model(spark, model_dir)) == ["duplicate keys dim_shot_outcome"]
+    assert cli.main(["validate", "--model-dir", model_dir, "--match", "1001", "--team", "20", "--player", "200"]) == 0  # has no goal

@@ -63,8 +63,8 @@ def test_possessions_shuffle_events_once(spark, scratch, without_broadcast):
     from touchline.operators import tactical
     plan = _plan(tactical.possessions(_saved(spark, SF, scratch)))
     rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(_match_id, _period, _minute" in line]
-    # one for the rows and one for their summary, which the executed plan reuses; none for the join
-    assert len(rows) == 2 and plan.count("SortMergeJoin [_match_id, _period, _minute]") == 1
+    # the rows, the same again below their summary (reused when the plan runs), and the summary; the join adds none of rows
+    assert len(rows) == 3 and plan.count("SortMergeJoin [_match_id, _period, _minute]") == 1
     assert "<=>" not in plan and "coalesce(match_id, 0)" not in plan
 
 

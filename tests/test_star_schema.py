@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from raw_fixtures import write_tree
@@ -44,3 +45,47 @@ def test_raw_to_star_schema_and_validation(spark, scratch):
     assert sorted(r.zone_id for r in ff.collect()) == [17, 17]
     f360 = spark.read.parquet(f"{model_dir}/fact_three_sixty").first()
     assert (f360.visible_area_point_count, f360.has_visible_area) == (5, 1)
+
+
+def _listener_jobs(spark, action):
+    """Names of the Spark jobs that ``action`` starts, by job group."""
+    spark.sparkContext.setJobGroup("watched", "watched")
+    try:
+        result = action()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup("watched"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_broken_model_leaves_the_old_one(spark, scratch):
+    facts = "event_id string, match_id long, team_id long, shot_outcome_id long, body_part_id long, shot_type_id long"
+    good = {"dim_team": spark.createDataFrame([(1, "a"), (2, "b")], "team_id long, team_name string"),
+            "fact_shots": spark.createDataFrame([("e1", 1, 1, 97, None, 1), ("e2", 1, 2, None, None, 2)], facts)}
+    out = os.path.join(scratch, "model")
+    assert star_schema.export_star_schema(spark, "", out, tables=good) == {"dim_team": 2, "fact_shots": 2}
+    twice = {**good, "dim_team": spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (3, "c"), (None, "n")], "team_id long, team_name string")}
+    labelled = {**good, "fact_shots": good["fact_shots"].withColumn("shot_type", F.lit("Open Play")).drop("body_part_id")}
+    for tables, rules in ((twice, ["duplicate keys dim_team"]), (labelled, ["has body_part_id", "no shot_type"])):
+        with pytest.raises(star_schema.ModelRejected) as rejected:
+            star_schema.export_star_schema(spark, "", out, tables=tables)
+        assert rejected.value.failed == rules
+        assert sorted(r.team_name for r in spark.read.parquet(f"{out}/dim_team").collect()) == ["a", "b"]
+        assert spark.read.parquet(f"{out}/fact_shots").columns == good["fact_shots"].columns
+    assert sorted(os.listdir(out)) == ["_notes", "dim_team", "fact_shots"]
+    # a later, larger model takes the place of the old one; what a dead run left is cleared away
+    os.makedirs(f"{out}/_next-dead/dim_team")
+    more = {**good, "dim_team": spark.createDataFrame([(i, str(i)) for i in range(9)], "team_id long, team_name string")}
+    assert star_schema.export_star_schema(spark, "", out, "csv", tables=more)["dim_team"] == 9
+    assert spark.read.option("header", "true").csv(f"{out}/dim_team").count() == 9
+    assert sorted(os.listdir(out)) == ["_notes", "dim_team", "fact_shots"]
+    assert spark.read.json(f"{out}/_notes/grains").count() == 12
+
+
+def test_counts_come_from_the_write(spark, scratch):
+    """Rows, null ids and repeated keys are counted once, although the sort by match samples its input."""
+    facts = spark.range(1000).selectExpr("concat('e', id) as event_id", "id % 7 as match_id", "if(id % 10 = 0, null, 97L) as shot_outcome_id",
+                                         "1L as body_part_id", "cast(null as string) as shot_type_id")
+    seen, jobs = _listener_jobs(spark, lambda: star_schema.write_observed(facts, "fact_shots", f"{scratch}/f", "parquet"))
+    assert (seen.rows, seen.null_ids, seen.repeated_keys) == (1000, {"shot_outcome_id": 100, "body_part_id": 0, "shot_type_id": 1000}, 0)
+    assert jobs <= 3  # the sample of the ranges, the shuffle and the write
+    assert spark.read.parquet(f"{scratch}/f").columns == facts.columns

@@ -51,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--exclude", default=None)
     e.add_argument("--max-files", type=int, default=None)
     e.add_argument("--strict-json", action="store_true")
+    e.add_argument("--sha1", action="store_true", help="compare files by their content instead of size and time")
     x = sub.add_parser("export")
     x.add_argument("--input-dir", required=True)
     x.add_argument("--output-dir", required=True)
@@ -58,6 +59,8 @@ def main(argv: list[str] | None = None) -> int:
     v = sub.add_parser("validate")
     v.add_argument("--model-dir", help="an exported model")
     v.add_argument("--processed-dir", help="processed tables; the model is built from them")
+    for scope in ("match", "team", "player"):
+        v.add_argument(f"--{scope}", type=int, default=None, help=f"only this {scope}'s goals for the goal check")
     s = sub.add_parser("sample")
     s.add_argument("--model-dir", help="an exported model")
     s.add_argument("--processed-dir", help="processed tables; the model is built from them")
@@ -80,18 +83,19 @@ def main(argv: list[str] | None = None) -> int:
         from touchline.plans.etl import run_etl
         res = run_etl(spark, args.input_dir, args.output_dir, incremental=not args.no_append, force=args.force,
                       include=_procs(args.include), exclude=_procs(args.exclude), max_files=args.max_files,
-                      strict_json=args.strict_json)
+                      strict_json=args.strict_json, by_content=args.sha1)
         print(json.dumps({"run_id": res.run_id, "processed_files": res.processed_files}))
     elif args.cmd == "export":
-        from touchline.plans.star_schema import export_star_schema, failed_checks, load_model
-        print(json.dumps(export_star_schema(spark, args.input_dir, args.output_dir, args.format)))
-        broken = failed_checks(spark, load_model(spark, args.output_dir))
-        for check in broken:
-            print(f"[FAIL] {check}")
-        return 1 if broken else 0
+        from touchline.plans.star_schema import ModelRejected, export_star_schema
+        try:
+            print(json.dumps(export_star_schema(spark, args.input_dir, args.output_dir, args.format)))
+        except ModelRejected as rejected:
+            for check in rejected.failed:
+                print(f"[FAIL] {check}")
+            return 1
     elif args.cmd == "validate":
         from touchline.operators.quality import validate_model
-        rows = validate_model(spark, tables()).collect()  # one row per check
+        rows = validate_model(spark, tables(), args.match, args.team, args.player).collect()  # one row per check
         for row in rows:
             print(f"[{row.status}] {row.check}: {row.value}")
         return 0 if all(row.status == "PASS" for row in rows) else 1

@@ -520,7 +520,10 @@ MODEL_RELATIONSHIPS = (
     ("fact_shots", "team_id", "dim_team"), ("fact_shots", "player_id", "dim_player"),
     ("fact_shots", "shot_outcome_id", "dim_shot_outcome"), ("fact_shots", "body_part_id", "dim_body_part"),
     ("fact_shots", "shot_type_id", "dim_shot_type"), ("dim_match", "competition_id", "dim_competition"),
-    ("dim_match", "season_id", "dim_season"),
+    ("dim_match", "season_id", "dim_season"), ("fact_lineups_players", "match_id", "dim_match"),
+    ("fact_lineups_players", "team_id", "dim_team"), ("fact_lineups_players", "player_id", "dim_player"),
+    ("fact_three_sixty", "match_id", "dim_match"), ("fact_three_sixty_freeze_frames", "player_id", "dim_player"),
+    ("fact_shots", "zone_id", "dim_zone"), ("fact_shots", "time_key", "dim_time"),
 )
 
 

@@ -134,10 +134,18 @@ def duplicate_dim_keys(dims: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def fact_shots_contract(spark: SparkSession, fact_shots: DataFrame) -> DataFrame:
     """Q7: canonical id columns present, label columns absent (schema only)."""
-    cols = {c.lower() for c in fact_shots.columns}
-    rows = [(f"has {c}", c in cols) for c in FACT_SHOT_ID_COLUMNS]
-    rows += [(f"no {c}", c not in cols) for c in FACT_SHOT_FORBIDDEN_COLUMNS]
-    return spark.createDataFrame(rows, "check string, passed boolean")
+    broken = set(broken_contract(fact_shots))
+    return spark.createDataFrame([(rule, rule not in broken) for rule in _CONTRACT], "check string, passed boolean")
+
+
+#: The rules of the contract, by name.
+_CONTRACT = {**{f"has {c}": (c, True) for c in FACT_SHOT_ID_COLUMNS}, **{f"no {c}": (c, False) for c in FACT_SHOT_FORBIDDEN_COLUMNS}}
+
+
+def broken_contract(fact_shots: DataFrame) -> list[str]:
+    """Q7: the rules that the columns of fact_shots break."""
+    there = {c.lower() for c in fact_shots.columns}
+    return [rule for rule, (column, wanted) in _CONTRACT.items() if (column in there) != wanted]
 
 
 def goal_consistency(fact_shots: DataFrame, dim_shot_outcome: DataFrame, match_id: int | None = None,
@@ -165,8 +173,10 @@ def goal_consistency(fact_shots: DataFrame, dim_shot_outcome: DataFrame, match_i
                  F.count_if(F.col("_g").isNotNull()).alias("goals_by_id"))
 
 
-def validate_model(spark: SparkSession, model: Mapping[str, DataFrame]) -> DataFrame:
-    """Q12: all checks as rows ``(check, status, value)``; overall status last."""
+def validate_model(spark: SparkSession, model: Mapping[str, DataFrame], match_id: int | None = None, team_id: int | None = None,
+                   player_id: int | None = None) -> DataFrame:
+    """Q12: all checks as rows ``(check, status, value)``; overall status last. A match,
+    team or player narrows the goal check, as in ``goal_consistency``."""
     fs = model["fact_shots"]
     rows = []
     dup = duplicate_extra_rows(fs, ["match_id", "event_id"]).select(
@@ -188,7 +198,7 @@ def validate_model(spark: SparkSession, model: Mapping[str, DataFrame]) -> DataF
             rows.append(fs.agg(F.count_if(bigint_col(fs, c).isNull()).alias("value"))
                           .select(F.lit(f"{c} populated").alias("check"), "value"))
     if "shot_outcome_id" in fs.columns:
-        g = goal_consistency(fs, model["dim_shot_outcome"])
+        g = goal_consistency(fs, model["dim_shot_outcome"], match_id, team_id, player_id)
         rows.append(g.select(F.lit("goal name/id consistency").alias("check"),
                              F.abs(F.col("goals_by_name") - F.col("goals_by_id")).alias("value")))
     out = rows[0]
