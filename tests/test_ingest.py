@@ -214,3 +214,34 @@ def test_strict_json_include_and_max_files(spark, scratch):
     assert r2.processed_files == {"competitions": 0, "matches": 0}  # unchanged files are skipped
     r3 = etl.run_etl(spark, raw, out, include={"matches"}, force=True)
     assert r3.processed_files == {"matches": 1}
+
+
+def test_whole_files_are_strict_and_elements_are_not(spark):
+    from touchline.sources.json_files import elements
+    good = {"list": ('[{"a":1,"b":[1,2.5]}, 5, null, {"a":"x"}, [1], "s", "{\\"x\\":1}"]', [0, 3]), "none": ("[]", []), "one": (' {"a":1}\r\n', [0]),
+            "bom": ("\ufeff[{}]", [0]), "nan": ('[{"a":NaN}]', [0]), "nulls": ("[null]", [])}
+    bad = ['[{"a":1}, {"a":', '[{"a":1}] trailing', '[{"a":1}][2]', '[1]]', '{"a":1}{"b":2}', '{"a":{"b":1}', '"x"', "5", "null", "", "[{\"a\" 1}]", "{"]
+    raw = spark.createDataFrame([(k, t) for k, (t, _) in good.items()] + [(f"bad{i}", t) for i, t in enumerate(bad)], "_file string, value string")
+    found, quarantine = elements(raw)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r._file, []).append(r._pos)
+    assert got == {k: p for k, (_, p) in good.items() if p}
+    assert sorted(r.path for r in quarantine.collect()) == sorted(f"bad{i}" for i in range(len(bad)))
+
+
+def test_files_above_the_variant_limit(spark, scratch):
+    """A list of 140 MB, more than one variant may hold, gives all its objects; a broken one none."""
+    from touchline.sources.json_files import read_records
+    item = '{"id":%d,"v":"' + "x" * 14_000 + '"}'
+    text = "[" + ",".join(item % i for i in range(10_000)) + "]"
+    for name, body in (("1.json", text), ("2.json", text[:-1])):
+        with open(f"{scratch}/{name}", "w") as f:
+            f.write(body)
+    try:
+        records, quarantine = read_records(spark, [f"{scratch}/1.json", f"{scratch}/2.json"])
+        assert records.agg(F.count("*"), F.sum("id"), F.max("_pos"), F.min(F.length("v"))).first()[:] == (10_000, 49_995_000, 9_999, 14_000)
+        assert [r.path[-6:] for r in quarantine.collect()] == ["2.json"]
+    finally:
+        for name in ("1.json", "2.json"):
+            os.remove(f"{scratch}/{name}")

@@ -2,8 +2,9 @@
 quarantine of unparseable files (K4).
 
 Each file is read whole (``wholetext``), so one file is one row and one task
-unit, the same parallelism as a multi-line JSON read. A file is parsed
-strictly as a whole and cut into its elements; every object of a list is a
+unit, the same parallelism as a multi-line JSON read. A file of any size is parsed
+strictly as a whole and cut into its elements, each a value of its own (Spark's limit
+of 128 MiB a variant is one of an element); every object of a list is a
 record, other elements are dropped, and a file with one object counts as a
 list of one. ``posexplode`` keeps each record's position in its file:
 "first/last row wins" rules then have a total, shuffle-proof order
@@ -111,19 +112,22 @@ def elements(raw: DataFrame, processor: str = "events") -> tuple[DataFrame, Data
     """``(_file, value)`` rows holding whole files -> ``(_file, _pos, _json)``, one row
     per object, and the quarantine ``(processor, path, reason)``.
 
-    Strict: a file that is not one JSON value, or whose value is neither a list
-    nor an object, is quarantined whole. List items that are no objects are
+    Strict: a file that is not one JSON value, that goes on after it, or whose value is
+    neither a list nor an object, is quarantined whole. List items that are no objects are
     dropped; positions count all items.
     """
-    text = F.trim(F.regexp_replace("value", "^" + _BOM, ""))
-    parsed = raw.select("_file", text.alias("_text")).withColumn("_value", F.try_parse_json("_text"))
+    text = F.btrim("value", F.lit(" \t\r\n" + _BOM))
+    parsed = raw.select("_file", text.alias("_text"))
     is_list, is_object = F.col("_text").startswith("["), F.col("_text").startswith("{")
-    ok = F.col("_value").isNotNull() & (is_list | is_object)
-    items = F.when(is_list, F.expr("cast(_value as array<variant>)")).otherwise(F.array("_value"))
-    quarantine = parsed.where(~F.coalesce(ok, F.lit(False))).select(
+    parsed = parsed.withColumn("_items", F.when(is_list, F.from_json("_text", "array<variant>"))
+                               .when(is_object, F.expr("array(from_json(_text, 'variant'))")))
+    # a value that ends before the text does is one still when the text's last character is gone
+    less = F.expr("substr(_text, 1, length(_text) - 1)")
+    ends = F.when(is_list, F.json_array_length(less).isNull()).otherwise(F.json_object_keys(less).isNull())
+    ok = F.when(is_list, F.col("_items").isNotNull()).when(is_object, F.get("_items", F.lit(0)).isNotNull()).otherwise(False) & ends
+    quarantine = parsed.where(~ok).select(
         F.lit(processor).alias("processor"), F.col("_file").alias("path"), F.lit("unparseable JSON").alias("reason"))
-    found = (parsed.where(ok).select("_file", items.alias("_items"))
-             .select("_file", F.posexplode("_items").alias("_pos", "_item"))
+    found = (parsed.where(ok).select("_file", F.posexplode("_items").alias("_pos", "_item"))
              .select("_file", "_pos", F.to_json("_item").alias("_json")).where(F.col("_json").startswith("{")))
     return found, quarantine
 
