@@ -200,6 +200,22 @@ def test_fingerprint_by_content(spark, scratch):
     assert etl.run_etl(spark, raw, out, by_content=True).processed_files["events"] == 1
 
 
+def test_changed_file_with_an_old_time_is_seen_by_content(spark, scratch, monkeypatch):
+    """Also in several reads, none of which holds all names or rewrites the rows of another."""
+    monkeypatch.setattr(etl, "FILES_A_READ", 2)
+    raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
+    for i in range(1, 6):
+        put(raw, f"events/{i}.json", [EVENT | {"id": f"e{i}"}])
+        os.utime(f"{raw}/events/{i}.json", (1_000_000, 1_000_000))
+    assert etl.file_groups(5) == 3
+    etl.run_etl(spark, raw, out, by_content=True, include={"events"})
+    put(raw, "events/3.json", [EVENT | {"id": "xx"}])  # same size and time, other content
+    os.utime(f"{raw}/events/3.json", (1_000_000, 1_000_000))
+    assert etl.run_etl(spark, raw, out, include={"events"}).processed_files["events"] == 0
+    assert etl.run_etl(spark, raw, out, by_content=True, include={"events"}).processed_files["events"] == 1
+    assert sorted(r.event_id for r in spark.read.parquet(f"{out}/events").collect()) == ["e1", "e2", "e4", "e5", "xx"]
+
+
 def test_strict_json_include_and_max_files(spark, scratch):
     raw, out = os.path.join(scratch, "raw"), os.path.join(scratch, "out")
     write_tree(raw)

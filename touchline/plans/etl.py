@@ -38,6 +38,8 @@ PROCESSOR_TABLES = {
 }
 #: Folders of a table: bounded however many files there are.
 BUCKETS = 256
+#: Files that one read names (and the driver holds) at a time, as far as whole buckets allow.
+FILES_A_READ = 10_000
 
 
 @dataclass
@@ -101,16 +103,6 @@ def write_table(df: DataFrame, path: str, files: DataFrame, overwrite_all: bool)
     spark.catalog.refreshByPath(path)
 
 
-def _with_sha1(spark: SparkSession, listing: DataFrame, by_content: bool) -> DataFrame:
-    if not by_content:
-        return listing.withColumn("sha1", F.lit(None).cast("string"))
-    paths = [r["path"] for r in listing.select("path").collect()]  # file names only
-    if not paths:
-        return listing.withColumn("sha1", F.lit(None).cast("string"))
-    sums = spark.read.format("binaryFile").load(paths).select("path", F.sha1("content").alias("sha1"))
-    return listing.join(sums, "path", "left").select(*listing.columns, "sha1")
-
-
 def run_etl(spark: SparkSession, input_dir: str, output_dir: str, *, incremental: bool = True,
             force: bool = False, include: set[str] | None = None, exclude: set[str] | None = None,
             max_files: int | None = None, strict_json: bool = False,
@@ -130,8 +122,8 @@ def run_etl(spark: SparkSession, input_dir: str, output_dir: str, *, incremental
     for proc in json_files.PROCESSORS:
         if (include and proc not in include) or (exclude and proc in exclude):
             continue
-        listing = json_files.list_files(spark, input_dir, proc, max_files)
-        listing = staged(_with_sha1(spark, listing, by_content), f"listing-{proc}")
+        listing = json_files.list_files(spark, input_dir, proc, max_files, by_content)
+        listing = staged(listing if by_content else listing.withColumn("sha1", F.lit(None).cast("string")), f"listing-{proc}")
         todo = staged(changed_files(listing, manifest, force, by_content), f"todo-{proc}")
         d = _Done(proc, listing, todo, _quarantine(spark, [(proc, p, "empty file") for p in json_files.empty_files(spark, input_dir, proc)]))
         done.append(d)
@@ -183,34 +175,55 @@ def _run_processor(spark: SparkSession, output_dir: str, result: EtlResult, d: _
                    schema, incremental: bool) -> None:
     """The changed files of one processor. Their elements are staged once and
     read by each table's write, so nothing is held in memory."""
-    paths = [r["path"] for r in d.todo.select("path").orderBy("path").collect()]  # file names, as Spark's reader takes them
-    result.processed_files[d.proc] = len(paths)
+    n = d.todo.count()
+    result.processed_files[d.proc] = n
     if strict_json and (first := d.quarantine.first()):
         raise ValueError(f"Failed to parse JSON: {first['path']}")
-    if not paths:
+    if not n:
         if not incremental:
             for name in PROCESSOR_TABLES[d.proc]:
                 _truncate(spark, _path(output_dir, name))
         return
+    groups = file_groups(n)
+    for g in range(groups):
+        todo = d.todo.where(F.floor(file_bucket("path") * groups / BUCKETS) == g) if groups > 1 else d.todo
+        _read_group(spark, output_dir, result, d, todo, strict_json, schema, overwrite_all=not incremental and g == 0)
+
+
+def file_groups(n: int) -> int:
+    """Reads that ``n`` files take. Each has buckets of its own, so that no read rewrites the rows of another."""
+    return min(BUCKETS, -(-n // FILES_A_READ))
+
+
+def _read_group(spark: SparkSession, output_dir: str, result: EtlResult, d: _Done, todo: DataFrame, strict_json: bool, schema,
+                overwrite_all: bool) -> None:
+    """The files ``todo`` of a processor: read, quarantined where broken, their rows replaced in its tables."""
+    paths = [r["path"] for r in todo.select("path").orderBy("path").collect()]  # FILES_A_READ or so names, as Spark's reader takes them
+    if not paths:
+        if overwrite_all:
+            for name in PROCESSOR_TABLES[d.proc]:
+                _truncate(spark, _path(output_dir, name))
+        return
     records, quarantine = json_files.read_records(spark, paths, schema, d.proc)
     quarantine = staged(quarantine, f"quarantine-{d.proc}")
     if strict_json and (first := quarantine.first()):
         raise ValueError(f"Failed to parse JSON: {first['path']}")
     d.quarantine = d.quarantine.unionByName(quarantine)
-    good = staged(d.todo.join(quarantine.select("path"), "path", "left_anti"), f"good-{d.proc}")
+    good = staged(todo.join(quarantine.select("path"), "path", "left_anti"), f"good-{d.proc}")
     if records.isEmpty():
         for name in PROCESSOR_TABLES[d.proc]:
             path = _path(output_dir, name)
-            if not incremental:
+            if overwrite_all:
                 _truncate(spark, path)
             elif (old := read_parquet(spark, path)) is not None:  # the changed files hold no records any more
                 write_table(old.where(F.lit(False)).drop("_bucket"), path, good, False)
         return
     for name, df in _tables_for(d.proc, records).items():
         path = _path(output_dir, name)
-        write_table(ingest.stored(df, name), path, good, overwrite_all=not incremental)
+        write_table(ingest.stored(df, name), path, good, overwrite_all=overwrite_all)
         result.tables[name] = path
-        d.tables.append(name)
+        if name not in d.tables:
+            d.tables.append(name)
 
 
 def _truncate(spark: SparkSession, path: str) -> None:

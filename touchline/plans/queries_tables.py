@@ -460,3 +460,33 @@ def q_dim_player_precedence(spark, sf):
             F.concat(F.lit("Lineup "), F.col("player_id").cast("string"))).alias("player_name"),
         "team_id", F.col("event_id").substr(2, 20).cast("bigint").alias("_ord"))
     return model.dim_player(players, lineups_src)
+
+
+# M1: a name that is there exactly beats one that holds it; the newest matches with what they name.
+@register("curated_sample", oracle("""
+, chosen as (select 'exact' as sample, match_id from (select match_id from dim_match where competition_id = 2 and season_id = 101 order by match_id % 7 desc, match_id desc limit 3) a
+  union all select 'within', match_id from (select match_id from dim_match where competition_id = 1 and season_id = 100 order by match_id % 7 desc, match_id desc limit 3) b),
+rows_of as (select c.sample, p.* from chosen c join pitch p on p.match_id = c.match_id),
+teams as (select sample, home_team_id as id from rows_of union select sample, away_team_id from rows_of union select sample, team_id from rows_of where team_id is not null)
+select sample, 'dim_match' as "table", match_id as id from chosen
+union all select sample, 'dim_team', id from teams
+union all select distinct sample, 'dim_player', player_id from rows_of where player_id is not null
+union all select sample, 'fact_events', cast(substr(event_id, 2) as bigint) from rows_of
+union all select sample, 'fact_shots', cast(substr(event_id, 2) as bigint) from rows_of where type_name = 'Shot'"""))
+def q_curated_sample(spark, sf):
+    ev = pitch_events(spark, sf)
+    d = pitch_dims(spark, ev)
+    names = d["dim_match"].select("competition_id", "season_id").distinct()
+    comp = F.when(F.col("competition_id") == 0, "Old Cup").when(F.col("competition_id") == 1, "Big Cup One").when(F.col("competition_id") == 2, " cup ")
+    full = {**d, "dim_match": d["dim_match"].withColumn("match_date", F.concat(F.lit("2024-01-0"), (F.col("match_id") % 7).cast("string"))),
+            "fact_events": ev, "fact_shots": ev.where("type_name = 'Shot'"),
+            "dim_competition": names.select("competition_id", comp.alias("competition_name")).distinct(),
+            "dim_season": names.select("season_id", F.concat(F.lit("S"), F.col("season_id").cast("string")).alias("season_name")).distinct()}
+    out = None
+    for label, competition, season in (("exact", "CUP", "s101 "), ("within", " cup one", "S100")):
+        tables = sample.sample_tables(full, sample.curated_matches(full, competition, season, 3))
+        for name, df in tables.items():
+            key = F.expr("cast(substr(event_id, 2) as bigint)") if name.startswith("fact_") else F.col(df.columns[0])
+            rows = df.select(F.lit(label).alias("sample"), F.lit(name).alias("table"), key.cast("bigint").alias("id"))
+            out = rows if out is None else out.unionByName(rows)
+    return out

@@ -35,8 +35,8 @@ def _join(root: str, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *[p.strip("/") for p in parts]])
 
 
-def list_files(spark: SparkSession, root: str, processor: str, max_files: int | None = None) -> DataFrame:
-    """(processor, path, size_bytes, mtime) for the processor's JSON files.
+def list_files(spark: SparkSession, root: str, processor: str, max_files: int | None = None, by_content: bool = False) -> DataFrame:
+    """(processor, path, size_bytes, mtime) for the processor's JSON files, and with ``by_content`` their ``sha1``.
 
     events: ``events/*.json`` if that folder exists, else ``*.json`` at the
     root (not recursive); competitions: ``competitions.json`` plus everything
@@ -53,8 +53,8 @@ def list_files(spark: SparkSession, root: str, processor: str, max_files: int |
             if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
                 return None
             raise
-        return df.select("path", F.col("length").alias("size_bytes"),
-                         F.unix_timestamp("modificationTime").alias("mtime"))
+        return df.select("path", F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("mtime"),
+                         *[F.sha1("content").alias("sha1")] * by_content)
 
     if processor == "events":
         frames = [listing(_join(root, "events"), False)]
@@ -66,7 +66,7 @@ def list_files(spark: SparkSession, root: str, processor: str, max_files: int |
         frames = [listing(_join(root, processor), True)]
     frames = [f for f in frames if f is not None]
     if not frames:
-        return spark.createDataFrame([], "processor string, path string, size_bytes bigint, mtime bigint")
+        return spark.createDataFrame([], "processor string, path string, size_bytes bigint, mtime bigint" + ", sha1 string" * by_content)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
