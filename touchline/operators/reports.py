@@ -205,13 +205,18 @@ def shot_filters(shots_view: DataFrame, only_goals: bool = False, big_chances: b
 
 
 def shot_map_frame(shots_view: DataFrame, xg_null_as_zero: bool = True) -> DataFrame:
-    """P21 + P19: plottable shots with goal flag, outcome text and marker sizes."""
+    """P21 + P19: plottable shots with goal flag, outcome text, marker sizes and the texts shown
+    for a marker (``-`` where unknown)."""
     xg = F.coalesce(F.col("xg"), F.lit(0.0)) if xg_null_as_zero else F.col("xg")
     return (shots_view.where(F.col("x").isNotNull() & F.col("y").isNotNull())
                       .withColumn("xg_plot", xg)
                       .withColumn("outcome_text", F.coalesce(F.col("shot_outcome"), F.lit("Unknown")))
                       .withColumn("marker_size", 7 + 26 * F.col("xg_plot"))
-                      .withColumn("marker_area", 80 + 1400 * F.greatest(F.col("xg_plot"), F.lit(0.0))))
+                      .withColumn("marker_area", 80 + 1400 * F.greatest(F.col("xg_plot"), F.lit(0.0)))
+                      .withColumns({name: F.coalesce(coalesce_existing(shots_view, [c]).cast("string"), F.lit("-"))
+                                    for name, c in (("minute_text", "minute"), ("player_text", "player_name"), ("shot_type_text", "shot_type"),
+                                                    ("body_part_text", "body_part"))})
+                      .withColumn("xg_text", F.round(F.coalesce(F.col("xg"), F.lit(0.0)), 2).cast("string")))
 
 
 def team_heatmap(events: DataFrame, bins: tuple[int, int] = (12, 8), by: Sequence[str] = ("match_id", "team_id"),

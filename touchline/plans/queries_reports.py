@@ -160,14 +160,15 @@ select event_id, match_id, team_id,
   round(case when coalesce(team_id = away_team_id, false) then 80 - y else y end, 6) as y,
   round(coalesce(xg, 0.0), 6) as xg_plot, coalesce(shot_outcome, 'Unknown') as outcome_text,
   round(7 + 26 * coalesce(xg, 0.0), 6) as marker_size,
-  round(80 + 1400 * greatest(coalesce(xg, 0.0), 0.0), 6) as marker_area
+  round(80 + 1400 * greatest(coalesce(xg, 0.0), 0.0), 6) as marker_area, coalesce(cast(minute as varchar), '-') as minute_text, coalesce(player_name, '-') as player_text,
+  coalesce(shot_type, '-') as shot_type_text, coalesce(body_part, '-') as body_part_text, cast(round(coalesce(xg, 0.0), 2) as varchar) as xg_text
 from o where x is not null and y is not null"""))
 def q_shot_map(spark, sf):
     sv, _, dims = shots_view(spark, sf)
     oriented = normalize.orient_shots_to_home(sv, dims["dim_match"])
     fr = reports.shot_map_frame(oriented)
     return round_doubles(fr.select("event_id", "match_id", "team_id", "x", "y", "xg_plot", "outcome_text",
-                                   "marker_size", "marker_area"))
+                                   "marker_size", "marker_area", "minute_text", "player_text", "shot_type_text", "body_part_text", "xg_text"))
 
 
 @register("team_heatmap", oracle("""
