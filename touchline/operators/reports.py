@@ -216,7 +216,7 @@ def shot_map_frame(shots_view: DataFrame, xg_null_as_zero: bool = True) -> DataF
                       .withColumns({name: F.coalesce(coalesce_existing(shots_view, [c]).cast("string"), F.lit("-"))
                                     for name, c in (("minute_text", "minute"), ("player_text", "player_name"), ("shot_type_text", "shot_type"),
                                                     ("body_part_text", "body_part"))})
-                      .withColumn("xg_text", F.round(F.coalesce(F.col("xg"), F.lit(0.0)), 2).cast("string")))
+                      .withColumn("xg_text", (F.rint(F.coalesce(F.col("xg"), F.lit(0.0)) * 100) / 100).cast("string")))
 
 
 def team_heatmap(events: DataFrame, bins: tuple[int, int] = (12, 8), by: Sequence[str] = ("match_id", "team_id"),

@@ -161,7 +161,7 @@ select event_id, match_id, team_id,
   round(coalesce(xg, 0.0), 6) as xg_plot, coalesce(shot_outcome, 'Unknown') as outcome_text,
   round(7 + 26 * coalesce(xg, 0.0), 6) as marker_size,
   round(80 + 1400 * greatest(coalesce(xg, 0.0), 0.0), 6) as marker_area, coalesce(cast(minute as varchar), '-') as minute_text, coalesce(player_name, '-') as player_text,
-  coalesce(shot_type, '-') as shot_type_text, coalesce(body_part, '-') as body_part_text, cast(round(coalesce(xg, 0.0), 2) as varchar) as xg_text
+  coalesce(shot_type, '-') as shot_type_text, coalesce(body_part, '-') as body_part_text, cast(round_even(coalesce(xg, 0.0) * 100, 0) / 100 as varchar) as xg_text
 from o where x is not null and y is not null"""))
 def q_shot_map(spark, sf):
     sv, _, dims = shots_view(spark, sf)
