@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from helpers import documents, odd_rows
 from pyspark.sql import functions as F
@@ -53,3 +54,22 @@ def test_odd_rows(spark):
     got = S.digest(S.scan(documents(spark, rows, clash=True), F.col("source"), F.col("lang"))).collect()
     assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in got) == sorted((str(i), hashlib.sha256(",".join(plain(t)).encode()).hexdigest()) for i, t, *_ in rows)
     assert S.scan(documents(spark, []), F.col("source"), F.col("lang")).count() == 0
+
+
+def test_opaque_spans_touch_no_base_span():
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = " ".join(rnd.choice(["token=", "deadbeefdeadbeef", "Zk3q7Wm2xLp9Rt4q7Wm2xLp9Rt4", "secret:Yt5n8Vb1cXz6Qw3n8Vb1cXz6Qw3", "x"]) for _ in range(rnd.randint(1, 20)))
+        base = S.base_spans(text)
+        found = {(s, e) for _, s, e, _ in S.opaque_spans(text, base)}
+        apart = {(s, e) for _, s, e, _ in S.opaque_spans(text, []) if not any(b < e and s < f for _, b, f, _ in base)}
+        assert found == apart
+
+
+def test_very_many_spans():
+    begun = time.time()
+    line = "key 0123456789abcdef0123456789abcdef Zk3q7Wm2xLp9Rt4q7Wm2xLp9Rt4\n"
+    text = line * 90_000  # 5.9 MB
+    base = S.base_spans(text)
+    assert len(base) == 90_000 and len(S.opaque_spans(text, base)) == 90_000
+    assert time.time() - begun < 20

@@ -27,12 +27,12 @@ def clustered(rnd, n, dims=8, spread=0.1):
 
 
 def brute_top(rows, is_query, k):
-    whole = [(i, [max(-M.LIMIT, min(M.LIMIT, math.floor(256 * float(np.float32(x))))) for x in v]) for i, v in rows if good(v)]
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if good(v)]
     out = set()
     for qi, q in whole:
         if qi is not None and is_query(qi):
             scored = sorted((-sum(a * b for a, b in zip(q, v)), math.inf if i is None else i) for i, v in whole if i != qi)
-            out |= {(qi, r + 1, None if i == math.inf else i, -s) for r, (s, i) in enumerate(scored[:k])}
+            out |= {(qi, r + 1, None if i == math.inf else i, min(max(-s, -2**63), 2**63 - 1)) for r, (s, i) in enumerate(scored[:k])}
     return out
 
 
@@ -52,7 +52,7 @@ def test_search_prunes_and_stays_exact():
     """One shard, sparse non-negative vectors, where most terms become non-essential."""
     rnd = np.random.default_rng(3)
     values = np.where(rnd.random((5_000, 40)) < 0.15, rnd.integers(1, 400, (5_000, 40)), 0) * np.geomspace(1, 40, 40).astype(int)
-    shard = M.Shard(np.arange(5_000), values)
+    shard = M.Shard(np.arange(5_000), values, int(values.max()))
     for q in range(0, 200, 10):
         score = values @ values[q]
         score[q] = -1
@@ -114,3 +114,18 @@ def test_skipping_skips():
     y = np.eye(4)[[1] * 40]
     assert not list(EGO._join(x, x[:, :2], y, y[:, :2], 0.3))
     assert list(EGO._join(x, x[:, :2], x, x[:, :2], 0.3))
+
+
+def test_search_with_very_large_components(spark):
+    """Beyond what doubles, and what products of 64 bits hold on the way."""
+    big = [[600_000.0, 1.0], [700_000.0, -1.0], [1.0, 0.0], [-(2.0**40), 2.0**41], [2.0**45, -(2.0**44)], [2.0**45, -(2.0**44) - 2.0**21], [0.0, 3.0]]
+    rows = list(enumerate(big))
+    got = M.search(vectors(spark, rows), F.col("vec_id").isin(2, 6), 5).collect()
+    assert {tuple(r) for r in got} == brute_top(rows, lambda i: i in (2, 6), 5)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got}[2, 3] == 1  # 700,000 before 600,000
+    # the products pass 64 bits on the way, their sum does not
+    far = [(0, [2.0**26, 2.0**26]), (1, [2.0**27, -(2.0**27)]), (2, [2.0**27, -(2.0**27) + 4.0])]
+    assert {tuple(r) for r in M.search(vectors(spark, far), F.col("vec_id") == 0, 5).collect()} == brute_top(far, lambda i: i == 0, 5)
+    # scores beyond 64 bits rank by what they are
+    huge = [(0, [2.0**40]), (1, [2.0**40]), (2, [2.0**41]), (3, [-1e30]), (4, [1e30])]
+    assert {tuple(r) for r in M.search(vectors(spark, huge), F.col("vec_id") == 0, 5).collect()} == brute_top(huge, lambda i: i == 0, 5)

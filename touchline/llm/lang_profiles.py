@@ -136,4 +136,5 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], *, text_col: str =
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([nearest(t, places) for t in texts], columns=["lang_pred", "lang_score"])
 
-    return docs.withColumn("_p", predict(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "_p.*")
+    cols = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(cols, predict(F.col(f"`{text_col}`")).alias("_p")).select("_row.*", "_p.*")

@@ -13,6 +13,7 @@ that are still competitive. Shards answer for themselves and their lists are mer
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -28,18 +29,31 @@ BLOCK_QUERIES = 1_024
 STRIDE = 2_048
 #: Non-essential terms that are probed between two looks at who is still competitive.
 PROBE = 8
-#: Components beyond it either way count as it.
-LIMIT = 2**27
+
+
+def _largest(values: np.ndarray) -> int:
+    return int(np.abs(values).max(initial=0))
+
+
+def _exact(values: np.ndarray) -> np.ndarray:
+    """Whole doubles as Python's integers."""
+    out = np.empty(values.shape, dtype=object)
+    out[...] = [[int(x) for x in row] for row in values] if out.ndim == 2 else [int(x) for x in values]
+    return out
 
 
 class Shard:
-    """Postings of one shard: rows of ``values`` are vectors."""
+    """Postings of one shard: rows of ``values``, whole doubles, are vectors; ``largest`` is the queries' largest component."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, largest: int):
         order = np.argsort(ids, kind="stable")
         self.ids, values = ids[order], values[order]
-        big = float(np.abs(values).max(initial=0)) ** 2 * max(1, values.shape[1])
-        kind = np.float64 if big < 2**52 else np.int64  # whole numbers either way; doubles are faster
+        most = max(_largest(values), largest)
+        big = _largest(values) * largest * max(1, values.shape[1])
+        # whole numbers whatever the kind; doubles are the fastest, Python's own have no bound
+        kind = np.float64 if max(big, most) < 2**52 else np.int64 if max(big, most) < 2**62 else object
+        self.cast = _exact if kind is object else lambda v: v.astype(kind)
+        values = self.cast(values)
         self.plus = np.ascontiguousarray(np.maximum(values, 0).T).astype(kind)
         self.minus = np.ascontiguousarray(np.maximum(-values, 0).T).astype(kind)
         self.most = np.stack((self.plus.max(axis=1, initial=0), self.minus.max(axis=1, initial=0)))
@@ -48,7 +62,7 @@ class Shard:
         """Ids and scores of the k best vectors but ``own``; ties to the smaller id."""
         terms = np.flatnonzero(query)
         positive = query[terms] > 0
-        weight = np.abs(query[terms]).astype(self.plus.dtype)
+        weight = np.abs(self.cast(query[terms]))
         bound = weight * np.where(positive, self.most[0][terms], self.most[1][terms])
         order = np.argsort(-bound, kind="stable")
         terms, positive, weight, bound = terms[order], positive[order], weight[order], bound[order]
@@ -72,7 +86,7 @@ class Shard:
             ids, score = np.concatenate((best_ids, self.ids[rows][other])), np.concatenate((best, score[other]))
             first = np.lexsort((ids, -score))[:k]
             best_ids, best = ids[first], score[first]
-        return best_ids, best.astype(np.int64)
+        return best_ids, best
 
     @staticmethod
     def _competitive(rows, gain, still, least):
@@ -89,19 +103,28 @@ class Shard:
         return postings[terms, rows] if isinstance(rows, slice) else postings[np.ix_(terms, rows)]
 
 
+def _in_64_bits(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        scores = np.array([min(max(s, -2**63), 2**63 - 1) for s in scores], dtype=np.int64)
+    return scores.astype(np.int64)
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    out = np.zeros((len(vectors), max((len(v) for v in vectors), default=0)), dtype=np.int64)
+    out = np.zeros((len(vectors), max((len(v) for v in vectors), default=0)))
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
     return out
 
 
 def whole(vector: Column) -> Column:
-    """Each component x as floor(256 * x), x as double; null where the vector or a component is null or not finite."""
+    """Each component x as floor(256 * x), x as double, a whole double; null where the vector or a component is null or not finite."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
     usable = ~F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    limit = F.lit(float(LIMIT))
-    return F.when(usable, F.transform(doubles, lambda x: F.floor(F.greatest(F.least(x * 256, limit), -limit)).cast("long")))
+    def component(x: Column) -> Column:
+        y = x * 256
+        return F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max)))
+
+    return F.when(usable, F.transform(doubles, component))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -114,8 +137,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "v
     of a query meet in a window that keeps k rows map-side first.
 
     Vectors that are null or hold a null or non-finite component take no part; shorter
-    vectors count as filled up with zeros; components beyond +-``LIMIT`` count as it.
-    A null id is never a query, and as a candidate comes after all ids in ties. Rows
+    vectors count as filled up with zeros. Components of any size count exactly, and so do scores within a shard;
+    a score beyond 64 bits is shown as the nearest that they hold, and meets those of other shards as
+    a double. A null id is never a query, and as a candidate comes after all ids in ties. Rows
     that repeat a query's id and vector are one query. Fewer than k candidates: all
     of them. Empty table: empty result.
     """
@@ -136,16 +160,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "v
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["asks"].to_numpy(dtype=bool)
         values, ids = _matrix(frame["v"]), frame["id"].to_numpy()
-        shard = Shard(ids[~asks], values[~asks])
+        shard = Shard(ids[~asks], values[~asks], _largest(values[asks]))
         out = []
         for own, q in zip(ids[asks], values[asks], strict=True):
             out.append(shard.top(own, q, k))
         size = [len(found) for found, _ in out]
         return pd.DataFrame({"query_id": np.repeat(ids[asks], size), "tag": np.repeat(frame["tag"][asks].to_numpy(), size),
-                             "vec_id": np.concatenate([i for i, _ in out] or [[]]), "score": np.concatenate([s for _, s in out] or [[]])})
+                             "vec_id": np.concatenate([i for i, _ in out] or [[]]), "score": np.concatenate([_in_64_bits(s) for _, s in out] or [[]]),
+                             "rough": np.concatenate([s.astype(np.float64) for _, s in out] or [[]])})
 
-    each = queries.unionByName(held).groupBy("shard", "block").applyInPandas(meet, "query_id long, tag long, vec_id long, score long")
-    first = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
+    each = queries.unionByName(held).groupBy("shard", "block").applyInPandas(meet, "query_id long, tag long, vec_id long, score long, rough double")
+    first = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), F.desc("rough"), "vec_id")
     return (each.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(null_id)).alias("vec_id"), "score"))
 

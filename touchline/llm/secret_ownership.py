@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,9 +53,16 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 def opaque_spans(text: str, base: Sequence[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Random-looking values of 24 or more characters with both letters and digits that touch no base span."""
     out = []
+    starts = [s for _, s, _, _ in base]
+    reach = list(accumulate((e for _, _, e, _ in base), max))  # the furthest end of the base spans up to each
+
+    def touched(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
     for m in OPAQUE.finditer(text):
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not touched(m.start(), m.end()):
             n = len(v)
             if -sum(k / n * math.log2(k / n) for k in Counter(v).values()) >= OPAQUE_BITS:
                 out.append(("opaque", m.start(), m.end(), v))

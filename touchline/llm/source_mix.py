@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     rows = staged(docs.select(*_source_key(source_col), doc_hash(id_col).alias("_hash"), size.alias("size")), "mix-sizes")
     cuts = thresholds(rows, targets(rows, weights, share, cap))
-    mine = docs.select(F.struct(*[F.col(c) for c in cols]).alias("_row"), *_source_key(source_col), doc_hash(id_col).alias("_hash"), size.alias("mix_size"))
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), *_source_key(source_col), doc_hash(id_col).alias("_hash"), size.alias("mix_size"))
     copies = F.col("full") + (F.col("_hash") <= F.col("cut")).cast("long")
     return (mine.join(cuts, ["_s", "_n"])
             .select("_row.*", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
