@@ -56,6 +56,10 @@ def to_pandas_duck(con, sql: str) -> pd.DataFrame:
     return pd.DataFrame([dict(zip(cols, r)) for r in rel.fetchall()], columns=cols)
 
 
+#: No query may pair all rows or leave the JVM row by row.
+BAD_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+
+
 def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
     from touchline.plans.catalog import ORACLE, QUERIES
     con = duck(sf_dir)
@@ -63,7 +67,11 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
     for name in names or sorted(QUERIES):
         t0 = time.time()
         try:
-            s = to_pandas_spark(QUERIES[name](spark, sf_dir))
+            df = QUERIES[name](spark, sf_dir)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            if found := [n for n in BAD_NODES if n in plan]:
+                raise AssertionError(f"plan has {found}")
+            s = to_pandas_spark(df)
         except Exception as e:  # noqa: BLE001
             out[name] = {"ok": False, "error": f"spark: {e}"[:800]}
             if verbose:

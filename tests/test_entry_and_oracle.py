@@ -27,6 +27,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver data not present")
 def test_all_queries_match_oracle(spark):
+    """Also: no query's plan has a node of BAD_NODES."""
     res = compare(spark, SF, verbose=False)
     bad = {k: v for k, v in res.items() if v.get("ok") is False}
     assert not bad, bad

@@ -1,4 +1,4 @@
-"""Plan-shape checks: pushdown, partial top-N, no cartesian products or Python evaluation."""
+"""Plan-shape checks: pushdown, partial top-N, shuffles (cartesian products and Python evaluation are looked for in oracle_compare)."""
 
 import os
 import re
@@ -18,13 +18,6 @@ def _plan(df) -> str:
     return re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
 
 
-def test_no_cartesian_or_python_in_any_query(spark):
-    for name, fn in QUERIES.items():
-        plan = _plan(fn(spark, SF))
-        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-            assert bad not in plan, (name, bad)
-
-
 def test_fact_scan_pushes_match_predicate(spark):
     li = spark.read.parquet(f"{SF}/lineitem.parquet").withColumnRenamed("l_orderkey", "match_id")
     plan = _plan(views.fact_scan(li, match_id=7, columns=["match_id", "l_quantity"]))
@@ -77,7 +70,7 @@ def test_match_stats_scan_events_twice(spark, scratch, without_broadcast):
     dm.write.parquet(f"{scratch}/dm")
     plan = _plan(reports.match_stats(ev.withColumn("shot_outcome", F.lit("Goal")), spark.read.parquet(f"{scratch}/shots"), spark.read.parquet(f"{scratch}/dm")))
     assert plan.count("FileScan parquet") <= 4 and plan.count(f"{scratch}/events") <= 3
-    assert "Window" not in plan
+    assert plan.count("SortMergeJoin") == 2  # labels and matches; no aggregate joined to itself
 
 
 def test_first_rows_without_sort_aggregates(spark, scratch):

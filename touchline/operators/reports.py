@@ -61,50 +61,30 @@ def match_stats(fact_events: DataFrame, fact_shots: DataFrame, dim_match: DataFr
                           *[(bigint_col(dim_match, c) if c in dim_match.columns else F.lit(None).cast("bigint")).alias(c)
                             for c in ("home_team_id", "away_team_id", "home_score", "away_score")])
 
-    # one conditional aggregate a match: by source (fact_shots, shot events), side and label (own, looked up)
-    def total(cond: Column, what: str = "n") -> Column:
-        return F.sum(F.when(cond, F.col(what)))
-
-    aggs = []
-    for src in (0, 1):
-        own = (F.col("src") == src) & F.col("team_id").isNotNull()
-        aggs += [total(F.col("src") == src).alias(f"seen_{src}"), total(own).alias(f"rows_{src}"),
-                 F.count_if(own & F.col("outcome").isNotNull()).alias(f"own_{src}"),
-                 F.count_if(own & F.col("mapped").isNotNull()).alias(f"mapped_{src}")]
-        for side, team in (("home", "home_team_id"), ("away", "away_team_id")):
-            mine = own & (F.col("team_id") == F.col(team))
-            aggs += [total(mine).alias(f"shots_{side}_{src}"), total(mine, "xg_sum").alias(f"xg_{side}_{src}")]
-            for by, label in (("own", "outcome"), ("mapped", "mapped")):
-                norm = norm_text(F.col(label))
-                aggs += [total(mine & norm.isin(*labels)).alias(f"{name}_{side}_{by}_{src}") for name, labels in _FAMILIES.items()]
-    j = dm.join(keyed, "match_id", "left").groupBy(*dm.columns).agg(*aggs)
+    # each match keeps its fact_shots rows, or its shot events when it has none, and its own labels, or the
+    # looked-up ones when it has none; then one conditional aggregate a match, all on the same partitioning
+    of_match = Window.partitionBy("match_id")
+    keyed = (keyed.withColumn("_src", F.min("src").over(of_match)).where((F.col("src") == F.col("_src")) & F.col("team_id").isNotNull())
+             .withColumn("_own", F.max(F.col("outcome").isNotNull()).over(of_match))
+             .select(F.col("match_id").alias("_m"), "team_id", "n", "xg_sum", norm_text(F.when(F.col("_own"), F.col("outcome")).otherwise(F.col("mapped"))).alias("norm")))
+    aggs = [F.sum("n").alias("rows"), F.count("norm").alias("labels")]
+    for side in ("home", "away"):
+        mine = F.col("team_id") == F.col(f"{side}_team_id")
+        aggs += [F.sum(F.when(mine, F.col("n"))).alias(f"shots_{side}"), F.sum(F.when(mine, F.col("xg_sum"))).alias(f"xg_{side}")]
+        aggs += [F.sum(F.when(mine & F.col("norm").isin(*labels), F.col("n"))).alias(f"{name}_{side}") for name, labels in _FAMILIES.items()]
+    j = dm.join(keyed, F.col("match_id") == F.col("_m"), "left").groupBy(*dm.columns).agg(*aggs)
     ids_ok = F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull()
-    from_facts = F.coalesce(F.col("seen_0"), F.lit(0)) > 0
-
-    def pick(name: str) -> Column:
-        return F.when(from_facts, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
-
-    has_own = pick("own") > 0
-    has_out = has_own | (pick("mapped") > 0)
-    has_rows = F.coalesce(pick("rows"), F.lit(0)) > 0
-
-    def cnt(name: str) -> Column:
-        return F.when(ids_ok, F.coalesce(pick(name), F.lit(0)).cast("bigint"))
-
-    def outc(name: str) -> Column:
-        found = F.when(has_own, pick(f"{name}_own")).otherwise(pick(f"{name}_mapped"))
-        return F.when(ids_ok & has_out, F.coalesce(found, F.lit(0)).cast("bigint"))
 
-    def xg(side: str) -> Column:
-        return F.when(ids_ok & has_rows, F.round(F.coalesce(pick(f"xg_{side}"), F.lit(0.0)), 2))
+    def cnt(name: str, known: Column = F.lit(True)) -> Column:
+        return F.when(ids_ok & known, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
 
     out = {"shots_home": cnt("shots_home"), "shots_away": cnt("shots_away")}
     for name in _FAMILIES:
         for side in ("home", "away"):
-            out[f"{name}_{side}"] = outc(f"{name}_{side}")
+            out[f"{name}_{side}"] = cnt(f"{name}_{side}", F.col("labels") > 0)
     for side in ("home", "away"):
         out[f"goals_{side}"] = F.when(ids_ok, out[f"goals_{side}"]).otherwise(F.col(f"{side}_score"))
-        out[f"xg_{side}"] = xg(side)
+        out[f"xg_{side}"] = F.when(ids_ok & (F.col("rows") > 0), F.round(F.coalesce(F.col(f"xg_{side}"), F.lit(0.0)), 2))
     return j.select(*dm.columns, *[c.alias(n) for n, c in out.items()])
 
 
