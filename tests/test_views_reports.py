@@ -115,3 +115,28 @@ def test_teams_and_players_for_matches(spark):
     player = spark.createDataFrame([(5, "Five", 10)], "player_id int, player_name string, team_id int")
     ps = {(r.match_id, r.player_id): r.player_name for r in views.players_for_matches(ev, None, player, team).collect()}
     assert ps == {(1, 5): "Five", (2, 6): "Six", (2, 7): "7"}
+
+
+def test_cascading_choices_and_first_names(spark, scratch):
+    from touchline.operators import views
+    dm = spark.createDataFrame([(1, 7, "Z Cup", 70, "2023", 10, 20, "2023-01-01"), (2, 7, "Z Cup", 71, "2024", 20, 30, "2024-01-01"), (3, 5, "A Cup", 71, "2024", 10, 30, "2024-02-01"),
+                                (4, None, None, 71, "2024", None, None, "2024-03-01")],
+                               "match_id long, competition_id long, competition_name string, season_id long, season_name string, home_team_id long, away_team_id long, match_date string")
+    ev = spark.createDataFrame([(1, 10, 100), (1, 20, 100), (1, None, 101), (4, 40, 102), (2, 20, None)], "match_id long, team_id long, player_id long")
+    teams = spark.createDataFrame([(10, "Ten"), (20, "Twenty")], "team_id long, team_name string")
+    # two names of one player: the first row of the file counts, not the smallest name
+    spark.createDataFrame([(100, "Zoe", 10), (100, "Abe", 20), (101, None, 20), (101, "Bo", 20)], "player_id long, player_name string, team_id long") \
+        .coalesce(1).write.parquet(f"{scratch}/players")
+    players = spark.read.parquet(f"{scratch}/players")
+    assert {r.player_id: r.player_name for r in views.lookup_names(players, "player_id", "player_name").collect()} == {100: "Zoe", 101: None}
+    got = {tuple(r) for r in views.cascade_levels(dm, ev, None, teams, players).collect()}
+    by = {level: {r for r in got if r[0] == level} for level in ("competition", "season", "match", "team", "player")}
+    assert {(r[1], r[6]) for r in by["competition"]} == {(7, "Z Cup"), (5, "A Cup")}
+    assert {(r[1], r[2], r[6]) for r in by["season"]} == {(7, 70, "2023"), (7, 71, "2024"), (5, 71, "2024"), (None, 71, "2024")}
+    assert {r[3] for r in by["match"]} == {1, 2, 3, 4}
+    assert {(r[3], r[4], r[6]) for r in by["team"]} == {(1, 10, "Ten"), (1, 20, "Twenty"), (2, 20, "Twenty"), (2, 30, "30"), (3, 10, "Ten"), (3, 30, "30")}
+    assert {(r[3], r[4], r[5], r[6]) for r in by["player"]} == {(1, 10, 100, "Zoe"), (1, 20, 100, "Zoe"), (1, 20, 101, "101"), (4, 40, 102, "102")}
+    chosen = views.cascade_choices(dm, 7, 70, 1, 20, ev, None, teams, players)
+    assert [r.competition_name for r in chosen["competitions"].collect()] == ["A Cup", "Z Cup"]
+    assert [r.season_id for r in chosen["seasons"].collect()] == [70, 71] and [r.match_id for r in chosen["matches"].collect()] == [1]
+    assert [r.team_name for r in chosen["teams"].collect()] == ["Ten", "Twenty"] and [r.player_id for r in chosen["players"].collect()] == [100]
