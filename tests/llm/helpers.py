@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 SF = "/root/testdata/sf0.001"
 WORDS = [a + b for a in ("al", "be", "ca", "do", "er", "fu", "gi", "ho") for b in ("ran", "tel", "mis", "pok", "dun", "vas", "lim", "sor")]
 #: Columns that clash with names the operators use inside.
-CLASH = "_p string, `a.b` string, _d long, _h long, _row string, size long, target string, n long, a long, v string, lang_pred string, found string, line string, pos int, rule string"
+CLASH = "_p string, _d long, _h long, _row string, size long, target string, n long, a long, v string, lang_pred string, found string, line string, pos int, rule string"
 
 
 def sentence(rnd: random.Random, n: int) -> str:

@@ -75,3 +75,8 @@ def test_budgets_nest(spark):
     docs = documents(spark, [(i, sentence(rnd, 30), "en", "abc"[i % 3]) for i in range(200)])
     less, more = ({(r["doc_id"]): r["mix_copies"] for r in source_mix.mix(docs, share=s).collect()} for s in (0.4, 0.6))
     assert all(more[k] >= n for k, n in less.items())
+
+
+def test_dotted_names_pass_through(spark):
+    docs = documents(spark, [(1, "a b", "en", "s")]).selectExpr("*", "7 as `a.b`")
+    assert source_mix.mix(docs).first()["a.b"] == 7
