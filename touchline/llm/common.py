@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.session import checkpoint_dir
@@ -25,11 +27,50 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage with files that every executor can read, so a lost
     executor costs its running tasks only and nothing upstream is recomputed.
     """
+    return _written(df, label, _scopes()[-1:])
+
+
+class _Local(threading.local):
+    """The lists of tables staged in each open ``scratch`` of a driver thread, the innermost last."""
+
+    def __init__(self):
+        self.scopes: list[list[str]] = []
+
+
+_local = _Local()
+
+
+def _scopes() -> list[list[str]]:
+    return _local.scopes
+
+
+def _written(df: DataFrame, label: str, owner: list[list[str]]) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
+    for paths in owner:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables staged inside when it ends; what ``keep(df, label)``, the value it yields, has
+    staged stays, and belongs to the scratch around this one, if any.
+
+    Nothing that is still to be computed may read the deleted tables: results leave by ``keep``.
+    """
+    own: list[str] = []
+    outer = _scopes()[-1:]
+    _scopes().append(own)
+    try:
+        yield lambda df, label: _written(df, label, outer)
+    finally:
+        _scopes().remove(own)
+        for path in own:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def doc_key(id_col: str, text_col: str) -> list[Column]:
     """Identity of a document row: ``_d`` (id, null made a value) and ``_h``.
 
