@@ -92,6 +92,19 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, root, _ in brute_join(rows) if i == root)
 
 
+def test_one_row_stays_whatever_the_ids(spark):
+    """Null and repeated ids: one of the equal and near rows stays, other texts with these ids as well."""
+    rnd = random.Random(6)
+    x, y, z = (sentence(rnd, 200) for _ in range(3))
+    near = lambda t, w: t.rsplit(" ", 1)[0] + " " + w
+    rows = [(i, t, "en", "s") for i, t in ((None, x), (None, x), (None, near(x, "xx")), (None, y), (3, z), (3, z), (3, near(z, "zz")), (3, "other text"), (4, None), (4, None), (5, ""), (2, near(x, "q")))]
+    got = [(r["doc_id"], r["text"]) for r in J.keep_one(documents(spark, rows, clash=True)).collect()]
+    assert len(got) == len(set(got)) + 1  # the two rows without a text
+    first = {t: i for i, t in got}
+    assert len(got) == 7 and sum(t in first for t in (x, near(x, "xx"))) == 1 and near(x, "q") not in first
+    assert first[y] is None and first["other text"] == 3 and sum(t in first for t in (z, near(z, "zz"))) == 1
+
+
 def test_sketches():
     assert (J.shingles("A b, c-d e!") == J.shingles("a B c d   E")).all() and len(J.shingles("a b c")) == 1
     assert not len(J.shingles(None)) and not len(J.shingles(" .,! "))

@@ -136,3 +136,18 @@ def test_query_covers_all_pages(spark):
     got = queries.op1_warc_derivatives(spark, "/root/testdata/sf0.001")
     assert got.count() == 2 * spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert random.Random(1).choice(got.select("header").collect())[0].startswith("WARC/1.1\r\nWARC-Type: ")
+
+
+def test_parse_broken_files():
+    """Cut, damaged and padded files give their whole records and no error."""
+    record = lambda block, length: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + length + b"\r\n\r\n" + block + b"\r\n\r\n"
+    one, two = record(b"one", b"3"), record(b"two!", b"4")
+    blocks = lambda data: [b for _, b in W.parse(data)]
+    assert blocks(one + two) == [b"one", b"two!"] and blocks(b"") == []
+    assert blocks(one + two[:20]) == [b"one"] and blocks(one + two[:-6]) == [b"one"]
+    assert blocks(record(b"bad", b"x") + two) == [b"two!"] and blocks(record(b"bad", b"-1") + two) == [b"two!"]
+    packed = gzip.compress(one) + gzip.compress(two)
+    assert blocks(packed) == blocks(packed + b"\0\0\0") == [b"one", b"two!"]
+    assert blocks(gzip.compress(one + two)) == [b"one", b"two!"]
+    assert blocks(packed[:-30]) == [b"one"]
+    assert blocks(gzip.compress(one) + b"\x1f\x8b\x08garbage") == [b"one"]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import NULL_ID, Forest, components, doc_key, prefiltered, runs, staged
+from touchline.llm.common import Forest, NULL_ID, components, doc_key, marked, prefiltered, runs, scratch, staged
 
 #: Words of a shingle, and the similarity from which two documents are linked.
 WORDS = 5
@@ -237,7 +237,7 @@ def _batch(frames: list[pd.DataFrame], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _verify(survivors: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
-    """Exact similarity of the surviving pairs: ``cid, v1, added`` (rows linked) and a spanning forest ``u, v``."""
+    """Exact similarity of the surviving pairs: ``cid, v1, added`` (rows linked) and a spanning forest, by id ``u, v`` and by class ``p, q``."""
     wanted = survivors.select("cid", "_h").distinct()
     texts = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
     texts = prefiltered(texts, F.xxhash64("_d", "_h"), wanted, F.xxhash64("cid", "_h"))
@@ -248,7 +248,7 @@ def _verify(survivors: DataFrame, docs: DataFrame, id_col: str, text_col: str, w
 
     sets = texts.select(F.col("_d").alias("cid"), "_h", hashed("text").alias("set"))
     rows = (survivors.join(sets, ["cid", "_h"]).repartition(*_TASK).sortWithinPartitions(*_TASK, "no"))
-    schema = pa.schema([("cid", pa.int64()), ("v1", pa.int64()), ("added", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("cid", pa.int64()), ("v1", pa.int64()), ("added", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("p", pa.int64()), ("q", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pd.DataFrame] = []
@@ -272,14 +272,24 @@ def _verify(survivors: DataFrame, docs: DataFrame, id_col: str, text_col: str, w
             cid, v1 = group["cid"].to_numpy(), group["v1"].to_numpy()
             out.append(pd.DataFrame({"cid": np.concatenate((cid[some], cid[own])), "v1": np.concatenate((v1[some], v1[own])),
                                      "added": np.concatenate((added[some], np.zeros(len(own), dtype=np.int64))),
-                                     "u": cid[np.concatenate((some, own))], "v": cid[np.concatenate((some, root))]}))
+                                     "u": cid[np.concatenate((some, own))], "v": cid[np.concatenate((some, root))],
+                                     "p": v1[np.concatenate((some, own))], "q": v1[np.concatenate((some, root))]}))
             if sum(map(len, out)) >= 5_000:
                 yield _batch(out, schema)
                 out = []
         if out:
             yield _batch(out, schema)
 
-    return rows.mapInArrow(run, "cid long, v1 long, added long, u long, v long")
+    return rows.mapInArrow(run, "cid long, v1 long, added long, u long, v long, p long, q long")
+
+
+def _links(docs: DataFrame, threshold: float, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sketches, their classes of equal sets, and the links between classes (``_verify``)."""
+    sketches = staged(_sketch(docs, id_col, text_col, words), "jaccard-sketches")
+    classes = staged(sketches.where("n > 0").groupBy("v1", "v2").agg(F.min(F.struct("_d", "_h")).alias("r"), F.count("*").alias("m"), F.first("sig").alias("sig"))
+                     .select("v1", "v2", F.col("r._d").alias("cid"), F.col("r._h").alias("_h"), "m", "sig"), "jaccard-classes")
+    survivors = staged(_prune(_candidates(classes), classes, threshold), "jaccard-survivors")
+    return sketches, classes, staged(_verify(survivors, docs, id_col, text_col, words, threshold), "jaccard-links")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,11 +312,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, *, i
     text count as linked in ``class_id``. A null id is ``NULL_ID``, the smallest. Empty
     table: empty result. No other column is read.
     """
-    sketches = staged(_sketch(docs, id_col, text_col, words), "jaccard-sketches")
-    classes = staged(sketches.where("n > 0").groupBy("v1", "v2").agg(F.min(F.struct("_d", "_h")).alias("r"), F.count("*").alias("m"), F.first("sig").alias("sig"))
-                     .select("v1", "v2", F.col("r._d").alias("cid"), F.col("r._h").alias("_h"), "m", "sig"), "jaccard-classes")
-    survivors = staged(_prune(_candidates(classes), classes, threshold), "jaccard-survivors")
-    found = staged(_verify(survivors, docs, id_col, text_col, words, threshold), "jaccard-links")
+    sketches, classes, found = _links(docs, threshold, words, id_col, text_col)
     degree = found.groupBy("cid", "v1").agg(F.sum("added").alias("added"))
     root = components(found.select("u", "v"), "jaccard-components")
     result = staged(classes.select("v1", "v2", "cid", "m").join(degree, ["cid", "v1"], "left").join(root, F.col("cid") == F.col("node"), "left")
@@ -322,11 +328,26 @@ def public(joined: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that reach one with a smaller id by links (by ``join``).
+    """``docs`` with one row of each group of near duplicates: that with the least (id, hash of the text).
 
-    Rows that agree in id and text count as one document and stay or go together.
+    Groups go by texts alone, linked as in ``join``: rows that share an id, or have none, but not
+    the text belong together only if links connect their texts. A null id is the smallest. Of
+    rows that agree in id and text one stays. Null texts and texts without a word all stay.
     """
-    gone = staged(join(docs, id_col=id_col, text_col=text_col).where("_d <> class_id").select("_d", "_h").distinct(), "jaccard-gone")
+    with scratch(docs.sparkSession) as keep:
+        sketches, classes, found = _links(docs, THRESHOLD, WORDS, id_col, text_col)
+        root = staged(components(found.select(F.col("p").alias("u"), F.col("q").alias("v")), "jaccard-groups"), "jaccard-roots")
+        grouped = staged(classes.select("v1", "v2", F.struct("cid", "_h").alias("o")).join(root, F.col("v1") == F.col("node"), "left")
+                         .select("v1", "v2", "o", F.coalesce("root", "v1").alias("group")), "jaccard-grouped")
+        stays = staged(grouped.groupBy("group").agg(F.min("o").alias("stays")), "jaccard-stay")
+        last = staged(grouped.join(stays, "group").select("v1", "v2", F.col("stays.cid").alias("kd"), F.col("stays._h").alias("kh")), "jaccard-keep")
+        rows = sketches.where("n > 0").select("_d", "_h", "v1", "v2").join(last, ["v1", "v2"])
+        rows = rows.groupBy("_d", "_h").agg(F.count("*").alias("n"), F.max((F.col("_d") == F.col("kd")) & (F.col("_h") == F.col("kh"))).alias("stays"))
+        touched = keep(rows.where("n > 1 or not stays").select("_d", "_h", "stays"), "jaccard-touched")
     cols = [F.col(f"`{c}`") for c in docs.columns]
     d, h = doc_key(id_col, text_col)
-    return (docs.select(F.struct(*cols).alias("_row"), d, h).join(gone, ["_d", "_h"], "left_anti").select("_row.*"))
+    marks = marked(docs.select(F.struct(*cols).alias("_row"), d, h), F.xxhash64("_d", "_h"), touched, F.xxhash64("_d", "_h"))
+    maybe = marks.where("_maybe").select("_row", "_d", "_h")
+    one = maybe.join(touched.where("stays"), ["_d", "_h"], "left_semi").groupBy("_d", "_h").agg(F.first("_row").alias("_row"))
+    rest = maybe.join(touched, ["_d", "_h"], "left_anti")
+    return marks.where("not _maybe").select("_row").unionByName(rest.select("_row")).unionByName(one.select("_row")).select("_row.*")

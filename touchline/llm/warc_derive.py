@@ -181,22 +181,38 @@ def serialised(records: DataFrame) -> DataFrame:
     return records.withColumn("warc", F.encode(F.concat("header", crlf, "block", crlf, crlf), "utf-8"))
 
 
+def _inflated_members(data: bytes) -> Iterator[bytes]:
+    """The members of a file compressed by record, one after another; what is not gzip ends them."""
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            yield member.decompress(data) + member.flush()
+        except zlib.error:
+            return
+        data = member.unused_data
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of a file, compressed by record or not."""
-    if data[:2] == b"\x1f\x8b":
-        plain = bytearray()
-        while data:
-            member = zlib.decompressobj(zlib.MAX_WBITS | 16)
-            plain += member.decompress(data) + member.flush()
-            data = member.unused_data
-        data = bytes(plain)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(headers.get("content-length", 0))
-        yield headers, data[end + 4:at]
+    """Headers and block of every record of a file, compressed by record or not.
+
+    Of a compressed file one member at a time is held. A record that the file's end, or
+    a damaged member, cuts off is left out, and so is one without a length; reading goes on at the next record.
+    """
+    held = b""
+    for part in _inflated_members(data) if data[:2] == b"\x1f\x8b" else [data]:
+        held, at = held + part, 0
+        while (start := held.find(b"WARC/", at)) >= 0 and (end := held.find(b"\r\n\r\n", start)) >= 0:
+            lines = held[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            length = headers.get("content-length", "0")
+            if not (length.isascii() and length.isdigit()):
+                at = end + 4
+                continue
+            if end + 4 + int(length) > len(held):
+                break
+            at = end + 4 + int(length)
+            yield headers, held[end + 4:at]
+        held = held[at:]
 
 
 def _unchunked(body: bytes) -> bytes:
