@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 import random
+import re
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -151,3 +153,21 @@ def test_parse_broken_files():
     assert blocks(gzip.compress(one + two)) == [b"one", b"two!"]
     assert blocks(packed[:-30]) == [b"one"]
     assert blocks(gzip.compress(one) + b"\x1f\x8b\x08garbage") == [b"one"]
+
+
+def test_facts_of_unclosed_tags_take_linear_time():
+    for tag in ("<title>", "<a href ", "<a href=\"x", "<title "):
+        start = time.perf_counter()
+        W.page_facts(tag * (2_000_000 // len(tag)), "http://a.example/")
+        assert time.perf_counter() - start < 10, tag
+
+
+def test_facts_against_plain_patterns():
+    rnd, title = random.Random(4), re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title\s*>", re.S | re.I)
+    href = re.compile(r"""<a(?=[\s/])[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+    parts = ["<a ", "<A/", "href", "href=", " = ", '"', "'", ">", "x", "y ", "<title", "<title>", "</title >", " ", "<p>", "data-href=z"]
+    for _ in range(20_000):
+        page = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 18)))
+        assert [m.groups() for m in W._hrefs(page)] == [m.groups() for m in href.finditer(page)], page
+        facts = dict(W.page_facts(page, "http://a.example/"))
+        assert facts.get("title") == ((" ".join(m[1].split())) if (m := title.search(page)) else None), page

@@ -42,10 +42,11 @@ _BREAK = re.compile(r"</?(?:" + "|".join(LINES) + ")" + _NAME + r"[^>]*>", re.I)
 _ANY = re.compile(r"</?[a-zA-Z][^>]*>")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title" + _NAME + r"[^>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE, _TITLE_END = re.compile("<title" + _NAME + "[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
 _SCRIPT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)" + _NAME + r"[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HREF = re.compile(r"""<a(?=[\s/])[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_LINK, _HREF = re.compile(r"<a(?=[\s/])", re.I), re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 
 
 def _shown(markup: str) -> str:
@@ -83,16 +84,30 @@ def visible_text(markup: str) -> str:
     return _LINES.sub("\n", text).strip()
 
 
+def _hrefs(plain: str) -> Iterator[re.Match]:
+    """The value of each link's first href that has one; every tag is read once."""
+    at = 0
+    while tag := _LINK.search(plain, at):
+        at = plain.find(">", tag.end())
+        at = len(plain) if at < 0 else at
+        for name in _HREF.finditer(plain, tag.end(), at):
+            if value := _VALUE.match(plain, name.end()):
+                at = value.end()
+                yield value
+                break
+
+
 def page_facts(markup: str, target: str) -> list[tuple[str, str]]:
     """Title, language and outgoing links (resolved, each once, in order)."""
     plain = _SCRIPT.sub(" ", markup)
     out = []
-    if m := _TITLE.search(plain):
-        out.append(("title", " ".join(html.unescape(m[1]).split())))
+    # the first end tag after the first title; where that has none, no later one has
+    if (m := _TITLE.search(plain, 0, plain.rfind(">") + 1)) and (end := _TITLE_END.search(plain, m.end())):
+        out.append(("title", " ".join(html.unescape(plain[m.end():end.start()]).split())))
     if m := _LANG.search(plain):
         out.append(("language", m[1]))
     links = {}
-    for m in _HREF.finditer(plain):
+    for m in _hrefs(plain):
         link = html.unescape(m[1] or m[2] or m[3] or "").strip()
         try:
             links[urljoin(target, link)] = None
