@@ -3,6 +3,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from raw_fixtures import write_tree
 from touchline.plans import etl
@@ -261,3 +262,20 @@ def test_files_above_the_variant_limit(spark, scratch):
     finally:
         for name in ("1.json", "2.json"):
             os.remove(f"{scratch}/{name}")
+
+
+def test_documents_and_records_are_parsed_once(spark):
+    docs = spark.createDataFrame([("/r/lineups/1.json", [(1, "a"), (None, "b")]), ("/r/lineups/2.json", []), ("/r/lineups/3.json", None)],
+                                 "_file string, items array<struct<team_id: int, team_name: string>>")
+    raw = docs.select("_file", F.to_json("items").alias("value"))
+    schema = T._parse_datatype_string("team_id string, team_name string, lineup array<string>")
+    records, quarantine = json_files.parse_whole_files(raw, schema, "lineups")
+    named = records.where("team_id is not null").select("_file", "_pos", F.length("team_id").alias("n"), F.upper("team_name").alias("name"))
+    assert [tuple(r) for r in named.collect()] == [("/r/lineups/1.json", 0, 1, "A")]
+    assert [r["path"] for r in quarantine.collect()] == ["/r/lineups/3.json"]
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    # the document is written once, its list parsed once; each element is written once and read as a record once
+    assert plan.count("from_json(ArrayType(VariantType") == 1
+    assert plan.count("StructsToJsonEvaluator") == 2
+    assert plan.count("from_json(StructField(team_id") == 1
+    assert quarantine._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1

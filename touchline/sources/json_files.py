@@ -108,6 +108,16 @@ def empty_files(spark: SparkSession, root: str, processor: str) -> list[str]:
     return sorted(listed(_join(root, processor), True))
 
 
+def once(value: Column) -> Column:
+    """``value``, computed once a row: filters and projections that use it do not repeat its expression.
+
+    A filter on a projected column is moved below the projection with the expression in the
+    column's place, so a document was written and parsed anew for each test of it. Nothing
+    moves a generator's output.
+    """
+    return F.explode(F.array(value))
+
+
 def elements(raw: DataFrame, processor: str = "events") -> tuple[DataFrame, DataFrame]:
     """``(_file, value)`` rows holding whole files -> ``(_file, _pos, _json)``, one row
     per object, and the quarantine ``(processor, path, reason)``.
@@ -116,19 +126,17 @@ def elements(raw: DataFrame, processor: str = "events") -> tuple[DataFrame, Data
     neither a list nor an object, is quarantined whole. List items that are no objects are
     dropped; positions count all items.
     """
-    text = F.btrim("value", F.lit(" \t\r\n" + _BOM))
-    parsed = raw.select("_file", text.alias("_text"))
+    parsed = raw.select("_file", once(F.btrim("value", F.lit(" \t\r\n" + _BOM))).alias("_text"))
     is_list, is_object = F.col("_text").startswith("["), F.col("_text").startswith("{")
-    parsed = parsed.withColumn("_items", F.when(is_list, F.from_json("_text", "array<variant>"))
-                               .when(is_object, F.expr("array(from_json(_text, 'variant'))")))
     # a value that ends before the text does is one still when the text's last character is gone
     less = F.expr("substr(_text, 1, length(_text) - 1)")
-    ends = F.when(is_list, F.json_array_length(less).isNull()).otherwise(F.json_object_keys(less).isNull())
-    ok = F.when(is_list, F.col("_items").isNotNull()).when(is_object, F.get("_items", F.lit(0)).isNotNull()).otherwise(False) & ends
-    quarantine = parsed.where(~ok).select(
+    list_ends, object_ends = F.json_array_length(less).isNull(), F.json_object_keys(less).isNull()
+    items, item = F.from_json("_text", "array<variant>"), F.expr("from_json(_text, 'variant')")
+    ok = F.when(is_list, list_ends & items.isNotNull()).when(is_object, object_ends & item.isNotNull()).otherwise(False)
+    quarantine = parsed.select("_file", once(ok).alias("_ok")).where("not _ok").select(
         F.lit(processor).alias("processor"), F.col("_file").alias("path"), F.lit("unparseable JSON").alias("reason"))
-    found = (parsed.where(ok).select("_file", F.posexplode("_items").alias("_pos", "_item"))
-             .select("_file", "_pos", F.to_json("_item").alias("_json")).where(F.col("_json").startswith("{")))
+    found = (parsed.select("_file", F.posexplode(F.when(is_list & list_ends, items).when(is_object & object_ends, F.array(item))).alias("_pos", "_item"))
+             .select("_file", "_pos", once(F.to_json("_item")).alias("_json")).where(F.col("_json").startswith("{")))
     return found, quarantine
 
 
@@ -172,7 +180,7 @@ def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def as_records(found: DataFrame, schema: T.StructType, processor: str) -> DataFrame:
     """Elements as rows of the schema's columns plus ``_file``, ``_pos`` and ``_rank``."""
-    return (found.select("_file", "_pos", F.from_json("_json", schema).alias("_rec"))
+    return (found.select("_file", "_pos", once(F.from_json("_json", schema)).alias("_rec"))
             .select("_rec.*", "_file", "_pos", F.lit(PROCESSOR_RANK.get(processor, 99)).alias("_rank")))
 
 
