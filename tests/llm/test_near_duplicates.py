@@ -284,3 +284,22 @@ def test_cuts_link_only_similar_lines(spark):
     stay = len(texts) - links.count()
     assert groups <= stay < len(first)
     assert D.dedup(documents(spark, []), cuts=True).count() == 0
+
+
+def test_lengths_refute_before_texts_are_read(spark, monkeypatch):
+    """Lines that one word rules have its SimHash; of those not linked, only pairs of like lengths are listed and read."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["the"] * 40 + sentence(rnd, 4 ** (i % 3 + 1) // 2).split(" ")), "en", "s") for i in range(30)]
+    listed, staged = {}, D.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        listed[label] = out.collect() if label == "lines-loose" else None
+        return out
+
+    monkeypatch.setattr(D, "staged", counted)
+    assert texts_of(D.dedup(documents(spark, rows))) == brute_lines(rows)
+    assert "lines-loose" in listed
+    line = {xxhash.xxh64_intdigest(" ".join(normal(t)).encode(), 42): " ".join(normal(t)) for _, t, *_ in rows}
+    lengths = [sorted(len(line[v % 2**64]) for v in (r["x"], r["y"])) for r in listed["lines-loose"]]
+    assert all(long - short <= 0.2 * long + 1e-9 for short, long in lengths)
