@@ -9,6 +9,7 @@ import xxhash
 from helpers import documents, odd_rows, sentence
 from pyspark.sql import functions as F
 
+from touchline.llm import common as C
 from touchline.llm import jaccard_join as J
 from touchline.llm import line_dedup as D
 from touchline.llm.common import NULL_ID, components
@@ -303,3 +304,35 @@ def test_lengths_refute_before_texts_are_read(spark, monkeypatch):
     line = {xxhash.xxh64_intdigest(" ".join(normal(t)).encode(), 42): " ".join(normal(t)) for _, t, *_ in rows}
     lengths = [sorted(len(line[v % 2**64]) for v in (r["x"], r["y"])) for r in listed["lines-loose"]]
     assert all(long - short <= 0.2 * long + 1e-9 for short, long in lengths)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Nodes of many edges, whose minimum is broadcast, and others, whose minimum is joined."""
+    monkeypatch.setattr(C, "HUB", 5)
+    rnd = random.Random(10)
+    edges = [(500, 600 + i) for i in range(40)] + [(600 + i, 700 + i % 7) for i in range(0, 40, 3)] + [(rnd.randint(0, 90), rnd.randint(0, 90)) for _ in range(60)] + [(90, 500)]
+    root = Roots()
+    for a, b in edges:
+        root.join(a, b)
+    got = [(r["node"], r["root"]) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert sorted(got) == sorted((x, root.find(x)) for x in {x for e in edges for x in e if e[0] != e[1]})
+
+
+def test_texts_of_lines_are_staged_once(spark, monkeypatch):
+    """Each line's text is written once, whatever is told of distinct lines; cuts are made once, and copies make no more of what they share."""
+    rnd, held, written = random.Random(11), {}, C._written
+
+    def counted(df, label, owner):
+        out = written(df, label, owner)
+        held.setdefault(label, []).append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(C, "_written", counted)
+    texts = ["\n".join(sentence(rnd, 30) for _ in range(4)) for _ in range(20)]
+    D.dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).count()
+    assert sum(n for tables in held.values() for columns, n in tables if "line" in columns) == 80
+    held.clear()
+    line = sentence(rnd, 20)
+    texts = [line, line.replace(line.split(" ")[9], "zz9")] * 30 + texts
+    D.dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), cuts=True).count()
+    assert len(held["lines-cuts"]) == 1 and 2 <= held["lines-cut-held"][0][1] <= 16
