@@ -336,3 +336,22 @@ def test_texts_of_lines_are_staged_once(spark, monkeypatch):
     texts = [line, line.replace(line.split(" ")[9], "zz9")] * 30 + texts
     D.dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), cuts=True).count()
     assert len(held["lines-cuts"]) == 1 and 2 <= held["lines-cut-held"][0][1] <= 16
+
+
+def test_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts of near copies that no lead connects: each with its nearest, then only what is apart still."""
+    rnd, listed, staged = random.Random(12), {}, D.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        listed[label] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "staged", counted)
+    line = sentence(rnd, 40)
+    others = [sum(1 << b for b in range(D.BITS) if not any(start <= b < start + bits for start, bits in table)) for table in D.TABLES]  # the lead of one bucket each
+    rows = [(a, sim, "".join(rnd.choice("0123456789") for _ in line)) for a, sim in enumerate(others)] + [(100 + i, 0, edited(rnd, line, 1)) for i in range(40)]
+    links = D.similar_lines(spark.createDataFrame([(a, sim, len(t)) for a, sim, t in rows], "a long, sim long, long int"), spark.createDataFrame([(a, t) for a, _, t in rows], "a long, line string"))
+    root = {r["node"]: r["root"] for r in components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).collect()}
+    assert root == {100 + i: 100 for i in range(40)}
+    assert listed["lines-loose"] == 780 and listed["lines-nearest"] + listed["lines-rest"] <= 40
