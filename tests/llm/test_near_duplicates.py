@@ -355,3 +355,71 @@ def test_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
     root = {r["node"]: r["root"] for r in components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).collect()}
     assert root == {100 + i: 100 for i in range(40)}
     assert listed["lines-loose"] == 780 and listed["lines-nearest"] + listed["lines-rest"] <= 40
+
+
+def test_similar_lines_are_those_of_the_edit_distance(spark):
+    """Accepted by pieces, refuted by what remains, or compared whole: the same pairs as by the plain edit distance."""
+    rnd = random.Random(13)
+    texts = ["a", "e", "aeiou", "tea eat", "uoie uoie aaa", "x", "中文 naïve ß", "中文 naive ß", "\U0001F600 \U0001F600 a b", "\U0001F600 b a b"]
+    for n in (1, 3, 8, 9, 17, 40):
+        w = sentence(rnd, n).split(" ")
+        k = rnd.randrange(n)
+        texts += [" ".join(x) for x in (w, w[:k] + w[k + 1:] + ["zz"], [*w, "zz9"], w[:k] + ["zz9", "y"] + w[k:], w[::-1], ["zz9"] * (n // 4) + w[n // 4:])]
+        texts += ["".join(rnd.choice("bcd") if c != " " and rnd.random() < p else c for c in " ".join(w)) for p in (0.1, 0.18, 0.22, 0.3)]
+        texts += [" ".join(w).replace(" ", "", n // 6), "".join(c for c in " ".join(w) if c not in D.FREQUENT or rnd.random() < 0.6)]
+    texts = [" ".join(t.split()) for t in texts]
+    pairs = [(x, y) for x in range(len(texts)) for y in range(x) if texts[x] and texts[y]]
+    lines = spark.createDataFrame(list(enumerate(texts)), "a long, line string")
+    want = {(x, y) for x, y in pairs if alike(texts[x], texts[y])}
+    found = lambda df: {(r["x"], r["y"]) for r in df.collect()}
+    listed = spark.createDataFrame(pairs, "x long, y long")
+    left = found(D._not_refuted(listed, lines))
+    assert found(D._similar(listed, lines)) == want and len(want) > 30
+    assert want <= left and len(left) < len(pairs) / 2
+
+
+def test_whole_texts_are_read_for_few_pairs(spark, monkeypatch):
+    """Pairs of lines that one word rules are refuted by what remains of them."""
+    rnd = random.Random(14)
+    rows = [(i, "the " * 30 + " ".join("".join(rnd.choice("bcdfgklmnprsvz") for _ in range(8)) for _ in range(20)), "en", "s") for i in range(14)]
+    listed, staged = {}, D.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        listed[label] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "staged", counted)
+    assert texts_of(D.dedup(documents(spark, rows))) == brute_lines(rows)
+    assert listed["lines-rest"] > 40 and listed["lines-not-refuted"] < 5
+
+
+def test_roots_of_lines_take_few_shuffles(spark):
+    """All that are connected have one root, whatever the shape; each round has few jobs of the driver."""
+    rnd = random.Random(15)
+    some = lambda: rnd.getrandbits(63) - 2**62
+    chain, ring, hub = ([some() for _ in range(n)] for n in (60, 7, 300))
+    edges = [*zip(chain, chain[1:]), *zip(ring, ring[1:] + ring[:1]), *((hub[0], v) for v in hub[1:]), (hub[5], ring[0]), (chain[0], chain[0]), (some(), some())]
+    edges += [(5, 5)] + [(y, x) for x, y in edges[:20]]
+    root = Roots()
+    for x, y in edges:
+        root.join(x, y)
+    frame = lambda edges: spark.createDataFrame(edges, "x long, y long")
+    got = [(r["node"], r["root"]) for r in D._roots(frame(edges)).collect()]
+    nodes = {v for x, y in edges for v in (x, y) if x != y}
+    assert len(got) == len(nodes) and {n for n, _ in got} == nodes
+    assert len({(r, root.find(n)) for n, r in got}) == len({r for _, r in got}) == len({root.find(n) for n in nodes})
+    assert all(root.find(r) == root.find(n) for n, r in got)
+    assert D._roots(frame([])).count() == 0 and D._roots(frame([(3, 3)])).count() == 0
+    spark.sparkContext.setJobGroup("roots of lines", "")
+    D._roots(frame([(hub[0], v) for v in hub[1:]]))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("roots of lines"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 24, jobs
+
+
+def test_white_space_is_normalised(spark):
+    texts = ["a\tb", "a b", " a  b ", "a \t \x0b b", "a - b", "a , . b", "\x0ca\r b.", "A B!", "a\n\n \n  b", "“a” — b", "ab", "a  ", "  ", "--  --"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = sorted((r["_d"], r["pos"], r["line"]) for r in D.lines_of(documents(spark, rows)).collect())
+    assert got == [(i, k, line) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if (line := " ".join(normal(x)))]
